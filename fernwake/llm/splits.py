@@ -81,7 +81,7 @@ def recording_groups(recordings: DataFrame, aliases: DataFrame) -> DataFrame:
 def assign_splits(members: DataFrame, shares: dict[str, float], unit: str = "component", weight: str | None = None, seed: int = 17) -> DataFrame:
     """``members`` with ``split``: every row of one ``unit`` in the same one, the shares of weight as given.
 
-    Rows without a unit are each on their own. Units above 1/200 of the whole (at most 200) are
+    Rows without a unit are each on their own (equal ones together). Units above 1/200 of the whole (at most 200) are
     placed by size where most is missing; the rest go to the highest -share / ln(hash of unit and
     split), with the shares that are then still missing. Adding units moves no other small unit
     while those shares stay. Shares need not sum to 1.
@@ -89,7 +89,7 @@ def assign_splits(members: DataFrame, shares: dict[str, float], unit: str = "com
     if not shares or any(not s >= 0 for s in shares.values()) or not sum(shares.values()) > 0:
         raise ValueError("shares must be positive")
     w = F.coalesce(F.col(weight).cast("double"), F.lit(0.0)) if weight else F.lit(1.0)
-    held = members.withColumn("_unit", F.coalesce(F.col(unit).cast("string"), F.concat(F.lit("?"), F.uuid())) if unit in members.columns else F.lit(None))
+    held = members.withColumn("_unit", F.coalesce(F.col(unit).cast("string"), F.concat(F.lit("?"), F.xxhash64(*members.columns).cast("string"))))
     sizes = held.groupBy("_unit").agg(F.sum(w).alias("_size"))
     total = sizes.agg(F.sum("_size")).first()[0] or 0.0
     large = sizes.where(F.col("_size") > total / LARGE_SHARE).orderBy(F.desc("_size"), "_unit").limit(LARGE_SHARE).collect() if total else []
