@@ -5,12 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fernwake.llm import runs, splits
+from fernwake.llm import neighbours, runs, splits
 from fernwake.session import table
 
 SHARES = {"train": 0.7, "validation": 0.15, "test": 0.15}
 
 
+RADIUS_X_TRAIN = (2 - 2 * 0.95) ** 0.5  # of a cosine of 0.95, at length 1
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = neighbours.nearest_vectors(table(spark, sf_dir, "windows"), "row_idx", "features", 40, 5, radius=0.5)
+    b = neighbours.nearest_vectors(table(spark, sf_dir, "fold_train"), "train_id", "x_train", 40, 5, "cosine", radius=RADIUS_X_TRAIN, slack=0.5)
+    both = a.withColumn("field", F.lit("features")).unionByName(b.withColumn("field", F.lit("x_train")))
+    return both.select("field", F.least("query_id", "neighbour_id").alias("id_a"), F.greatest("query_id", "neighbour_id").alias("id_b")).distinct()
+
+
 def p3_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.collapse_runs(table(spark, sf_dir, "windows"), "recording", "window_start", "row_idx", "label", 2.5, 1, "window_end")
 
@@ -35,7 +45,7 @@ def p4_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.assign_splits(groups, SHARES, weight="n_windows").select("recording", "group_no", "n_windows", "split")
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_runs, p4_found, p4_splits)}
+QUERIES = {f.__name__: f for f in (p2_found, p3_found, p3_runs, p4_found, p4_splits)}
 
 ORACLES = {
     "p3_found": """
