@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from fernwake.operators import schema_drift
-from fernwake.session import table
+from fernwake.operators import schema_drift, spikes
+from fernwake.session import broadcast_if, table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,5 +23,54 @@ def p1_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
     return schema_drift.unified(table(spark, sf_dir, "raw_windows"), table(spark, sf_dir, "file_columns"), table(spark, sf_dir, "feature_layout"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_similar, p1_unified)}
-ORACLES: dict[str, str] = {}
+def _implausible(spark: SparkSession, sf_dir: str) -> DataFrame:
+    low, high = spikes.limits(table(spark, sf_dir, "feature_layout"))
+    filed = table(spark, sf_dir, "recordings").groupBy("recording").agg(F.min("subject").alias("filed_as"))
+    w = table(spark, sf_dir, "windows").select("row_idx", "recording", "window_start", "features")
+    w = w.join(broadcast_if(filed, 200_000), "recording", "left")
+    return spikes.implausible(w, "row_idx", "filed_as", "recording", "window_start", "features", 40, spikes.Tests(low=low, high=high))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _implausible(spark, sf_dir).where("far or kind in ('stuck', 'limit')")
+    return found.select(F.col("row_id").alias("row_idx"), "pos").distinct()
+
+
+def p5_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _implausible(spark, sf_dir)
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_similar, p1_unified, p5_found, p5_flags)}
+ORACLES: dict[str, str] = {
+    "p1_found": """
+        WITH c AS (SELECT file_name, any_value(rig) AS rig, any_value(written_at) AS written_at, any_value(field_id) AS fid, any_value(col_name) AS name, any_value(col_type) AS type
+                   FROM file_columns GROUP BY file_name, col_pos),
+        f AS (SELECT file_name, min(rig) AS rig, min(written_at) AS w FROM c GROUP BY file_name),
+        p AS (SELECT file_name AS new, lag(file_name) OVER (PARTITION BY rig ORDER BY w, file_name) AS old FROM f),
+        n AS (SELECT p.new, p.old, c.* FROM p JOIN c ON c.file_name = p.new WHERE p.old IS NOT NULL),
+        o AS (SELECT p.new, p.old, c.* FROM p JOIN c ON c.file_name = p.old),
+        kept AS (SELECT n.new, n.name, n.type <> o.type AS retyped FROM n JOIN o ON n.new = o.new AND n.name = o.name),
+        gained AS (SELECT * FROM n WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.new = n.new AND o.name = n.name)),
+        lost AS (SELECT * FROM o WHERE NOT EXISTS (SELECT 1 FROM n WHERE o.new = n.new AND o.name = n.name)),
+        pairs AS (SELECT g.new, g.name, l.name AS was, g.type <> l.type AS retyped FROM gained g JOIN lost l ON g.new = l.new
+                  AND CASE WHEN g.fid IS NOT NULL AND l.fid IS NOT NULL THEN g.fid = l.fid
+                      ELSE regexp_replace(lower(g.name), '[^a-z0-9]', '', 'g') = regexp_replace(lower(l.name), '[^a-z0-9]', '', 'g') END)
+        SELECT new AS file_name, name AS col_name, 'renamed' AS change FROM pairs
+        UNION ALL SELECT new, name, 'retyped' FROM pairs WHERE retyped
+        UNION ALL SELECT new, name, 'retyped' FROM kept WHERE retyped
+        UNION ALL SELECT new, name, 'added' FROM gained g WHERE NOT EXISTS (SELECT 1 FROM pairs p WHERE p.new = g.new AND p.name = g.name)
+        UNION ALL SELECT new, name, 'removed' FROM lost l WHERE NOT EXISTS (SELECT 1 FROM pairs p WHERE p.new = l.new AND p.was = l.name)""",
+    "p5_found": """
+        WITH f AS (SELECT recording, min(subject) AS src FROM recordings GROUP BY recording),
+        d AS (SELECT row_idx, any_value(recording) AS recording, any_value(window_start) AS t, any_value(features) AS x FROM windows GROUP BY row_idx),
+        l AS (SELECT d.row_idx, d.recording, d.t, p.pos, CAST(d.x[p.pos + 1] AS DOUBLE) AS v, p.feature_type AS kind FROM d, feature_layout p),
+        r AS (SELECT l.*, src, CASE WHEN isfinite(v) THEN v END AS g FROM l LEFT JOIN f USING (recording)),
+        m AS (SELECT src, pos, median(g) AS mid FROM r WHERE src IS NOT NULL GROUP BY ALL),
+        s AS (SELECT src, pos, mid, median(abs(g - mid)) AS mad FROM r JOIN m USING (src, pos) GROUP BY ALL),
+        h AS (SELECT row_idx, pos, recording, t, CASE WHEN count(g) OVER w = 8 THEN max(g) OVER w - min(g) OVER w <= 0.002 ELSE false END AS ends
+              FROM r WINDOW w AS (PARTITION BY recording, pos ORDER BY t, row_idx ROWS BETWEEN 7 PRECEDING AND CURRENT ROW)),
+        k AS (SELECT row_idx, pos, bool_or(ends) OVER (PARTITION BY recording, pos ORDER BY t, row_idx ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING) AS held FROM h)
+        SELECT row_idx, pos FROM r LEFT JOIN s USING (src, pos) JOIN k USING (row_idx, pos)
+        WHERE g IS NOT NULL AND (coalesce(abs(g - mid) > 6.5 * 1.4826 * mad, false) OR held
+              OR ((kind IN ('Std', 'Variance') OR kind LIKE '%Power') AND g < 0) OR (kind = 'Entropy' AND (g < 0 OR g > 6)))""",
+}
