@@ -48,6 +48,18 @@ def p4_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (p2_found, p3_found, p3_runs, p4_found, p4_splits)}
 
 ORACLES = {
+    "p4_found": r"""
+        WITH RECURSIVE r AS (SELECT DISTINCT recording, subject, source_signature AS sig,
+            CAST(nullif(regexp_extract(lower(regexp_replace(subject, '\s', '', 'g')), '^chb0*([0-9]+)[a-z]?$', 1), '') AS BIGINT) AS num,
+            upper(regexp_replace(patient_ref, '[^0-9A-Za-z]', '', 'g')) AS px FROM recordings),
+        al AS (SELECT CAST(nullif(regexp_extract(lower(regexp_replace(alias, '\s', '', 'g')), '^chb0*([0-9]+)[a-z]?$', 1), '') AS BIGINT) AS a,
+            CAST(nullif(regexp_extract(lower(regexp_replace(subject, '\s', '', 'g')), '^chb0*([0-9]+)[a-z]?$', 1), '') AS BIGINT) AS b FROM subject_aliases),
+        e AS (SELECT DISTINCT x.num AS a, y.num AS b FROM r x JOIN r y ON x.sig = y.sig OR (x.px = y.px AND x.px LIKE 'PX%')
+            UNION SELECT a, b FROM al WHERE a IS NOT NULL AND b IS NOT NULL UNION SELECT b, a FROM al WHERE a IS NOT NULL AND b IS NOT NULL),
+        reach AS (SELECT num AS a, num AS b FROM r UNION SELECT reach.a, e.b FROM reach JOIN e ON reach.b = e.a),
+        g AS (SELECT reach.a AS num, min(reach.b) FILTER (WHERE reach.b IN (SELECT num FROM r)) AS group_no FROM reach GROUP BY reach.a),
+        m AS (SELECT recording, subject, group_no FROM r JOIN g USING (num))
+        SELECT recording, group_no FROM m WHERE group_no IN (SELECT group_no FROM m GROUP BY group_no HAVING count(DISTINCT subject) > 1)""",
     "p3_found": """
         WITH d AS (SELECT DISTINCT recording, CAST(window_start AS DOUBLE) t, row_idx, label FROM windows WHERE label IS NOT NULL),
         g AS (SELECT *, lag(label) OVER w = label AND t - lag(t) OVER w <= 2.5 AS goes_on FROM d WINDOW w AS (PARTITION BY recording ORDER BY t, row_idx)),
