@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fernwake.llm import neighbours, runs, splits
+from fernwake.llm import areas, leaks, mixing, neighbours, runs, splits
 from fernwake.session import table
 
+TOKENIZERS = os.environ.get("FERNWAKE_TOKENIZERS", "/opt/tokenizers")
 SHARES = {"train": 0.7, "validation": 0.15, "test": 0.15}
 
 
@@ -45,7 +48,44 @@ def p4_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.assign_splits(groups, SHARES, weight="n_windows").select("recording", "group_no", "n_windows", "split")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p3_found, p3_runs, p4_found, p4_splits)}
+def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.leaked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), "doc_id", "item_id", "text")
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _leaks(spark, sf_dir).where("phrase >= 12").select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"))
+
+
+def p6_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proximity matches that are no exact leak."""
+    return _leaks(spark, sf_dir).where("phrase < 12").select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), "phrase", "near")
+
+
+def _mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"), "doc_id", "text", "source", f"{TOKENIZERS}/{mixing.TOKENIZER}")
+
+
+def p7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixture(spark, sf_dir).withColumnRenamed("doc", "doc_id")
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.shares(_mixture(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
+
+
+def _areas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return areas.document_areas(table(spark, sf_dir, "documents"), table(spark, sf_dir, "area_labels"), table(spark, sf_dir, "areas"), "doc_id", "text")
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _areas(spark, sf_dir).select(F.col("doc").alias("doc_id"), "area")
+
+
+def p8_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return areas.composition(_areas(spark, sf_dir), table(spark, sf_dir, "documents"), "doc_id")
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p3_found, p3_runs, p4_found, p4_splits, p6_found, p6_near, p7_mixture, p7_shares, p8_found, p8_composition)}
 
 ORACLES = {
     "p4_found": r"""
