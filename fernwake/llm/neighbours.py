@@ -14,8 +14,9 @@ from fernwake.functions.arrays import from_matrix, to_matrix
 
 SAMPLE_ROWS = 20_000  # most rows that the centroids are fitted on
 PER_CELL = 256  # wanted vectors a cell
+PER_GROUP = 16_384  # wanted vectors of the neighbouring cells that travel together
 MOST_CENTROIDS = 1024  # for each half; so codebooks and the table of cells stay below 20 MB
-BLOCK = 8192  # most entries, and most queries, of one group of work
+BLOCK = 65_536  # most entries, and most queries, of one piece of work
 PAIRS = 1 << 22  # distances held at a time
 
 FOUND = "query_id long, neighbour_id long, distance double"
@@ -29,12 +30,21 @@ class MultiIndex:
         lo, hi = np.quantile(sample, [0.01, 0.99], axis=0) if len(sample) else (0, 0)
         body = np.clip(sample, lo, hi)  # a few wild readings must not take centroids
         self.books = [_kmeans(body[:, : self.cut], centroids, seed), _kmeans(body[:, self.cut :], centroids, seed + 1)]
+        if len(self.books[1]) > 1:  # so that neighbouring numbers are near each other
+            middle = self.books[1] - self.books[1].mean(0)
+            self.books[1] = self.books[1][np.argsort(middle @ np.linalg.svd(middle, full_matrices=False)[2][0], kind="stable")]
         self.sizes = [len(b) for b in self.books]
         self.apart = [np.sqrt(_sq(b, b)) for b in self.books]
 
     def halves(self, x: np.ndarray) -> list[np.ndarray]:
         return [_sq(x[:, : self.cut], self.books[0]), _sq(x[:, self.cut :], self.books[1])]
 
+    def grouping(self, n: int) -> np.ndarray:
+        """The group of each cell: cells of one first centroid and neighbouring second ones, of about ``PER_GROUP`` vectors."""
+        rows, cols = self.sizes
+        width = int(min(cols, max(1, PER_GROUP * rows * cols // max(n, 1))))
+        return (np.arange(rows)[:, None] * -(-cols // width) + np.arange(cols)[None] // width).ravel()
+
     def cells(self, d: list[np.ndarray]) -> np.ndarray:
         return d[0].argmin(1) * self.sizes[1] + d[1].argmin(1)
 
@@ -147,8 +157,9 @@ def nearest_vectors(df: DataFrame, row_id: str, vector: str, dim: int, k: int, m
 
     The centroids are fitted on at most 20,000 rows picked by a hash of the id; every row is
     indexed. Rows with null or non-finite entries, of another length, without id, or (cosine) all
-    zero are no vectors here and come out nowhere. Repeated ids count once. The work of a cell is
-    cut into blocks of at most ``block`` entries and queries. In a cell of several blocks only the
+    zero are no vectors here and come out nowhere. Repeated ids count once. A vector travels once to
+    its own group of cells and once to each other group that it visits, with the list of the cells
+    there. The work of a group is cut into blocks of about ``block`` entries and queries. In a group of several blocks only the
     k + 1 smallest ids of each group of exact copies are indexed, which are all that can be
     anyone's neighbours; the other copies get theirs by a join on the vector.
     """
@@ -170,67 +181,81 @@ def nearest_vectors(df: DataFrame, row_id: str, vector: str, dim: int, k: int, m
     def visits(d: list[np.ndarray], counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return shared.value.within(d, spread) if spread is not None else shared.value.nearest(d, counts, candidates)
 
-    def tally(kind: str, counts: np.ndarray | None):  # rows a cell, as entries or as visits of queries
+    group_of = index.grouping(n)
+    n_groups = int(group_of.max()) + 1
+
+    def tally(visited: bool, counts: np.ndarray | None) -> np.ndarray:
+        """Entries of each cell, or queries that visit each group."""
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                if kind == "visits":
-                    batch = batch.filter(batch.column(2))
-                _, x, _ = usable(batch, dim, cosine)
+                _, x, _ = usable(batch.filter(batch.column(2)) if visited else batch, dim, cosine)
                 d = shared.value.halves(x)
-                cells, c = np.unique(shared.value.cells(d) if kind == "entries" else visits(d, counts)[1], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int64()), pa.array(c, pa.int64())], ["cell", "n"])
-
-        got = base.mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # at most n_cells rows
-        out = np.zeros(n_cells, np.int64)
-        out[got["cell"].to_numpy()] = got["n"].to_numpy()
+                if visited:
+                    q, cells = visits(d, counts)
+                    at = np.unique(q * n_groups + group_of[cells]) % n_groups
+                else:
+                    at = shared.value.cells(d)
+                at, c = np.unique(at, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(c, pa.int64())], ["at", "n"])
+
+        got = base.mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()  # a row a cell or group
+        out = np.zeros(n_groups if visited else n_cells, np.int64)
+        out[got["at"].to_numpy()] = got["n"].to_numpy()
         return out
 
-    counts = tally("entries", None)
-    eb = np.maximum(1, -(-counts // block))
-    qb = np.maximum(1, -(-tally("visits", counts) // block))
-    tables = spark.sparkContext.broadcast((counts, eb, qb))
+    counts = tally(False, None)
+    eb = np.maximum(1, -(-np.bincount(group_of, counts, n_groups).astype(np.int64) // block))
+    qb = np.maximum(1, -(-tally(True, counts) // block))
+    tables = spark.sparkContext.broadcast((counts, eb, qb, group_of))
     crowded = bool((eb > 1).any())
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, entry_blocks, _ = tables.value
+        _, entry_blocks, _, group = tables.value
         for batch in batches:
             ids, x, _ = usable(batch, dim, cosine)
             cell = shared.value.cells(shared.value.halves(x))
-            yield pa.RecordBatch.from_arrays([pa.array(ids), from_matrix(x), pa.array(cell, pa.int64()), pa.array(entry_blocks[cell] > 1)], ["id", "vec", "cell", "crowded"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids), from_matrix(x), pa.array(entry_blocks[group[cell]] > 1)], ["id", "vec", "crowded"])
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, entry_blocks, query_blocks = tables.value
+        held, entry_blocks, query_blocks, group = tables.value
         for batch in batches:
             ids, x, kept = usable(batch, dim, cosine and not crowded)  # a crowded index is at length 1 already
             wanted = batch.column(2).to_numpy(zero_copy_only=False)[kept]
             d = shared.value.halves(x)
-            own, mix = shared.value.cells(d), ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)
+            own = shared.value.cells(d)
+            mix = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64)
             ask = np.flatnonzero(wanted)
-            q, qc = visits([m[ask] for m in d], held)
-            q = ask[q]
+            q, cells = visits([m[ask] for m in d], held)
+            order = np.lexsort((cells, group[cells], q))
+            q, cells = ask[q[order]], cells[order]
+            first = np.flatnonzero(np.r_[True, (q[1:] != q[:-1]) | (group[cells[1:]] != group[cells[:-1]])]) if len(q) else np.zeros(0, np.int64)
+            lengths = np.diff(np.r_[first, len(q)])  # cells of each (query, group)
+            q, qg, eg = q[first], group[cells[first]], group[own]
             # entries go to every block of queries, queries to every block of entries
-            e_rep, q_rep = query_blocks[own], entry_blocks[qc]
-            e_row, q_row = np.repeat(np.arange(len(ids)), e_rep), np.repeat(q, q_rep)
-            e_q = np.arange(len(e_row)) - np.repeat(np.cumsum(e_rep) - e_rep, e_rep)
-            q_e = np.arange(len(q_row)) - np.repeat(np.cumsum(q_rep) - q_rep, q_rep)
-            q_cell = np.repeat(qc, q_rep)
-            e_cell = own[e_row]
-            e_e, q_q = (mix[e_row] % entry_blocks[e_cell].astype(np.uint64)).astype(np.int64), (mix[q_row] % query_blocks[q_cell].astype(np.uint64)).astype(np.int64)
-            e_key = np.stack([e_row, e_cell, e_q, e_e], 1)
-            q_key = np.stack([q_row, q_cell, q_q, q_e], 1)
+            e_row, e_at = _spread(np.arange(len(ids)), query_blocks[eg])
+            pair, q_at = _spread(np.arange(len(q)), entry_blocks[qg])
+            e_key = np.stack([e_row, eg[e_row], e_at, mix[e_row] % entry_blocks[eg[e_row]]], 1)
+            q_key = np.stack([q[pair], qg[pair], mix[q[pair]] % query_blocks[qg[pair]], q_at], 1)
             keys, back = np.unique(np.concatenate([e_key, q_key]), axis=0, return_inverse=True)
-            role = np.zeros(len(keys), np.int8)
-            np.bitwise_or.at(role, back.ravel()[: len(e_key)], 1)
-            np.bitwise_or.at(role, back.ravel()[len(e_key) :], 2)
-            row = keys[:, 0]
-            for s in range(0, len(row), 20_000):
-                r, ks = row[s : s + 20_000], keys[s : s + 20_000]
-                yield pa.RecordBatch.from_arrays([pa.array(ks[:, 1]), pa.array(ks[:, 2].astype(np.int32)), pa.array(ks[:, 3].astype(np.int32)), pa.array(ids[r]), pa.array(role[s : s + 20_000]), from_matrix(x[r])], ["cell", "q_block", "e_block", "id", "role", "vec"])
+            entry, asks = np.zeros(len(keys), bool), np.full(len(keys), -1, np.int64)
+            entry[back.ravel()[: len(e_key)]] = True
+            asks[back.ravel()[len(e_key) :]] = pair
+            for s in range(0, len(keys), 20_000):
+                ks, en, p = keys[s : s + 20_000], entry[s : s + 20_000], asks[s : s + 20_000]
+                n_cells_of = np.where(p >= 0, lengths[p] if len(lengths) else 0, 0)
+                source, step = _spread(np.where(p >= 0, first[p] if len(first) else 0, 0), n_cells_of)
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n_cells_of)].astype(np.int32)), pa.array(cells[source + step].astype(np.int32)))
+                row = ks[:, 0]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ks[:, 1].astype(np.int32)), pa.array(ks[:, 2].astype(np.int32)), pa.array(ks[:, 3].astype(np.int32)), pa.array(ids[row]), pa.array(np.where(en, own[row], -1).astype(np.int32)), lists, from_matrix(x[row])],
+                    ["at", "q_block", "e_block", "id", "cell", "asked", "vec"],
+                )
 
     copies = None
     indexed = base
     if crowded:
-        placed = base.mapInArrow(assign, "id long, vec array<float>, cell long, crowded boolean")
+        placed = base.mapInArrow(assign, "id long, vec array<float>, crowded boolean")
         dense = placed.where("crowded").select("id", "vec").dropDuplicates(["id"])
         ranked = dense.withColumn("nth", F.row_number().over(Window.partitionBy("vec").orderBy("id")))
         lead = ranked.where(F.col("nth") <= k + 1)
@@ -241,12 +266,13 @@ def nearest_vectors(df: DataFrame, row_id: str, vector: str, dim: int, k: int, m
         copies = rest.join(leaders, "vec").select("id", F.explode(F.slice("ids", 1, k)).alias("neighbour_id"))
         copies = copies.select(F.col("id").alias("query_id"), "neighbour_id", F.lit(0.0).alias("distance"))
 
-    groups = indexed.mapInArrow(place, "cell long, q_block int, e_block int, id long, role tinyint, vec array<float>").groupBy("cell", "q_block", "e_block")
+    placed_rows = indexed.mapInArrow(place, "at int, q_block int, e_block int, id long, cell int, asked array<int>, vec array<float>")
+    groups = placed_rows.groupBy("at", "q_block", "e_block")
 
-    def rerank(group: pa.Table) -> pa.Table:
-        ids, role = group["id"].to_numpy(), group["role"].to_numpy()
-        x, _ = to_matrix(group["vec"], dim)
-        return _rerank(ids, role, x, k, radius)
+    def rerank(t: pa.Table) -> pa.Table:
+        asked = t["asked"].combine_chunks()
+        n_asked = np.diff(asked.offsets.to_numpy())
+        return _rerank(t["id"].to_numpy(), t["cell"].to_numpy(), n_asked, asked.flatten().to_numpy(), to_matrix(t["vec"], dim)[0], k, radius)
 
     found = groups.applyInArrow(rerank, FOUND)
     if copies is not None:
@@ -255,16 +281,32 @@ def nearest_vectors(df: DataFrame, row_id: str, vector: str, dim: int, k: int, m
     return found.distinct().withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
-def _rerank(ids: np.ndarray, role: np.ndarray, x: np.ndarray, k: int, radius: float | None) -> pa.Table:
-    """Exact distances of the group's queries to its entries; the k nearest of each query."""
+def _spread(rows: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each row as often as said, with the number of its repetition."""
+    out = np.repeat(rows, times)
+    return out, np.arange(len(out)) - np.repeat(np.cumsum(times) - times, times)
+
+
+def _rerank(ids: np.ndarray, cell: np.ndarray, n_asked: np.ndarray, asked: np.ndarray, x: np.ndarray, k: int, radius: float | None) -> pa.Table:
+    """Exact distances of the queries to the entries of the cells they visit; the k nearest of each query."""
+    ask_row = np.repeat(np.arange(len(ids)), n_asked)
     _, first = np.unique(ids, return_index=True)  # repeated deliveries of one id
-    ids, role, x = ids[first], role[first], x[first]
-    e, q = np.flatnonzero(role & 1), np.flatnonzero(role & 2)
-    pairs_a, pairs_b, dist = [], [], []
-    if len(e) and len(q):
-        mid = np.median(x[e], axis=0)
-        y = (x - mid).astype(np.float32)
-        norm = np.einsum("ij,ij->i", y, y, dtype=np.float64).astype(np.float32)
+    once = np.zeros(len(ids), bool)
+    once[first] = True
+    asked, ask_row = asked[once[ask_row]], ask_row[once[ask_row]]
+    entry = np.flatnonzero(once & (cell >= 0))
+    entry = entry[np.argsort(cell[entry], kind="stable")]
+    by_cell = np.argsort(asked, kind="stable")
+    asked, ask_row = asked[by_cell], ask_row[by_cell]
+    middle = np.median(x[entry], axis=0) if len(entry) else 0
+    y = (x - middle).astype(np.float32)
+    norm = np.einsum("ij,ij->i", y, y, dtype=np.float64).astype(np.float32)
+    out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for c in np.unique(asked):
+        e = entry[np.searchsorted(cell[entry], c) : np.searchsorted(cell[entry], c, "right")]
+        q = ask_row[np.searchsorted(asked, c) : np.searchsorted(asked, c, "right")]
+        if not len(e):
+            continue
         ye, ne = np.ascontiguousarray(y[e].T), norm[e]
         step = max(1, PAIRS // len(e))
         for s in range(0, len(q), step):
@@ -280,19 +322,19 @@ def _rerank(ids: np.ndarray, role: np.ndarray, x: np.ndarray, k: int, radius: fl
                 b = np.argpartition(d, wide - 1, axis=1)[:, :wide].ravel()
                 a = np.repeat(np.arange(len(rows)), wide)
             keep = rows[a] != e[b]
-            pairs_a.append(rows[a][keep])
-            pairs_b.append(e[b][keep])
-        a, b = np.concatenate(pairs_a), np.concatenate(pairs_b)
-        for s in range(0, len(a), 200_000):
-            diff = x[a[s : s + 200_000]].astype(np.float64) - x[b[s : s + 200_000]]
-            dist.append(np.sqrt(np.einsum("ij,ij->i", diff, diff)))
-        d = np.concatenate(dist) if dist else np.zeros(0)
-        if radius is not None:
-            a, b, d = a[d <= radius], b[d <= radius], d[d <= radius]
-        order = np.lexsort((ids[b], d, a))
-        a, b, d = a[order], b[order], d[order]
-        starts = np.flatnonzero(np.r_[True, a[1:] != a[:-1]]) if len(a) else np.zeros(0, int)
-        nth = np.arange(len(a)) - np.repeat(starts, np.diff(np.r_[starts, len(a)]))
-        a, b, d = a[nth < k], b[nth < k], d[nth < k]
-        return pa.table([pa.array(ids[a], pa.int64()), pa.array(ids[b], pa.int64()), pa.array(d, pa.float64())], ["query_id", "neighbour_id", "distance"])
-    return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], ["query_id", "neighbour_id", "distance"])
+            out_a.append(rows[a][keep])
+            out_b.append(e[b][keep])
+    a, b = np.concatenate(out_a), np.concatenate(out_b)
+    dist = [np.zeros(0)]
+    for s in range(0, len(a), 200_000):
+        diff = x[a[s : s + 200_000]].astype(np.float64) - x[b[s : s + 200_000]]
+        dist.append(np.sqrt(np.einsum("ij,ij->i", diff, diff)))
+    d = np.concatenate(dist)
+    if radius is not None:
+        a, b, d = a[d <= radius], b[d <= radius], d[d <= radius]
+    order = np.lexsort((ids[b], d, a))
+    a, b, d = a[order], b[order], d[order]
+    starts = np.flatnonzero(np.r_[True, a[1:] != a[:-1]]) if len(a) else np.zeros(0, np.int64)
+    nth = np.arange(len(a)) - np.repeat(starts, np.diff(np.r_[starts, len(a)]))
+    a, b, d = a[nth < k], b[nth < k], d[nth < k]
+    return pa.table([pa.array(ids[a], pa.int64()), pa.array(ids[b], pa.int64()), pa.array(d, pa.float64())], ["query_id", "neighbour_id", "distance"])
