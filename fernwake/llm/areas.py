@@ -162,7 +162,8 @@ def fit(sample: DataFrame, areas: int, rounds: int = ROUNDS, rate: float = RATE,
     model = Model.new(areas, seed)
     adam = Adam(model, rate)
     for r in range(rounds):
-        got = kept.groupBy("shard").applyInArrow(_trainer(model, r < rounds * WARM, scratch.root), "met binary, emb binary, out binary, bias binary, n long").toArrow().to_pylist()
+        # a stated number of partitions, which small shards are not merged out of
+        got = kept.repartition(SHARDS, "shard").groupBy("shard").applyInArrow(_trainer(model, r < rounds * WARM, scratch.root), "met binary, emb binary, out binary, bias binary, n long").toArrow().to_pylist()
         n = sum(row["n"] for row in got)
         if not n:
             break
