@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from fernwake.functions.text import words
 from fernwake.session import Scratch, broadcast_if
 
+RAREST = 3  # words of each half that an alignment is first held against
 MOST_ANCHORS = 500_000  # rows of test terms that may be broadcast (some 50 MB)
 
 
@@ -69,8 +70,8 @@ def leaked(docs: DataFrame, items: DataFrame, doc_id: str, item_id: str, text: s
     documents that hold it; a window with a term that no document holds is dropped. Postings less
     the word's place in the item give alignments. A match of ``least`` words holds half as many
     in a row before or after its rarest one, so the alignments are first intersected with the
-    list of the rarest word of each such half, one of which is in any match, and what is left with
-    all the item's words.
+    lists of the three rarest words of each such half, one half of which is in any match, and what
+    is left with all the item's words.
 
     Texts are taken whole. Null texts, and items or documents without id, have no words. Items
     shorter than ``least`` words are matched by nothing. Equal documents each come out under their
@@ -90,14 +91,18 @@ def leaked(docs: DataFrame, items: DataFrame, doc_id: str, item_id: str, text: s
     anchors = rarest.where((F.col("size") == least) & (F.col("r.n") > 0)).select("item", F.col("r.ipos").alias("ipos"), F.col("r.term").alias("term")).distinct()
     half, by_item = least // 2, Window.partitionBy("item").orderBy("ipos")
     sides = [by_item.rowsBetween(-half, -1), by_item.rowsBetween(1, half)]
-    side = lambda w: F.when(F.count(F.lit(1)).over(w) == half, F.min(F.struct("n", F.col("ipos").alias("npos"), F.col("term").alias("next"))).over(w))
-    beside = counted.select("item", "ipos", F.array(*[side(w) for w in sides]).alias("s")).select("item", "ipos", F.explode(F.array_compact("s")).alias("s"))
-    beside = beside.select("item", "ipos", "s.npos", "s.next").join(anchors.select("item", "ipos"), ["item", "ipos"], "left_semi")
+    word = F.struct("n", F.col("ipos").alias("npos"), F.col("term").alias("next"))
+    side = lambda w: F.when(F.count(F.lit(1)).over(w) == half, F.slice(F.sort_array(F.collect_list(word).over(w)), 1, RAREST))
+    beside = counted.select("item", "ipos", F.array(*[side(w) for w in sides]).alias("both")).select("item", "ipos", F.posexplode("both").alias("side", "s")).where("s is not null")
+    beside = beside.select("item", "ipos", "side", F.size("s").alias("wanted"), F.explode("s").alias("s"))
+    beside = beside.select("item", "ipos", "side", "wanted", "s.npos", "s.next").join(anchors.select("item", "ipos"), ["item", "ipos"], "left_semi")
     hits = index.join(broadcast_if(anchors, MOST_ANCHORS), "term").select("doc", "item", "ipos", F.explode("places").alias("dpos"))
-    hits = hits.select("doc", "item", "ipos", (F.col("dpos") - F.col("ipos")).alias("shift")).distinct()
+    hits = hits.select("doc", "item", "ipos", (F.col("dpos") - F.col("ipos")).alias("shift"))
     near = lambda place: F.exists("places", lambda p: F.abs(p - place) <= slop)
     steps = hits.join(broadcast_if(beside, MOST_ANCHORS), ["item", "ipos"]).withColumnRenamed("next", "term")
-    first = steps.join(index, ["doc", "term"]).where(near(F.col("npos") + F.col("shift"))).select("doc", "item", "shift").distinct()
+    met = steps.join(index, ["doc", "term"]).where(near(F.col("npos") + F.col("shift")))
+    met = met.groupBy("doc", "item", "shift", "ipos", "side").agg(F.count(F.lit(1)).alias("met"), F.max("wanted").alias("wanted"))
+    first = met.where("met = wanted").select("doc", "item", "shift").distinct()
     whole = first.join(broadcast_if(test, MOST_ANCHORS), "item").join(index, ["doc", "term"])
     place = F.col("ipos") + F.col("shift")
     whole = whole.where(near(place)).select("doc", "item", "shift", "ipos", F.array_contains("places", place).alias("exact"))
