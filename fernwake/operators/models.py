@@ -5,9 +5,11 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from itertools import product
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pyarrow as pa
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
@@ -16,15 +18,18 @@ from pyspark.sql import functions as F
 from fernwake.functions.arrays import from_matrix, to_matrix
 from fernwake.operators.evaluation import average_precision
 
+AT_ONCE = 2  # folds fitted at a time
 GRIDS = {"logreg": {"c": [0.01, 0.1, 1.0, 10.0]}, "svm_rbf": {"c": [0.1, 1.0, 10.0, 100.0], "gamma": [0.001, 0.01, 0.1, 1.0]}, "random_forest": {}, "gbt": {}}
 
 
-def balanced(rows: DataFrame) -> DataFrame:
-    """``rows`` with ``weight``: n / (2 * rows of the class)."""
-    n = rows.groupBy("y").agg(F.count(F.lit(1)).alias("_n"))
-    total = n.agg(F.sum("_n").alias("_t"), F.count(F.lit(1)).alias("_k"))
-    w = n.crossJoin(F.broadcast(total)).select("y", (F.col("_t") / (F.col("_k") * F.col("_n"))).alias("weight"))
-    return rows.join(F.broadcast(w), "y")  # one row a class
+def balanced(rows: DataFrame) -> tuple[DataFrame, int]:
+    """``rows`` that have a class, with ``weight``: n / (classes * rows of the class); and n."""
+    n = {r["y"]: r["count"] for r in rows.where("y is not null").groupBy("y").count().collect()}  # one row a class
+    total = sum(n.values())
+    weight = F.lit(None).cast("double")
+    for y, count in sorted(n.items()):  # literals, as joins in every fold's fit would fill the driver
+        weight = F.when(F.col("y") == y, total / (len(n) * count)).otherwise(weight)
+    return rows.where("y is not null").withColumn("weight", weight), total
 
 
 def fourier(rows: DataFrame, dim: int, gamma: float, features: int = 256, seed: int = 3) -> DataFrame:
@@ -58,10 +63,10 @@ class Classifier:
         return rows.withColumn("features", array_to_vector(F.col("x").cast("array<double>")))
 
     def fit(self, rows: DataFrame) -> Classifier:
-        data = balanced(self._features(rows))
+        data, n = balanced(self._features(rows))
         c = self.params.get("c", 1.0)
         common = {"featuresCol": "features", "labelCol": "y", "weightCol": "weight"}
-        weight = max(1.0, rows.count())
+        weight = max(1.0, n)
         made = {
             "logreg": lambda: LogisticRegression(regParam=1 / (c * weight), maxIter=200, standardization=False, **common),
             "svm_rbf": lambda: LinearSVC(regParam=1 / (c * weight), maxIter=100, standardization=False, **common),
@@ -77,6 +82,38 @@ class Classifier:
         return out.withColumn("score", p).drop("features", "probability", "rawPrediction", "prediction")
 
 
+def held_out(name: str, rows: DataFrame, dim: int, **params: float) -> DataFrame:
+    """``rows`` (x, y, group) with the ``score`` of each by the model fitted on all other groups: one fold for each group.
+
+    Every row of a group comes out once. Where the other groups have fewer than two classes nothing
+    can be fitted, and the score is null; rows without group are in no fold.
+    """
+    spark = rows.sparkSession
+    kept = rows.cache()
+    sizes = kept.where("group is not null").groupBy("group", "y").count().collect()  # one row a group and class
+    classes: dict[str, set] = {r["group"]: set() for r in sizes}
+    for r in sizes:
+        for g in classes:
+            if g != r["group"] and r["y"] is not None:
+                classes[g].add(r["y"])
+
+    def fit(g: str) -> Classifier | None:
+        return Classifier(name, dim, **params).fit(kept.where((F.col("group") != g) & F.col("y").isNotNull())) if len(classes[g]) > 1 else None
+
+    groups = sorted(classes)
+    try:
+        with ThreadPool(AT_ONCE) as pool:
+            fitted = pool.map(inheritable_thread_target(spark)(fit), groups, 1)
+    finally:
+        kept.unpersist()
+    out = rows.limit(0).withColumn("score", F.lit(None).cast("double"))
+    for g, m in zip(groups, fitted):
+        test = rows.where(F.col("group") == g)
+        scored = m.score(test) if m else test.withColumn("score", F.lit(None).cast("double"))
+        out = out.unionByName(scored.select(*out.columns))
+    return out
+
+
 def group_folds(rows: DataFrame, n: int) -> dict[str, int]:
     """Groups over ``n`` folds, the largest first to the smallest fold; one row a group on the driver."""
     sizes = rows.groupBy("group").count().orderBy(F.desc("count"), "group").collect()

@@ -483,9 +483,7 @@ def _examples(spark, sf) -> DataFrame:
 
 
 def _held_out(spark, sf, name: str, **params) -> DataFrame:
-    x = _examples(spark, sf)
-    m = models.Classifier(name, DIM, **params).fit(x.where("group <> '0'"))
-    return m.score(x.where("group = '0'")).select("id", "y", F.round("score", 6).alias("score"))
+    return models.held_out(name, _examples(spark, sf), DIM, **params).select("id", "y", F.round("score", 6).alias("score"))
 
 
 @query()

@@ -114,6 +114,18 @@ def test_budget():
         models.update_budget({**r, "post_training_seconds_first_fold": 1e5})
 
 
+def test_held_out_scores_every_group(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, int(i % 3 == 0), "abc"[i % 5 % 3], [float(i % 3 == 0) + float(v) for v in rng.normal(size=2)]) for i in range(60)]
+    df = spark.createDataFrame(rows + [(90, 1, None, [0.0, 0.0])], "id long, y int, group string, x array<double>")
+    got = {r.id: r.score for r in models.held_out("logreg", df, 2).collect()}
+    want = {r.id: r.score for g in "abc" for r in models.Classifier("logreg", 2).fit(df.where(f"group <> '{g}'")).score(df.where(f"group = '{g}'")).collect()}
+    assert sorted(got) == list(range(60)) and all(got[i] == pytest.approx(want[i], abs=1e-6) for i in want)
+    alone = models.held_out("logreg", df.where("group = 'a' or group = 'b' and y = 0"), 2).collect()
+    assert all((r.score is None) == (r.group == "a") for r in alone) and {r.group for r in alone} == {"a", "b"}
+    assert models.held_out("logreg", df.limit(0), 2).count() == 0
+
+
 def test_fidelity_closed_form():
     rng = np.random.default_rng(3)
     x, y = rng.normal(size=(5, 4)), rng.normal(size=(5, 4))

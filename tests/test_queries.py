@@ -19,3 +19,10 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).columns == ["id", "label", "score"]
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+@pytest.mark.parametrize("name", ["logreg_probe", "svm_rbf_approx", "random_forest", "gbt"])
+def test_every_row_is_scored_once(spark, name):
+    rows = reference.QUERIES[name](spark, SMALL).collect()
+    ids = [r.vec_id for r in spark.read.parquet(f"{SMALL}/embeddings.parquet").select("vec_id").collect()]
+    assert sorted(r.id for r in rows) == sorted(ids) and all(r.score is not None for r in rows)
