@@ -498,17 +498,17 @@ def svm_rbf_approx(spark, sf):
 
 @query()
 def random_forest(spark, sf):
-    return _held_out(spark, sf, "random_forest", trees=20)
+    return _held_out(spark, sf, "random_forest")
 
 
 @query()
 def gbt(spark, sf):
-    return _held_out(spark, sf, "gbt", trees=5)
+    return _held_out(spark, sf, "gbt")
 
 
 @query()
 def grid_search(spark, sf):
-    _, best, ap = models.search("logreg", _examples(spark, sf), DIM, 3, {"c": [0.1, 1.0]})
+    _, best, ap = models.search("logreg", _examples(spark, sf), DIM, 3)
     return spark.createDataFrame([(float(best["c"]), float(ap))], "c double, average_precision double")
 
 

@@ -26,3 +26,12 @@ def test_every_row_is_scored_once(spark, name):
     rows = reference.QUERIES[name](spark, SMALL).collect()
     ids = [r.vec_id for r in spark.read.parquet(f"{SMALL}/embeddings.parquet").select("vec_id").collect()]
     assert sorted(r.id for r in rows) == sorted(ids) and all(r.score is not None for r in rows)
+
+
+def test_models_run_at_their_own_settings(spark, monkeypatch):
+    asked = {}
+    monkeypatch.setattr(reference.models, "held_out", lambda name, rows, dim, **p: asked.update({name: p}) or rows.withColumn("score", rows.y * 1.0))
+    monkeypatch.setattr(reference.models, "search", lambda name, rows, dim, folds, grid=None: asked.update(grid=grid) or (None, {"c": 1.0}, 0.5))
+    for name in ("random_forest", "gbt", "grid_search"):
+        reference.QUERIES[name](spark, SMALL)
+    assert asked == {"random_forest": {}, "gbt": {}, "grid": None}
