@@ -23,6 +23,27 @@ def leakage(bank: DataFrame, test_group: str, train_ids: DataFrame) -> DataFrame
     return bank.agg(F.count(F.when(F.col("group") == test_group, 1)).alias("of_test_group")).crossJoin(bank.join(train_ids, "id", "left_anti").agg(F.count(F.lit(1)).alias("not_in_training")))
 
 
+def fold_leakage(bank: DataFrame, members: DataFrame, folds: DataFrame) -> DataFrame:
+    """``leakage`` of every fold's bank: test_group, of_test_group, not_in_training.
+
+    ``bank`` has (test_group, id, group), ``members`` all rows (id, group), of which a fold trains
+    on those of other groups. Folds with an empty bank have zeros.
+    """
+    # a training row of the fold is a member of a group that isn't the fold's
+    own = members.select("id", F.col("group").alias("_own")).dropDuplicates(["id"])
+    found = bank.join(own, "id", "left").groupBy("test_group").agg(
+        F.count(F.when(F.col("group") == F.col("test_group"), 1)).alias("of_test_group"),
+        F.count(F.when(F.col("_own").isNull() | (F.col("_own") == F.col("test_group")), 1)).alias("not_in_training"),
+    )
+    return folds.select("test_group").join(found, "test_group", "left").na.fill(0, ["of_test_group", "not_in_training"])
+
+
+def fold_standardized(rows: DataFrame, column: str) -> DataFrame:
+    """``rows`` once for each fold, with ``test_group`` and ``z``: ``column`` by the statistics of the fold's training rows."""
+    fit = fold_moments(rows, [column]).select("test_group", "mean", "std")
+    return rows.crossJoin(F.broadcast(fit)).withColumn("z", (finite(F.col(column)) - F.col("mean")) / F.col("std")).drop("mean", "std")  # one row a fold
+
+
 def assert_no_leakage(bank: DataFrame, test_group: str, train_ids: DataFrame) -> None:
     found = leakage(bank, test_group, train_ids).first()
     if found["of_test_group"] or found["not_in_training"]:

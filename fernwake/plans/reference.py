@@ -229,6 +229,13 @@ def leakage_counts(spark, sf):
     return folds.leakage(e, "3", e.where("group <> '3'").select("id"))
 
 
+@query(f"WITH {E}, f AS (SELECT DISTINCT g AS t FROM e), b AS (SELECT t, id, g FROM f, e) SELECT CAST(t AS VARCHAR) AS test_group, count(*) FILTER (WHERE g = t) AS of_test_group, count(*) FILTER (WHERE id NOT IN (SELECT id FROM e WHERE g <> t)) AS not_in_training FROM b GROUP BY t")
+def leakage_counts_loso(spark, sf):
+    e = emb(spark, sf).select("id", "group")
+    f = folds.make_folds(e)
+    return folds.fold_leakage(e.crossJoin(F.broadcast(f.select("test_group"))), e, f)  # one row a fold
+
+
 # ---- preprocessing -------------------------------------------------------------------------------
 
 
@@ -251,6 +258,13 @@ def standard_scale_apply(spark, sf):
     return rounded(z.groupBy("group").agg(F.avg("z").alias("mean_z"), F.max("z").alias("max_z")), "mean_z", "max_z")
 
 
+@query(f"""WITH {L}, f AS (SELECT DISTINCT g AS t FROM l), a AS (SELECT t, avg(extendedprice) AS m, stddev_pop(extendedprice) AS s FROM f JOIN l ON g <> t GROUP BY t)
+    SELECT t AS test_group, g AS "group", round(avg((extendedprice - m) / s), 6) AS mean_z, round(max((extendedprice - m) / s), 6) AS max_z FROM l, a GROUP BY t, g""")
+def standard_scale_apply_loso(spark, sf):
+    z = folds.fold_standardized(lines(spark, sf), "extendedprice")
+    return rounded(z.groupBy("test_group", "group").agg(F.avg("z").alias("mean_z"), F.max("z").alias("max_z")), "mean_z", "max_z")
+
+
 @query(f'WITH {L} SELECT c AS "column", round(quantile_cont(v, 0.5::DOUBLE), 6) AS center, round(quantile_cont(v, 0.75::DOUBLE) - quantile_cont(v, 0.25::DOUBLE), 6) AS scale FROM w WHERE v IS NOT NULL GROUP BY c')
 def robust_scale_stats(spark, sf):
     return rounded(folds.robust_stats(lines(spark, sf), COLUMNS), "center", "scale")

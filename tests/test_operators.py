@@ -67,6 +67,15 @@ def test_guard(spark):
     folds.assert_no_leakage(bank.where("id < 5"), "b", train)
 
 
+def test_every_fold_is_guarded_and_scaled(spark):
+    rows = spark.createDataFrame([(0, "a", 1.0), (1, "a", 3.0), (2, "b", 5.0), (3, "c", 9.0)], "id long, group string, v double")
+    bank = spark.createDataFrame([("a", 2, "b"), ("a", 0, "a"), ("b", 0, "a"), ("b", 7, "c")], "test_group string, id long, group string")
+    got = {r.test_group: (r.of_test_group, r.not_in_training) for r in folds.fold_leakage(bank, rows, folds.make_folds(rows)).collect()}
+    assert got == {"a": (1, 1), "b": (0, 1), "c": (0, 0)}
+    z = {(r.test_group, r.id): r.z for r in folds.fold_standardized(rows, "v").collect()}
+    assert len(z) == 12 and z["a", 0] == pytest.approx(-3.0) and z["c", 3] == pytest.approx((9 - 3) / np.std([1, 3, 5]))
+
+
 def test_medians_and_scales(spark):
     nan, inf = math.nan, math.inf
     m = [[1, nan, 7, nan], [3, 4, 7, nan], [5, 6, 7, nan], [8, inf, 7, nan]]
