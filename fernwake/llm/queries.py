@@ -19,7 +19,7 @@ RADIUS_X_TRAIN = (2 - 2 * 0.95) ** 0.5  # of a cosine of 0.95, at length 1
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = neighbours.nearest_vectors(table(spark, sf_dir, "windows"), "row_idx", "features", 40, 5, radius=0.5)
-    b = neighbours.nearest_vectors(table(spark, sf_dir, "fold_train"), "train_id", "x_train", 40, 5, "cosine", radius=RADIUS_X_TRAIN, slack=0.4, per_cell=1024)
+    b = neighbours.nearest_vectors(table(spark, sf_dir, "fold_train"), "train_id", "x_train", 40, 5, "cosine", radius=RADIUS_X_TRAIN, per_cell=1024)
     both = a.withColumn("field", F.lit("features")).unionByName(b.withColumn("field", F.lit("x_train")))
     return both.select("field", F.least("query_id", "neighbour_id").alias("id_a"), F.greatest("query_id", "neighbour_id").alias("id_b")).distinct()
 

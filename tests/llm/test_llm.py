@@ -60,6 +60,20 @@ def test_recall_without_radius(spark):
     assert hit / (150 * 5) >= 0.9
 
 
+def test_pairs_that_differ_in_one_reading(spark, tmp_path):
+    rng = np.random.default_rng(12)
+    unit = lambda m, n: m / np.linalg.norm(m, axis=1)[:, None] * n
+    body = np.concatenate([np.where(np.arange(5000) % 2, 0.5, -0.5)[:, None], unit(rng.normal(size=(5000, 39)), 0.75**0.5)], 1)
+    rest = unit(rng.normal(size=(60, 39)), 0.98)
+    pairs = np.concatenate([np.concatenate([np.full((60, 1), at), rest], 1) for at in (0.15, -0.15)])
+    x = np.concatenate([body, pairs]).astype(np.float32)
+    spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "train_id long, x_train array<float>").write.parquet(f"{tmp_path}/fold_train.parquet")
+    spark.createDataFrame([(0, [0.0] * 40)], "row_idx long, features array<float>").write.parquet(f"{tmp_path}/windows.parquet")
+    got = {(r.id_a, r.id_b) for r in queries.p2_found(spark, str(tmp_path)).where("field = 'x_train'").collect()}
+    u = unit(x.astype(float), 1)
+    assert got == {(int(a), int(b)) for a, b in np.argwhere(np.triu(u @ u.T >= 0.95, 1))} and {(5000 + i, 5060 + i) for i in range(60)} <= got
+
+
 def _runs(rows, gap, least):
     once = {}
     for k, t, i, v in rows:
