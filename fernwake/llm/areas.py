@@ -26,7 +26,7 @@ MOST_AREAS = 4096
 
 def pieces(word: str) -> np.ndarray:
     """Buckets of a word and of its runs of three to five characters; a stated hash, alike everywhere."""
-    w = f"<{word[:64]}>"
+    w = f"<{word}>"
     grams = [w[i : i + n] for n in (3, 4, 5) for i in range(len(w) - n + 1)]
     return np.array(sorted({zlib.crc32(g.encode()) % BUCKETS for g in [f"={word}", *grams]}), np.int64)
 
@@ -233,7 +233,9 @@ def score(docs: DataFrame, model: Model, areas: list[str], doc_id: str, text: st
 
 def document_areas(docs: DataFrame, labels: DataFrame, areas: DataFrame, doc_id: str, text: str) -> DataFrame:
     """The areas of every document (see ``score``), by a model fitted on the labelled ones."""
-    names = [r[0] for r in areas.select("area").dropna().distinct().orderBy("area").limit(MOST_AREAS).collect()]
+    names = [r[0] for r in areas.select("area").dropna().distinct().orderBy("area").limit(MOST_AREAS + 1).collect()]
+    if len(names) > MOST_AREAS:
+        raise ValueError(f"more than {MOST_AREAS} areas")
     model = fit(labelled(docs, labels, names, doc_id, text), len(names))
     return score(docs, model, names, doc_id, text).groupBy("doc", "area").agg(F.max("n_sentences").alias("n_sentences"), F.max("n_all").alias("n_all"))
 

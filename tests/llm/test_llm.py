@@ -208,3 +208,13 @@ def test_areas_on_held_out_documents(spark):
     assert len(ours & held) / len(held) >= 0.9 and len(ours & held) / len(ours) >= 0.9
     assert {x[1] for x in got if x[0] == 1002} == {x[1] for x in got if x[0] == 0}
     assert not {x for x in got if x[0] in (1000, 1001)}
+
+
+def test_whole_words_and_no_dropped_areas(spark, monkeypatch):
+    import zlib
+
+    assert zlib.crc32(b"xyz") % areas.BUCKETS in areas.pieces("a" * 64 + "xyz")
+    monkeypatch.setattr(areas, "MOST_AREAS", 2)
+    d, y = spark.createDataFrame([(1, "a b")], "doc_id long, text string"), spark.createDataFrame([(1, "law")], "doc_id long, area string")
+    with pytest.raises(ValueError):
+        areas.document_areas(d, y, spark.createDataFrame([("law",), ("sport",), ("code",)], "area string"), "doc_id", "text")
