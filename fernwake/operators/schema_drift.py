@@ -97,8 +97,8 @@ def unified(raw: DataFrame, columns: DataFrame, layout: DataFrame) -> DataFrame:
 
     Columns: file_name, row_no, window_start, window_end, label, ``features`` (array<double>, the
     layout's columns in its order, null where the file lacks one) and ``extra`` (the other columns
-    as an array of (column, value) by name). Values are cast with ``number``; what is no number is
-    null. A record sent twice counts once. A payload that is no JSON object gives a row of nulls.
+    as an array of (column, value, text) by name). Values are cast with ``number``; what is no number is
+    null, and ``text`` has it as it was written. A record sent twice counts once. A payload that is no JSON object gives a row of nulls.
     Keys absent from the file's list are named by their bare form.
     """
     r = raw.select("file_name", "row_no", "payload").dropDuplicates(["file_name", "row_no"])
@@ -106,12 +106,12 @@ def unified(raw: DataFrame, columns: DataFrame, layout: DataFrame) -> DataFrame:
     named = canonical_columns(columns, layout).groupBy("file_name", "col_name").agg(F.min("column").alias("column"))
     known = layout.select(bare(F.col("column_name")).alias("b"), F.col("column_name").alias("by_name")).dropDuplicates(["b"])
     long = fields.join(named, ["file_name", "col_name"], "left").withColumn("b", bare(F.col("col_name"))).join(known, "b", "left")
-    long = long.select("file_name", "row_no", F.coalesce("column", "by_name", "b").alias("column"), number(F.col("text")).alias("value"))
+    long = long.select("file_name", "row_no", F.coalesce("column", "by_name", "b").alias("column"), number(F.col("text")).alias("value"), "text")
     places = layout.groupBy("column_name").agg(F.min("pos").alias("pos")).withColumnRenamed("column_name", "column")
     long = long.join(places, "column", "left")
     meta = [F.max(F.when(F.col("column") == m, F.col("value"))).alias(m) for m in META.values()]
     is_meta = F.col("column").isin(*META.values())
-    wide = long.groupBy("file_name", "row_no").agg(*meta, F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", "value"))).alias("_f"), F.collect_list(F.when(F.col("pos").isNull() & ~is_meta, F.struct("column", "value"))).alias("_x"))
+    wide = long.groupBy("file_name", "row_no").agg(*meta, F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", "value"))).alias("_f"), F.collect_list(F.when(F.col("pos").isNull() & ~is_meta, F.struct("column", "value", "text"))).alias("_x"))
     width = layout.agg((F.coalesce(F.max("pos"), F.lit(-1)) + 1).alias("_n"))
     wide = wide.crossJoin(F.broadcast(width))  # one row
     slots = F.when(F.col("_n") > 0, F.transform(F.sequence(F.lit(0), F.col("_n") - 1), lambda i: F.try_element_at(F.transform(F.filter("_f", lambda x: x["pos"] == i), lambda x: x["value"]), F.lit(1)))).otherwise(F.array().cast("array<double>"))

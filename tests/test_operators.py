@@ -160,6 +160,13 @@ def test_flooding_prefers_ids_over_names():
     assert {(c, o) for c, k, o, _ in changes(old, new) if k == "renamed"} == {("b1x", "a1"), ("a1x", "b1")}
 
 
+def test_unified_keeps_text(spark):
+    raw = spark.createDataFrame([("f", 0, '{"AMean": "1,5", "note": "left out", "n": "2,50"}')], "file_name string, row_no long, payload string")
+    layout = spark.createDataFrame([(0, "AMean")], "pos int, column_name string")
+    row = schema_drift.unified(raw, spark.createDataFrame([], COLS), layout).first()
+    assert row.features == [1.5] and [tuple(x) for x in row.extra] == [("n", 2.5, "2,50"), ("note", None, "left out")]
+
+
 def test_numbers(spark):
     df = spark.createDataFrame([("11,513",), (" 4.69 ",), ("true",), ("x",), (None,), ("nan",)], "t string")
     assert [r[0] for r in df.select(schema_drift.number(F.col("t"))).collect()] == [11.513, 4.69, 1.0, None, None, None]
