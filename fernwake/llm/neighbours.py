@@ -317,14 +317,21 @@ def _rerank(ids: np.ndarray, cell: np.ndarray, n_asked: np.ndarray, asked: np.nd
             d += ne[None]
             if radius is not None:  # what single precision can't tell apart is kept for the exact distance
                 a, b = np.nonzero(d <= (radius * radius * 1.001 + 4e-6 * norm[rows])[:, None])
-            else:
-                wide = min(len(e), k + 9)
-                b = np.argpartition(d, wide - 1, axis=1)[:, :wide].ravel()
-                a = np.repeat(np.arange(len(rows)), wide)
+            else:  # likewise up to the (k + 1)-th, one of them being the query itself
+                last = np.partition(d, k, axis=1)[:, k] if len(e) > k + 1 else np.full(len(rows), np.inf, np.float32)
+                a, b = np.nonzero(d <= (np.maximum(last, 0) * 1.001 + 2e-5 * norm[rows])[:, None])
             keep = rows[a] != e[b]
-            out_a.append(rows[a][keep])
-            out_b.append(e[b][keep])
-    a, b = np.concatenate(out_a), np.concatenate(out_b)
+            a, b = rows[a][keep], e[b][keep]
+            if radius is None:  # many can tie, so they are ranked before the next ones are looked at
+                a, b, _ = _ranked(ids, a, b, x, k, None)
+            out_a.append(a)
+            out_b.append(b)
+    a, b, d = _ranked(ids, np.concatenate(out_a), np.concatenate(out_b), x, k, radius)
+    return pa.table([pa.array(ids[a], pa.int64()), pa.array(ids[b], pa.int64()), pa.array(d, pa.float64())], ["query_id", "neighbour_id", "distance"])
+
+
+def _ranked(ids: np.ndarray, a: np.ndarray, b: np.ndarray, x: np.ndarray, k: int, radius: float | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ``k`` nearest b of each a by exact distance, ties by the smaller id, and their distances."""
     dist = [np.zeros(0)]
     for s in range(0, len(a), 200_000):
         diff = x[a[s : s + 200_000]].astype(np.float64) - x[b[s : s + 200_000]]
@@ -336,5 +343,4 @@ def _rerank(ids: np.ndarray, cell: np.ndarray, n_asked: np.ndarray, asked: np.nd
     a, b, d = a[order], b[order], d[order]
     starts = np.flatnonzero(np.r_[True, a[1:] != a[:-1]]) if len(a) else np.zeros(0, np.int64)
     nth = np.arange(len(a)) - np.repeat(starts, np.diff(np.r_[starts, len(a)]))
-    a, b, d = a[nth < k], b[nth < k], d[nth < k]
-    return pa.table([pa.array(ids[a], pa.int64()), pa.array(ids[b], pa.int64()), pa.array(d, pa.float64())], ["query_id", "neighbour_id", "distance"])
+    return a[nth < k], b[nth < k], d[nth < k]

@@ -40,6 +40,20 @@ def test_neighbours_equal_brute_force(spark, block, radius):
     assert neighbours.nearest_vectors(df.limit(0), "id", "v", 6, 3, radius=radius).count() == 0
 
 
+def test_ties_without_radius_go_to_the_smaller_ids():
+    ids = np.random.default_rng(2).permutation(400)
+    x = np.ones((400, 4), np.float32)
+    x[ids >= 300] += np.arange(100, dtype=np.float32)[:, None] * 1e-7  # nearer than single precision tells apart
+    got = neighbours._rerank(ids, np.zeros(400, np.int64), np.ones(400, np.int64), np.zeros(400, np.int64), x, 3, None).to_pylist()
+    by = {}
+    for r in got:
+        by.setdefault(r["query_id"], []).append(r["neighbour_id"])
+    for i in range(400):
+        d = np.linalg.norm(x.astype(float) - x[i], axis=1)
+        d[i] = np.inf
+        assert by[ids[i]] == ids[np.lexsort((ids, d))[:3]].tolist()
+
+
 def test_pairs_come_by_rising_sum():
     rng = np.random.default_rng(1)
     a, b = np.sort(rng.random(9)).tolist(), np.sort(rng.random(7)).tolist()
