@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -11,8 +12,9 @@ from pyspark.sql import functions as F
 from fernwake.operators.ordering import link_previous, range_parts
 from fernwake.operators.schema_match import Column as Field
 from fernwake.operators.schema_match import changes
-from fernwake.session import Scratch
+from fernwake.session import Scratch, broadcast_if
 
+MOST_FILES = 20_000  # files whose names may be broadcast, of one entry a column
 META = {"windowstartsec": "window_start", "windowendsec": "window_end", "label": "label"}
 
 
@@ -85,37 +87,69 @@ def canonical_columns(columns: DataFrame, layout: DataFrame) -> DataFrame:
 
 
 def number(c: Column) -> Column:
-    """A number written in any of several ways: blanks, a comma or point as decimal sign, true/false; else null."""
-    t = F.lower(F.regexp_replace(c, r"[\s ']", ""))
-    decimal = F.when(t.contains(".") & t.contains(","), F.regexp_replace(t, ",", "")).otherwise(F.regexp_replace(t, ",", "."))
+    """A number written in any of several ways: blanks, a comma or point as decimal sign, true/false; else null.
+
+    Of a comma and a point the last one is the decimal sign, the other parts thousands. A sign that
+    stands alone is the decimal one, unless it is repeated.
+    """
+    t = F.lower(F.regexp_replace(c, r"[\s\u00a0']", ""))
+    comma, point = F.length(t) - F.length(F.replace(t, F.lit(","), F.lit(""))), F.length(t) - F.length(F.replace(t, F.lit("."), F.lit("")))
+    last_comma = F.instr(F.reverse(t), ",") < F.instr(F.reverse(t), ".")
+    no_commas, no_points = F.replace(t, F.lit(","), F.lit("")), F.replace(t, F.lit("."), F.lit(""))
+    decimal = F.when((comma > 0) & (point > 0), F.when(last_comma, F.replace(no_points, F.lit(","), F.lit("."))).otherwise(no_commas))
+    decimal = decimal.when(comma > 1, no_commas).when(point > 1, no_points).otherwise(F.replace(t, F.lit(","), F.lit(".")))
     value = F.when(t == "true", 1.0).when(t == "false", 0.0).otherwise(decimal.try_cast("double"))
     return F.when(~F.isnan(value), value)
 
 
+# What writers put where a reading is missing.
+MISSING = ("", "nan", "null", "none", "na", "n/a", "-")
+
+
 def unified(raw: DataFrame, columns: DataFrame, layout: DataFrame) -> DataFrame:
     """``raw`` records of all files as one table.
 
     Columns: file_name, row_no, window_start, window_end, label, ``features`` (array<double>, the
-    layout's columns in its order, null where the file lacks one) and ``extra`` (the other columns
-    as an array of (column, value, text) by name). Values are cast with ``number``; what is no number is
-    null, and ``text`` has it as it was written. A record sent twice counts once. A payload that is no JSON object gives a row of nulls.
-    Keys absent from the file's list are named by their bare form.
+    layout's columns in its order, null where the file lacks one), ``extra`` (the other columns as
+    an array of (column, value, text) by name) and ``n_unread``. Values are cast with ``number``;
+    what is no number, or a label other than 0 and 1, is null, ``text`` has it as it was written,
+    and ``n_unread`` counts such texts of the record, those that stand for a missing value left out. If several fields of a record are one column,
+    the one with a value and the smaller field name is taken. A record sent twice counts once, by
+    its longest payload (ties: the larger text). A payload that is no JSON object gives a row of nulls. Keys absent from the file's list are named
+    by their bare form.
+
+    A file's names are one map, joined once to its records; everything else is done in the row.
+    ``layout`` is a dimension table of one row a position.
     """
-    r = raw.select("file_name", "row_no", "payload").dropDuplicates(["file_name", "row_no"])
-    fields = r.select("file_name", "row_no", F.explode_outer(F.from_json("payload", "map<string,string>")).alias("col_name", "text"))
-    named = canonical_columns(columns, layout).groupBy("file_name", "col_name").agg(F.min("column").alias("column"))
-    known = layout.select(bare(F.col("column_name")).alias("b"), F.col("column_name").alias("by_name")).dropDuplicates(["b"])
-    long = fields.join(named, ["file_name", "col_name"], "left").withColumn("b", bare(F.col("col_name"))).join(known, "b", "left")
-    long = long.select("file_name", "row_no", F.coalesce("column", "by_name", "b").alias("column"), number(F.col("text")).alias("value"), "text")
-    places = layout.groupBy("column_name").agg(F.min("pos").alias("pos")).withColumnRenamed("column_name", "column")
-    long = long.join(places, "column", "left")
-    meta = [F.max(F.when(F.col("column") == m, F.col("value"))).alias(m) for m in META.values()]
-    is_meta = F.col("column").isin(*META.values())
-    wide = long.groupBy("file_name", "row_no").agg(*meta, F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", "value"))).alias("_f"), F.collect_list(F.when(F.col("pos").isNull() & ~is_meta, F.struct("column", "value", "text"))).alias("_x"))
-    width = layout.agg((F.coalesce(F.max("pos"), F.lit(-1)) + 1).alias("_n"))
-    wide = wide.crossJoin(F.broadcast(width))  # one row
-    slots = F.when(F.col("_n") > 0, F.transform(F.sequence(F.lit(0), F.col("_n") - 1), lambda i: F.try_element_at(F.transform(F.filter("_f", lambda x: x["pos"] == i), lambda x: x["value"]), F.lit(1)))).otherwise(F.array().cast("array<double>"))
-    return wide.select("file_name", "row_no", "window_start", "window_end", F.col("label").cast("int").alias("label"), slots.alias("features"), F.sort_array("_x").alias("extra"))
+    dims = layout.select("pos", "column_name").where("pos is not null and column_name is not null").orderBy("pos").collect()
+    width = max((r["pos"] for r in dims), default=-1) + 1
+    at = {r["pos"]: r["column_name"] for r in reversed(dims)}
+    text_map = lambda d: F.create_map(*[F.lit(x) for kv in sorted(d.items()) for x in kv]) if d else F.create_map().cast("map<string,string>")
+    by_bare = text_map({plain_name(n): n for n in reversed([r["column_name"] for r in dims])})
+    names = canonical_columns(columns, layout).groupBy("file_name", "col_name").agg(F.min("column").alias("column"))
+    names = names.groupBy("file_name").agg(F.map_from_entries(F.collect_list(F.struct("col_name", "column"))).alias("_names"))
+    longest = F.max(F.struct(F.length("payload"), "payload"))["payload"]
+    r = raw.groupBy("file_name", "row_no").agg(longest.alias("payload"))
+    r = r.join(broadcast_if(names, MOST_FILES), "file_name", "left").withColumn("_fields", F.map_entries(F.from_json("payload", "map<string,string>")))
+    bare_key = lambda k: F.regexp_replace(F.lower(k), "[^a-z0-9]", "")
+    named = lambda k: F.coalesce(F.try_element_at("_names", k), F.try_element_at(by_bare, bare_key(k)), bare_key(k))
+    cells = F.transform("_fields", lambda e: F.struct(named(e["key"]).alias("column"), number(e["value"]).isNull().alias("empty"), e["key"].alias("key"), number(e["value"]).alias("value"), e["value"].alias("text")))
+    r = r.withColumn("_cells", F.array_sort(F.coalesce(cells, F.array().cast("array<struct<column:string,empty:boolean,key:string,value:double,text:string>>"))))
+    first = F.filter("_cells", lambda x, i: (i == 0) | (x["column"] != F.get("_cells", i - 1)["column"]))
+    r = r.withColumn("_row", F.map_from_entries(F.transform(first, lambda x: F.struct(x["column"].alias("key"), x["value"].alias("value")))))
+    value = lambda c: F.try_element_at("_row", F.lit(c))
+    features = F.array(*[value(at[p]) if p in at else F.lit(None).cast("double") for p in range(width)]) if width else F.array().cast("array<double>")
+    wanted = F.array(*map(F.lit, [*at.values(), *META.values()]))
+    extra = F.transform(F.filter("_cells", lambda x: ~F.array_contains(wanted, x["column"])), lambda x: F.struct(x["column"].alias("column"), x["value"].alias("value"), x["text"].alias("text")))
+    no_label = lambda x: (x["column"] == META["label"]) & ~x["value"].isin(0.0, 1.0)
+    unread = F.size(F.filter("_cells", lambda x: (x["empty"] & x["text"].isNotNull() & ~F.lower(F.trim(x["text"])).isin(*MISSING)) | F.coalesce(no_label(x), F.lit(False))))
+    label = value("label")
+    return r.select("file_name", "row_no", *[value(m).alias(m) for m in ("window_start", "window_end")], F.when(label.isin(0.0, 1.0), label.cast("int")).alias("label"), features.alias("features"), extra.alias("extra"), unread.alias("n_unread"))
+
+
+def plain_name(name: str) -> str:
+    """``bare`` of a name on the driver."""
+    return re.sub("[^a-z0-9]", "", name.lower())
 
 
 def change_counts(found: DataFrame) -> DataFrame:

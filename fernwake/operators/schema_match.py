@@ -8,6 +8,8 @@ from dataclasses import dataclass
 import numpy as np
 
 ROUNDS, SETTLED = 60, 1e-4
+SIMILAR = 0.5  # least score that is reported of a match that fails the exact test
+LEAST = 0.3  # score of a candidate; pairs whose first score is 1 keep a third in every round (see flood)
 
 
 @dataclass(frozen=True)
@@ -49,28 +51,26 @@ def flood(old: list[Column], new: list[Column], old_groups: list[str], new_group
 
     The two schema graphs have the columns, and as their neighbours over labelled edges the types
     and the nesting groups (the part of a name before its last capitalised or separated suffix).
-    First scores come from names (trigrams), types (equal or not) and ids. Each round adds to a
-    pair what its neighbour pairs hold, shared out by the edges' weights, and divides by the
-    largest, until the change is below 1e-4. Pairs whose writers gave them different ids stay 0.
+    First scores are the trigram likeness of bare names, 1 for equal ids and 0 for different ones.
+    Each round adds to a pair's first and present score what its neighbour pairs hold, shared out by
+    the edges' weights, and divides by the largest, until the change is below 1e-4. Pairs whose
+    writers gave them different ids stay 0.
+
+    A column has one edge of each label, so at most 1 flows in over each and no sum is above 4.
+    Hence a pair whose first score is 1 (equal ids, or equal bare names) never falls below 1/3:
+    (1 + 1/3) / 4 = 1/3. Every pair of the exact test is such a pair.
     """
     if not old or not new:
         return np.zeros((len(old), len(new)))
     ga, gb = [_grams(c.name) for c in old], [_grams(c.name) for c in new]
     words = {g: i for i, g in enumerate(sorted(set().union(*ga, *gb)))}
-    bags = [np.zeros((len(x), len(words)), np.float32) for x in (ga, gb)]
+    bags = [np.zeros((len(x), len(words))) for x in (ga, gb)]
     for bag, grams in zip(bags, (ga, gb)):
         for i, gs in enumerate(grams):
             bag[i, [words[g] for g in gs]] = 1
-    shared = bags[0] @ bags[1].T
-    start = 2 * shared / (bags[0].sum(1)[:, None] + bags[1].sum(1)[None])
-    ids_a, ids_b = (np.array([-1 if c.field_id is None else c.field_id for c in x]) for x in (old, new))
-    with_ids = (ids_a >= 0)[:, None] & (ids_b >= 0)[None]
-    same_id = with_ids & (ids_a[:, None] == ids_b[None])
-    names = {c: i for i, c in enumerate({canonical(c.name) for c in [*old, *new]})}
-    bare_a, bare_b = (np.array([names[canonical(c.name)] for c in x]) for x in (old, new))
-    same_name = ~with_ids & (bare_a[:, None] == bare_b[None])
-    start = np.where(same_id | same_name, 1.0, start) * ~(with_ids & ~same_id)
-
+    start = 2 * (bags[0] @ bags[1].T) / (bags[0].sum(1)[:, None] + bags[1].sum(1)[None])
+    with_ids, same_id = _ids(old, new)
+    start = np.where(with_ids, same_id, start)
     labels = []
     for xa, xb in (([c.type or "" for c in old], [c.type or "" for c in new]), (old_groups, new_groups)):
         ua, ub = sorted(set(xa)), sorted(set(xb))
@@ -87,11 +87,27 @@ def flood(old: list[Column], new: list[Column], old_groups: list[str], new_group
             x[0] = grown / max(grown.max(), 1e-12)
         t = (start + s + flow) * ~(with_ids & ~same_id)
         t /= max(t.max(), 1e-12)
-        if np.abs(t - s).max() < SETTLED:
-            s = t
-            break
+        settled = np.abs(t - s).max() < SETTLED
         s = t
-    return np.where(same_id | same_name, np.maximum(s, 1.0), s)
+        if settled:
+            break
+    return s
+
+
+def _ids(old: list[Column], new: list[Column]) -> tuple[np.ndarray, np.ndarray]:
+    """Which pairs both have an id, and which of them the same."""
+    a, b = (np.array([c.field_id is not None for c in x], bool) for x in (old, new))
+    va, vb = (np.array([c.field_id or 0 for c in x], np.int64) for x in (old, new))
+    both = a[:, None] & b[None]
+    return both, both & (va[:, None] == vb[None])
+
+
+def exact_pairs(old: list[Column], new: list[Column]) -> np.ndarray:
+    """``same_column`` of every pair."""
+    both, same = _ids(old, new)
+    names = {c: i for i, c in enumerate({canonical(c.name) for c in [*old, *new]})}
+    a, b = (np.array([names[canonical(c.name)] for c in x], np.int64) for x in (old, new))
+    return np.where(both, same, a[:, None] == b[None])
 
 
 def group_of(name: str) -> str:
@@ -100,12 +116,14 @@ def group_of(name: str) -> str:
     return "".join(parts[:-1]) or name
 
 
-def correspondences(old: list[Column], new: list[Column], least: float = 0.5) -> list[tuple[int, int, float]]:
-    """A one-to-one choice of matching columns: (old place, new place, score), best first.
+def correspondences(old: list[Column], new: list[Column], least: float = LEAST) -> list[tuple[int, int, float]]:
+    """A one-to-one choice of matching columns: (old place, new place, score).
 
-    Columns of equal name correspond. The others are flooded, and the pairs are taken by falling
-    score (then equal ids, then places) while both columns are free and the score reaches
-    ``least``. A repeated name counts once, at its first place.
+    Columns of equal name correspond. The others are flooded; the candidates are the pairs whose
+    settled score reaches ``least``. They are taken while both columns are free: first those that
+    pass the exact test, by equal ids, then falling score and place, then the others in the same
+    order. The test orders candidates, it adds none and changes no score. A repeated name counts
+    once, at its first place.
     """
     at_old: dict[str, int] = {}
     at_new: dict[str, int] = {}
@@ -119,9 +137,9 @@ def correspondences(old: list[Column], new: list[Column], least: float = 0.5) ->
     a, b = [old[i] for i in lost], [new[j] for j in gained]
     scores = flood(a, b, [group_of(c.name) for c in a], [group_of(c.name) for c in b])
     ii, jj = np.nonzero(scores >= least)
-    by_id = np.array([a[i].field_id is not None and a[i].field_id == b[j].field_id for i, j in zip(ii, jj)], bool)
+    exact, same_id = exact_pairs(a, b)[ii, jj], _ids(a, b)[1][ii, jj]
     used_i, used_j, out = set(), set(), kept
-    for k in np.lexsort((jj, ii, ~by_id, -scores[ii, jj])):
+    for k in np.lexsort((jj, ii, -scores[ii, jj], ~same_id, ~exact)):
         i, j = int(ii[k]), int(jj[k])
         if i not in used_i and j not in used_j:
             used_i.add(i)
@@ -134,7 +152,8 @@ def changes(old: list[Column], new: list[Column]) -> list[tuple[str, str, str |
     """(column, change, other name, score) between two lists.
 
     ``renamed``, ``retyped``, ``added`` and ``removed`` follow the exact test; a flooded
-    correspondence that fails it is reported as ``similar`` beside its added and removed rows.
+    correspondence that fails it is reported as ``similar`` (at a score of 0.5 or more) beside its
+    added and removed rows.
     """
     out: list[tuple[str, str, str | None, float]] = []
     pairs = correspondences(old, new)
@@ -142,7 +161,8 @@ def changes(old: list[Column], new: list[Column]) -> list[tuple[str, str, str |
     for i, j, score in pairs:
         a, b = old[i], new[j]
         if a.name != b.name and not same_column(a, b):
-            out.append((b.name, "similar", a.name, score))
+            if score >= SIMILAR:
+                out.append((b.name, "similar", a.name, score))
             old_met.discard(a.name)
             new_met.discard(b.name)
             continue

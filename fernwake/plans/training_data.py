@@ -20,7 +20,10 @@ def p1_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return schema_drift.unified(table(spark, sf_dir, "raw_windows"), table(spark, sf_dir, "file_columns"), table(spark, sf_dir, "feature_layout"))
+    """The one table, its further columns as a text of name=text."""
+    u = schema_drift.unified(table(spark, sf_dir, "raw_windows"), table(spark, sf_dir, "file_columns"), table(spark, sf_dir, "feature_layout"))
+    pairs = F.transform("extra", lambda x: F.concat(x["column"], F.lit("="), F.coalesce(x["text"], F.lit("?"))))
+    return u.withColumn("extra", F.array_join(F.array_sort(pairs), "|"))
 
 
 def _implausible(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,6 +63,27 @@ ORACLES: dict[str, str] = {
         UNION ALL SELECT new, name, 'retyped' FROM kept WHERE retyped
         UNION ALL SELECT new, name, 'added' FROM gained g WHERE NOT EXISTS (SELECT 1 FROM pairs p WHERE p.new = g.new AND p.name = g.name)
         UNION ALL SELECT new, name, 'removed' FROM lost l WHERE NOT EXISTS (SELECT 1 FROM pairs p WHERE p.new = l.new AND p.was = l.name)""",
+    "p1_unified": r"""
+        WITH c AS (SELECT file_name, any_value(rig) AS rig, any_value(field_id) AS fid, any_value(col_name) AS name, regexp_replace(lower(any_value(col_name)), '[^a-z0-9]', '', 'g') AS b
+                   FROM file_columns WHERE file_name IS NOT NULL AND col_name IS NOT NULL GROUP BY file_name, col_pos),
+        k AS (SELECT regexp_replace(lower(column_name), '[^a-z0-9]', '', 'g') AS b, min(column_name) AS known FROM feature_layout GROUP BY 1
+              UNION ALL VALUES ('windowstartsec', 'window_start'), ('windowendsec', 'window_end'), ('label', 'label')),
+        d AS (SELECT c.*, known FROM c LEFT JOIN k USING (b)),
+        v AS (SELECT rig, fid, coalesce(known, b) AS elected FROM (SELECT rig, fid, b, known, count(*) AS n FROM d WHERE fid IS NOT NULL GROUP BY ALL)
+              QUALIFY row_number() OVER (PARTITION BY rig, fid ORDER BY known IS NOT NULL DESC, n DESC, b DESC) = 1),
+        m AS (SELECT file_name, name, min(coalesce(known, elected, nullif(b, ''), name)) AS col FROM d LEFT JOIN v USING (rig, fid) GROUP BY ALL),
+        r AS (SELECT file_name, row_no, arg_max(payload, (length(payload), payload)) AS payload FROM raw_windows GROUP BY file_name, row_no),
+        e AS (SELECT file_name, row_no, key, payload ->> ('$."' || key || '"') AS text FROM (SELECT file_name, row_no, payload, unnest(json_keys(payload)) AS key FROM r)),
+        t AS (SELECT e.*, coalesce(m.col, k.known, regexp_replace(lower(key), '[^a-z0-9]', '', 'g')) AS col, replace(lower(regexp_replace(text, '[\s\x{00a0}'']', '', 'g')), ',', '.') AS s
+              FROM e LEFT JOIN m ON m.file_name = e.file_name AND m.name = e.key LEFT JOIN k ON k.b = regexp_replace(lower(key), '[^a-z0-9]', '', 'g')),
+        x AS (SELECT *, CASE s WHEN 'true' THEN 1 WHEN 'false' THEN 0 ELSE nullif(try_cast(s AS DOUBLE), 'nan'::DOUBLE) END AS v FROM t),
+        o AS (SELECT file_name, row_no, col, arg_min(v, key) AS v FROM (SELECT *, row_number() OVER (PARTITION BY file_name, row_no, col ORDER BY v IS NULL, key) AS nth FROM x) WHERE nth = 1 AND v IS NOT NULL GROUP BY ALL),
+        p AS (SELECT r.file_name, r.row_no, max(v) FILTER (WHERE col = 'window_start') AS window_start, max(v) FILTER (WHERE col = 'window_end') AS window_end,
+              CAST(max(v) FILTER (WHERE col = 'label' AND v IN (0, 1)) AS INT) AS label FROM r LEFT JOIN o USING (file_name, row_no) GROUP BY ALL),
+        f AS (SELECT r.file_name, r.row_no, list(o.v ORDER BY l.pos) AS features FROM r CROSS JOIN feature_layout l LEFT JOIN o ON o.file_name = r.file_name AND o.row_no = r.row_no AND o.col = l.column_name GROUP BY ALL),
+        g AS (SELECT r.file_name, r.row_no, coalesce(string_agg(x.col || '=' || coalesce(text, '?'), '|' ORDER BY x.col || '=' || coalesce(text, '?')) FILTER (WHERE x.col IS NOT NULL AND x.col NOT IN ('window_start', 'window_end', 'label') AND x.col NOT IN (SELECT column_name FROM feature_layout)), '') AS extra,
+              count(*) FILTER (WHERE v IS NULL AND text IS NOT NULL AND lower(trim(text)) NOT IN ('', 'nan', 'null', 'none', 'na', 'n/a', '-') OR x.col = 'label' AND v NOT IN (0, 1))::INT AS n_unread FROM r LEFT JOIN x USING (file_name, row_no) GROUP BY ALL)
+        SELECT * FROM p JOIN f USING (file_name, row_no) JOIN g USING (file_name, row_no)""",
     "p5_found": """
         WITH f AS (SELECT recording, min(subject) AS src FROM recordings GROUP BY recording),
         d AS (SELECT row_idx, any_value(recording) AS recording, any_value(window_start) AS t, any_value(features) AS x FROM windows GROUP BY row_idx),

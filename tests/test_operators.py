@@ -1,4 +1,5 @@
 import math
+import random
 
 import numpy as np
 import pytest
@@ -6,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fernwake.functions.layout import Layout, split_name
 from fernwake.operators import contrastive, evaluation, folds, models, retrieval, schema_drift, significance, spikes
-from fernwake.operators.schema_match import Column, changes
+from fernwake.operators.schema_match import Column, canonical, changes, exact_pairs, flood, group_of, same_column
 from fernwake.sources.recordings import ScanConfig, cached_recordings, discover, read_recordings, recording_of, subject_of
 
 COLS = "file_name string, rig string, written_at timestamp, received_at timestamp, col_pos int, field_id int, col_name string, col_type string"
@@ -160,16 +161,50 @@ def test_flooding_prefers_ids_over_names():
     assert {(c, o) for c, k, o, _ in changes(old, new) if k == "renamed"} == {("b1x", "a1"), ("a1x", "b1")}
 
 
+def _plain_changes(old, new):
+    """The exact test alone, over all pairs of lost and gained columns."""
+    lost, gained = ([c for c in a if c.name not in {d.name for d in b}] for a, b in ((old, new), (new, old)))
+    pairs = [(a, b) for b in gained for a in lost if same_column(a, b)]
+    found = {(b.name, "renamed") for _, b in pairs} | {(b.name, "retyped") for a, b in pairs if a.type != b.type}
+    found |= {(c.name, "added") for c in gained if c not in [b for _, b in pairs]} | {(c.name, "removed") for c in lost if c not in [a for a, _ in pairs]}
+    return found | {(c.name, "retyped") for c in new for d in old if c.name == d.name and c.type != d.type}
+
+
+def test_no_exact_rename_is_lost_to_a_tie():
+    old = [Column("F7-T7Variances", "float", None), Column("F7-T7Variance", "float", None)]
+    new = [Column("F7-T7Stx", "float", None), Column("f7_t7variance", "int", None)]
+    assert {(c, k) for c, k, *_ in changes(old, new)} >= {("f7_t7variance", "renamed"), ("f7_t7variance", "retyped")}
+    rng = random.Random(4)
+    names = [f"{c}{t}" for c in ("F7-T7", "FP1-F7", "O1", "T8-P8") for t in ("Mean", "Std", "Variance", "Entropy", "DeltaPower")]
+    for _ in range(300):
+        ids, old, new = rng.random() < 0.5, [], []
+        for i, n in enumerate(rng.sample(names, 12)):
+            old.append(Column(n, rng.choice(["float", "int"]), i if ids and rng.random() < 0.7 else None))
+        for c in old:
+            r = rng.random()
+            n = c.name.lower().replace("-", "_") if r < 0.2 else c.name + "s" if r < 0.3 else c.name[:-2] + "x" if r < 0.4 else f"zz{c.field_id}" if r < 0.5 and c.field_id is not None else c.name
+            if canonical(n) not in {canonical(x.name) for x in new} and r < 0.95:
+                new.append(Column(n, rng.choice([c.type, "double"]), c.field_id))
+        assert {(c, k) for c, k, *_ in changes(old, new) if k != "similar"} == _plain_changes(old, new)
+        lost, gained = [c for c in old if c.name not in {d.name for d in new}], [c for c in new if c.name not in {d.name for d in old}]
+        scores = flood(lost, gained, [group_of(c.name) for c in lost], [group_of(c.name) for c in gained])
+        assert not (exact_pairs(lost, gained) & (scores < 1 / 3 - 1e-9)).any()
+
+
 def test_unified_keeps_text(spark):
-    raw = spark.createDataFrame([("f", 0, '{"AMean": "1,5", "note": "left out", "n": "2,50"}')], "file_name string, row_no long, payload string")
+    raw = spark.createDataFrame([("f", 0, '{"AMean": "1,5", "note": "left out", "n": "2,50", "label": "7", "a_mean": 9, "m": "NaN"}'), ("f", 0, "{}"), ("f", 1, "no json"), ("f", 2, None), (None, 3, '{"Label": 1}')], "file_name string, row_no long, payload string")
     layout = spark.createDataFrame([(0, "AMean")], "pos int, column_name string")
-    row = schema_drift.unified(raw, spark.createDataFrame([], COLS), layout).first()
-    assert row.features == [1.5] and [tuple(x) for x in row.extra] == [("n", 2.5, "2,50"), ("note", None, "left out")]
+    got = {r.row_no: r for r in schema_drift.unified(raw, spark.createDataFrame([], COLS), layout).collect()}
+    row = got[0]
+    assert row.features == [1.5] and [tuple(x) for x in row.extra] == [("m", None, "NaN"), ("n", 2.5, "2,50"), ("note", None, "left out")]
+    assert row.label is None and row.n_unread == 2
+    assert all(got[i].features == [None] and got[i].extra == [] and got[i].n_unread == 0 for i in (1, 2)) and got[3].label == 1
+    assert schema_drift.unified(raw.limit(0), spark.createDataFrame([], COLS), layout.limit(0)).count() == 0
 
 
 def test_numbers(spark):
-    df = spark.createDataFrame([("11,513",), (" 4.69 ",), ("true",), ("x",), (None,), ("nan",)], "t string")
-    assert [r[0] for r in df.select(schema_drift.number(F.col("t"))).collect()] == [11.513, 4.69, 1.0, None, None, None]
+    df = spark.createDataFrame([("11,513",), (" 4.69 ",), ("true",), ("x",), (None,), ("nan",), ("1.234,56",), ("1,234.56",), ("1,234,567",), ("1.234.567",), ("-,5",)], "t string")
+    assert [r[0] for r in df.select(schema_drift.number(F.col("t"))).collect()] == [11.513, 4.69, 1.0, None, None, None, 1234.56, 1234.56, 1234567.0, 1234567.0, -0.5]
 
 
 def _brute(rows, tests):
