@@ -4,120 +4,269 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fernwake.functions.text import words
-from fernwake.session import Scratch, broadcast_if
+from fernwake.session import Scratch
 
 RAREST = 3  # words of each half that an alignment is first held against
-MOST_ANCHORS = 500_000  # rows of test terms that may be broadcast (some 50 MB)
+ITEM_WORDS = 400_000  # words of test items that stand on every worker at a time; more are searched block by block
+SEGMENT_WORDS = 100_000  # words after which an index segment is closed
+AT_ONCE = 1 << 20  # alignments held at a time
+OFFSET = 1 << 24  # more than any item's words
+GAP = 64  # free places between two documents of a segment, at least
 
+SEGMENT = "docs array<long>, bases array<long>, terms array<int>, places array<long>"
+FOUND = "doc long, item long, phrase int, near int"
 
-def postings(docs: DataFrame, doc_id: str, text: str, wanted: DataFrame | None = None) -> DataFrame:
-    """One row for each document and term: doc, term, ``places`` (rising, from 0).
 
-    Every word of the whole text takes a place; with ``wanted`` (term), only those terms are kept.
+class Items:
+    """Words of the test items as term numbers, and the places where alignments begin.
+
+    Every window of ``least`` words has an anchor, its rarest term by the number of postings in the
+    corpus; windows with a term that no document holds can still match in part only, so they have
+    none. ``beside`` names for each anchor the rarest words of the half window before and after it,
+    one half of which lies in any match around the anchor.
     """
 
-    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            out: tuple[list, list, list] = ([], [], [])
-            held = 0
-            for i, t in zip(ids, texts):
-                found: dict[str, list[int]] = {}
-                for place, word in enumerate(words(t)):
-                    found.setdefault(word, []).append(place)
-                for word, places in found.items():
-                    out[0].append(i)
-                    out[1].append(word)
-                    out[2].append(places)
-                held += sum(map(len, found.values()))
-                if held > 500_000:
-                    yield _batch(out)
-                    out, held = ([], [], []), 0
-            yield _batch(out)
-
-    def _batch(cols: tuple[list, list, list]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.list_(pa.int32()))], ["doc", "term", "places"])
+    def __init__(self, items: list[tuple[int, list[str]]], least: int) -> None:
+        self.ids, self.least = np.array([i for i, _ in items], np.int64), least
+        self.number: dict[str, int] = {}
+        self.words = [np.array([self.number.setdefault(w, len(self.number)) for w in ws], np.int64) for _, ws in items]
+        self.starts = np.cumsum([0, *map(len, self.words)])
+        self.flat = np.concatenate(self.words) if self.words else np.zeros(0, np.int64)
+        self.longest = max(map(len, self.words), default=0)
 
-    known = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text")).dropna()
-    all_terms = known.mapInArrow(index, "doc long, term string, places array<int>")
-    return all_terms if wanted is None else all_terms.join(broadcast_if(wanted, MOST_ANCHORS), "term", "left_semi")
+    def anchor(self, postings: np.ndarray) -> None:
+        item, at, beside, wanted = [], [], [], []
+        half = self.least // 2
+        for n, w in enumerate(self.words):
+            if len(w) < self.least:
+                continue
+            counts = postings[w]
+            windows = np.lib.stride_tricks.sliding_window_view(counts, self.least)
+            best = np.unique(np.arange(len(windows))[windows.min(1) > 0] + windows.argmin(1)[windows.min(1) > 0])
+            for i in best:
+                sides = []
+                for lo, hi in ((i - half, i), (i + 1, i + 1 + half)):
+                    if lo >= 0 and hi <= len(w):
+                        sides.append(lo + np.argsort(counts[lo:hi], kind="stable")[:RAREST])
+                item.append(n)
+                at.append(i)
+                row = np.full((2, RAREST), -1)
+                for k, s in enumerate(sides):
+                    row[k, : len(s)] = s
+                beside.append(row)
+                wanted.append(len(sides))
+        self.item, self.at = np.array(item, np.int64), np.array(at, np.int64)
+        self.beside = np.array(beside, np.int64).reshape(-1, 2, RAREST)
+        self.sides = np.array(wanted, np.int64)
+        self.term = self.flat[self.starts[self.item] + self.at] if len(self.item) else np.zeros(0, np.int64)
+
+
+class Segment:
+    """Postings of some whole documents: their places on one line, sorted by (term, place)."""
+
+    def __init__(self, docs: np.ndarray, bases: np.ndarray, terms: np.ndarray, places: np.ndarray) -> None:
+        self.docs, self.bases = docs, bases
+        self.width = int(places.max()) + 1 if len(places) else 0
+        self.span = self.width + 2 * OFFSET  # so that no offset runs from one term into another
+        self.keys = terms.astype(np.int64) * self.span + places
+        self.places = places
+
+    def list_of(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Beginning and end of each term's postings."""
+        return np.searchsorted(self.keys, terms * self.span), np.searchsorted(self.keys, terms * self.span + self.width)
+
+    def meets(self, terms: np.ndarray, places: np.ndarray, slop: int) -> np.ndarray:
+        """Whether each term has a posting within ``slop`` of the place."""
+        want = terms * self.span + places
+        at = np.searchsorted(self.keys, want - slop)
+        return (at < len(self.keys)) & (self.keys[np.minimum(at, len(self.keys) - 1)] <= want + slop)
 
 
-def longest_run(places: Column) -> Column:
-    """Length of the longest run of consecutive numbers in a rising array."""
-    start = F.struct(F.lit(-2).alias("at"), F.lit(0).alias("run"), F.lit(0).alias("best"))
+def _longest_run(hit: np.ndarray) -> np.ndarray:
+    """Longest run of true values in each row."""
+    best = run = np.zeros(len(hit), np.int64)
+    for j in range(hit.shape[1]):
+        run = np.where(hit[:, j], run + 1, 0)
+        best = np.maximum(best, run)
+    return best
 
-    def step(acc: Column, x: Column) -> Column:
-        run = F.when(x == acc["at"] + 1, acc["run"] + 1).otherwise(F.lit(1))
-        return F.struct(x.alias("at"), run.alias("run"), F.greatest(acc["best"], run).alias("best"))
 
-    return F.aggregate(places, start, step, lambda acc: acc["best"])
+def search(seg: Segment, items: Items, least: int, slop: int) -> list[np.ndarray]:
+    """doc, item, phrase and near of the segment's matches (see ``leaked``)."""
+    out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(4)]
+    if not len(items.item) or not len(seg.keys):
+        return [x[0] for x in out]
+    lo, hi = seg.list_of(items.term)
+    size = hi - lo
+    order = np.argsort(items.item, kind="stable")
+    ahead = np.cumsum(size[order])
+    cuts = [0, *(np.flatnonzero(np.diff(ahead // AT_ONCE)) + 1).tolist(), len(order)]
+    for a, b in zip(cuts, cuts[1:]):
+        anchors = order[a:b]
+        n = size[anchors]
+        anchor = np.repeat(anchors, n)
+        nth = np.arange(len(anchor)) - np.repeat(np.cumsum(n) - n, n)
+        shift = seg.places[lo[anchor] + nth] - items.at[anchor]
+        keep = np.zeros(len(anchor), bool)
+        for side in range(2):  # a match holds the half window before the anchor or the one after it
+            left = np.flatnonzero(~keep & (items.sides[anchor] > side))
+            for k in range(RAREST):
+                at = items.beside[anchor[left], side, k]
+                term = items.flat[items.starts[items.item[anchor[left]]] + np.maximum(at, 0)]
+                left = left[(at < 0) | seg.meets(term, shift[left] + at, 2 * slop)]
+            keep[left] = True
+        item, shift = items.item[anchor[keep]], shift[keep]
+        # the anchor stands exactly here; in a proximity match it may itself be up to ``slop`` off
+        every = np.arange(-slop, slop + 1)
+        pairs = np.unique(np.repeat(item, len(every)) * seg.span + (shift[:, None] + every + OFFSET).ravel())
+        begin = np.flatnonzero(np.diff(pairs // seg.span, prepend=-1))
+        for b, e in zip(begin, [*begin[1:], len(pairs)]):
+            n = int(pairs[b] // seg.span)
+            w, s = items.words[n], pairs[b:e] % seg.span - OFFSET
+            near, same = (np.stack([seg.meets(np.full(len(s), t), s + j, tolerance) for j, t in enumerate(w)], 1) for tolerance in (slop, 0))
+            run, phrase = _longest_run(near), _longest_run(same)
+            good = run >= least
+            if good.any():
+                # the document of a match is that of any of its words
+                first = np.argmax(near[good], 1)
+                doc = np.searchsorted(seg.bases, s[good] + first + slop, "right") - 1
+                for x, v in zip(out, (seg.docs[doc], np.full(good.sum(), items.ids[n]), phrase[good], run[good])):
+                    x.append(v.astype(np.int64))
+    return [np.concatenate(x) for x in out]
 
 
-def leaked(docs: DataFrame, items: DataFrame, doc_id: str, item_id: str, text: str, least: int = 12, slop: int = 2) -> DataFrame:
+def _segment(docs: list[int], bases: list[int], terms: list[int], places: list[int]) -> pa.RecordBatch:
+    t, p = np.array(terms, np.int32), np.array(places, np.int64)
+    by = np.lexsort((p, t))
+    cols = [pa.array([x], pa.list_(k)) for x, k in ((np.array(docs, np.int64), pa.int64()), (np.array(bases, np.int64), pa.int64()), (t[by], pa.int32()), (p[by], pa.int64()))]
+    return pa.RecordBatch.from_arrays(cols, ["docs", "bases", "terms", "places"])
+
+
+def index(docs: DataFrame, number, gap: int) -> DataFrame:
+    """The positional inverted index of ``docs`` (doc, text), one row a segment of whole documents.
+
+    A segment has the postings (term, place) of some documents sorted by term, their places counted
+    on over the documents with ``gap`` free ones between them. ``number`` is a broadcast of the
+    terms that are kept; every word of the whole text takes a place.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = number.value
+        held: tuple[list, list, list, list] = ([], [], [], [])
+        at = 0
+        for batch in batches:
+            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                ws = words(t)
+                kept = [(known[w], at + j) for j, w in enumerate(ws) if w in known]
+                if kept:
+                    held[0].append(i)
+                    held[1].append(at)
+                    term, place = zip(*kept)
+                    held[2].extend(term)
+                    held[3].extend(place)
+                    at += len(ws) + gap
+                if len(held[2]) >= SEGMENT_WORDS:
+                    yield _segment(*held)
+                    held, at = ([], [], [], []), 0
+        if held[0]:
+            yield _segment(*held)
+
+    return docs.mapInArrow(run, SEGMENT)
+
+
+def leaked(docs: DataFrame, items: DataFrame, doc_id: str, item_id: str, text: str, least: int = 12, slop: int = 2, item_words: int = ITEM_WORDS) -> DataFrame:
     """Documents that hold ``least`` or more consecutive words of an item: doc, item, phrase, near.
 
-    ``phrase`` is the longest run of the item's words that stands in the document word for word;
-    ``near`` the longest in which each word is within ``slop`` places of where it should be. Rows
-    have near >= least; those with phrase >= least are exact leaks, the others proximity matches.
+    ``phrase`` is the longest run of the item's words that stands in the document word for word, of
+    those alignments in which ``near`` reaches ``least``; ``near`` is the longest run in which each
+    word is within ``slop`` places of where one alignment of the item puts it, if ``least`` words of
+    it in a row are. Rows have near >= least; those with phrase >= least are exact leaks, the others
+    proximity matches.
 
-    Every window of ``least`` words of an item is looked up by its rarest term, by the number of
-    documents that hold it; a window with a term that no document holds is dropped. Postings less
-    the word's place in the item give alignments. A match of ``least`` words holds half as many
-    in a row before or after its rarest one, so the alignments are first intersected with the
-    lists of the three rarest words of each such half, one half of which is in any match, and what
-    is left with all the item's words.
+    The corpus is read once: each task writes an inverted index of the items' terms over its
+    documents, so no posting is shuffled. A second pass over the index intersects offset-adjusted
+    lists inside each segment: from every window's rarest term, first with the rarest words of the
+    half windows beside it, and, where these meet, with all the item's words.
 
     Texts are taken whole. Null texts, and items or documents without id, have no words. Items
     shorter than ``least`` words are matched by nothing. Equal documents each come out under their
-    id; an id repeated among documents or items counts once, by its largest text.
+    id; of a document id with several texts, what any of them holds counts; an item id with several
+    texts has the largest. Items of more than ``item_words`` words in all are searched in blocks of
+    that size, with one pass over the corpus a block.
     """
     if least < 2:
         raise ValueError("least must be 2 or more")
-    scratch = Scratch(docs.sparkSession, "leaks")
-    once = lambda df, i: df.select(F.col(i).cast("long").alias(i), F.col(text).alias(text)).dropna().groupBy(i).agg(F.max(text).alias(text))
-    test = scratch.keep(postings(once(items, item_id), item_id, text).select(F.col("doc").alias("item"), "term", F.explode("places").alias("ipos")), "items")
-    index = scratch.keep(postings(docs, doc_id, text, test.select("term").distinct()), "postings")
-    index = index.groupBy("doc", "term").agg(F.max("places").alias("places")) if _repeated(docs, doc_id) else index
-    held = index.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-    counted = test.join(held, "term", "left").na.fill(0, ["n"])
-    ahead = Window.partitionBy("item").orderBy("ipos").rowsBetween(0, least - 1)
-    rarest = counted.select("item", F.min(F.struct("n", "ipos", "term")).over(ahead).alias("r"), F.count(F.lit(1)).over(ahead).alias("size"))
-    anchors = rarest.where((F.col("size") == least) & (F.col("r.n") > 0)).select("item", F.col("r.ipos").alias("ipos"), F.col("r.term").alias("term")).distinct()
-    half, by_item = least // 2, Window.partitionBy("item").orderBy("ipos")
-    sides = [by_item.rowsBetween(-half, -1), by_item.rowsBetween(1, half)]
-    word = F.struct("n", F.col("ipos").alias("npos"), F.col("term").alias("next"))
-    side = lambda w: F.when(F.count(F.lit(1)).over(w) == half, F.slice(F.sort_array(F.collect_list(word).over(w)), 1, RAREST))
-    beside = counted.select("item", "ipos", F.array(*[side(w) for w in sides]).alias("both")).select("item", "ipos", F.posexplode("both").alias("side", "s")).where("s is not null")
-    beside = beside.select("item", "ipos", "side", F.size("s").alias("wanted"), F.explode("s").alias("s"))
-    beside = beside.select("item", "ipos", "side", "wanted", "s.npos", "s.next").join(anchors.select("item", "ipos"), ["item", "ipos"], "left_semi")
-    hits = index.join(broadcast_if(anchors, MOST_ANCHORS), "term").select("doc", "item", "ipos", F.explode("places").alias("dpos"))
-    hits = hits.select("doc", "item", "ipos", (F.col("dpos") - F.col("ipos")).alias("shift"))
-    near = lambda place: F.exists("places", lambda p: F.abs(p - place) <= slop)
-    steps = hits.join(broadcast_if(beside, MOST_ANCHORS), ["item", "ipos"]).withColumnRenamed("next", "term")
-    met = steps.join(index, ["doc", "term"]).where(near(F.col("npos") + F.col("shift")))
-    met = met.groupBy("doc", "item", "shift", "ipos", "side").agg(F.count(F.lit(1)).alias("met"), F.max("wanted").alias("wanted"))
-    first = met.where("met = wanted").select("doc", "item", "shift").distinct()
-    whole = first.join(broadcast_if(test, MOST_ANCHORS), "item").join(index, ["doc", "term"])
-    place = F.col("ipos") + F.col("shift")
-    whole = whole.where(near(place)).select("doc", "item", "shift", "ipos", F.array_contains("places", place).alias("exact"))
-    lists = whole.groupBy("doc", "item", "shift").agg(F.sort_array(F.collect_set("ipos")).alias("all"), F.sort_array(F.collect_set(F.when(F.col("exact"), F.col("ipos")))).alias("same"))
-    best = lists.groupBy("doc", "item").agg(F.max(longest_run(F.col("same"))).alias("phrase"), F.max(longest_run(F.col("all"))).alias("near"))
-    return best.where(F.col("near") >= least)
-
-
-def _repeated(docs: DataFrame, doc_id: str) -> bool:
-    ids = docs.select(doc_id).dropna()
-    return not ids.groupBy(doc_id).count().where("count > 1").isEmpty()
-
-
-def brute_force(doc: str, item: str, least: int) -> bool:
-    """Whether ``doc`` holds ``least`` consecutive words of ``item``, by comparing all windows."""
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "leaks")
+    known = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text")).dropna()
+    test = items.select(F.col(item_id).cast("long").alias("item"), F.col(text).alias("text")).dropna().groupBy("item").agg(F.max("text").alias("text"))
+    out = None
+    for block in _blocks(test, item_words):
+        part = Items(block, least)
+        segments = scratch.keep(index(known, spark.sparkContext.broadcast(part.number), max(GAP, part.longest + 2 * slop + 2)), "index")
+        part.anchor(_postings(segments, len(part.number)))
+        shared = spark.sparkContext.broadcast(part)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    seg = Segment(*(batch.column(c)[i].values.to_numpy() for c in range(4)))
+                    d, n, phrase, near = search(seg, shared.value, least, slop)
+                    yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(n), pa.array(phrase.astype(np.int32)), pa.array(near.astype(np.int32))], ["doc", "item", "phrase", "near"])
+
+        found = segments.mapInArrow(run, FOUND)
+        out = found if out is None else out.unionByName(found)
+    if out is None:
+        return spark.createDataFrame([], FOUND)
+    return out.groupBy("doc", "item").agg(F.max("phrase").alias("phrase"), F.max("near").alias("near"))
+
+
+def _blocks(test: DataFrame, most: int) -> Iterator[list[tuple[int, list[str]]]]:
+    """The items in blocks of about ``most`` words (one item at least), read one partition at a time."""
+    block, held = [], 0
+    for r in test.toLocalIterator():
+        ws = words(r["text"])
+        if block and held + len(ws) > most:
+            yield block
+            block, held = [], 0
+        block.append((r["item"], ws))
+        held += len(ws)
+    if block:
+        yield block
+
+
+def _postings(segments: DataFrame, terms: int) -> np.ndarray:
+    """Number of postings of each term of a block of items."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            t, n = np.unique(batch.column(0).flatten().to_numpy(), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(t, pa.int32()), pa.array(n, pa.int64())], ["term", "n"])
+
+    got = segments.select("terms").mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(terms, np.int64)
+    out[got["term"].to_numpy()] = got["n"].to_numpy()
+    return out
+
+
+def brute_force(doc: str, item: str, least: int, slop: int = 0) -> tuple[int, int]:
+    """phrase and near of a document and an item by trying every alignment; 0 where near stays below ``least``."""
     d, i = words(doc), words(item)
-    seen = {tuple(d[k : k + least]) for k in range(len(d) - least + 1)}
-    return any(tuple(i[k : k + least]) in seen for k in range(len(i) - least + 1))
+    best = (0, 0)
+    for s in range(-len(i) - slop, len(d) + slop + 1):
+        runs = []
+        for tolerance in (0, slop):
+            run = longest = 0
+            for j, w in enumerate(i):
+                run = run + 1 if any(0 <= p < len(d) and d[p] == w for p in range(s + j - tolerance, s + j + tolerance + 1)) else 0
+                longest = max(longest, run)
+            runs.append(longest)
+        if runs[1] >= least:
+            best = (max(best[0], runs[0]), max(best[1], runs[1]))
+    return best

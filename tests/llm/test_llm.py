@@ -162,12 +162,31 @@ def test_leaks_equal_brute_force(spark):
             n, s = rnd.randint(8, 20), rnd.randint(0, 20)
             t[s:s] = [x.upper() for x in w[:n]]
         docs.append((d, ", ".join(t)))
+    for d in range(150, 200):  # passages with a word put in, left out or moved
+        w = items[rnd.randrange(12)][1].split()
+        k = rnd.randrange(5, 15)
+        w[k:k] = rnd.choices(vocab, k=rnd.randrange(0, 4))
+        del w[rnd.randrange(len(w))]
+        docs.append((d, " ".join(rnd.choices(vocab, k=10) + w + rnd.choices(vocab, k=10))))
     docs += docs[:60] and [(1000 + i, docs[0][1]) for i in range(80)] + [(2000, None), (2001, ""), (2002, "x " * 50_000 + items[0][1])]
     d, i = spark.createDataFrame(docs, "doc_id long, text string").withColumn("term", F.lit(1)), spark.createDataFrame(items, "item_id long, text string")
-    got = leaks.leaked(d, i, "doc_id", "item_id", "text")
-    want = {(a, b) for a, x in docs if x for b, y in items if b is not None and y and leaks.brute_force(x, y, 12)}
-    assert {(r.doc, r.item) for r in got.where("phrase >= 12").collect()} == want
+    d = d.unionByName(d.where("doc_id = 3"))
+    want = {(a, b): n for a, x in docs if x and a < 2002 for b, y in items if b is not None and y and (n := leaks.brute_force(x, y, 12, 2))[1]}
+    want[2002, 0] = (20, 20)
+    assert {n[0] >= 12 for n in want.values()} == {True, False}
+    for words in (leaks.ITEM_WORDS, 50):  # all items at once, and in blocks
+        got = leaks.leaked(d, i, "doc_id", "item_id", "text", item_words=words)
+        assert {(r.doc, r.item): (r.phrase, r.near) for r in got.collect()} == want
     assert leaks.leaked(d.limit(0), i, "doc_id", "item_id", "text").count() == 0
+    assert leaks.leaked(d, i.limit(0), "doc_id", "item_id", "text").count() == 0
+    assert leaks.leaked(d.withColumn("doc_id", F.lit(None).cast("long")), i, "doc_id", "item_id", "text").count() == 0
+
+
+def test_texts_of_one_id_are_not_mixed(spark):
+    w = [f"w{i}" for i in range(14)]
+    docs = spark.createDataFrame([(1, " ".join(w[:8])), (1, " ".join(w[8:])), (2, " ".join(w[:7])), (2, "X. " + " ".join(w))], "doc_id long, text string")
+    items = spark.createDataFrame([(5, " ".join(w))], "item_id long, text string")
+    assert [(r.doc, r.phrase) for r in leaks.leaked(docs, items, "doc_id", "item_id", "text").collect()] == [(2, 14)]
 
 
 def test_flight_keeps_count_and_size():
