@@ -87,7 +87,23 @@ def p8_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p2_found, p3_found, p3_runs, p4_found, p4_splits, p6_found, p6_near, p7_mixture, p7_shares, p8_found, p8_composition)}
 
+# words as in functions.text: without markup, case, accents and typographic variants
+_PLAIN = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ß": "ss", "æ": "ae", "œ": "oe", "ø": "o", "ł": "l", "đ": "d", "ħ": "h", "ı": "i", "\u00ad": "", "\u200b": " ", "\u200c": "", "\u200d": "", "\ufeff": ""}
+
+
+def _words_sql(column: str) -> str:
+    t = f"lower(regexp_replace({column}, '</?[A-Za-z][^<>]*>', ' ', 'g'))"
+    for a, b in _PLAIN.items():
+        t = f"replace({t}, '{a}', '{b}')"
+    return f"list_filter(string_split_regex(strip_accents({t}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')"
+
+
 ORACLES = {
+    "p6_found": f"""
+        WITH d AS (SELECT doc_id, {_words_sql('text')} AS w FROM documents WHERE text IS NOT NULL), i AS (SELECT item_id, {_words_sql('text')} AS w FROM eval_items),
+        dw AS (SELECT doc_id, array_to_string(w[k : k + 11], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS k FROM d)),
+        iw AS (SELECT item_id, array_to_string(w[k : k + 11], ' ') AS s FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS k FROM i))
+        SELECT DISTINCT doc_id, item_id FROM dw JOIN iw USING (s)""",
     "p4_found": r"""
         WITH RECURSIVE r AS (SELECT DISTINCT recording, subject, source_signature AS sig,
             CAST(nullif(regexp_extract(lower(regexp_replace(subject, '\s', '', 'g')), '^chb0*([0-9]+)[a-z]?$', 1), '') AS BIGINT) AS num,
