@@ -44,3 +44,19 @@ def positions(parts: DataFrame, key: str, order: list[str]) -> DataFrame:
     starts = counts.select(key, "part_no", F.coalesce(F.sum("count").over(ahead), F.lit(0)).alias("_start"))
     own = parts.withColumn("pos", F.row_number().over(inside).cast("long") - 1)
     return own.join(starts, [key, "part_no"]).withColumn("pos", F.col("pos") + F.col("_start")).drop("_start")
+
+
+HEAVY = 1000  # a key of more than 1/1000 of the rows is joined by broadcast; there are fewer than 1,000 such keys
+
+
+def join_unique(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Inner join of ``left`` with ``right``, which has one row for each ``key`` and in ``_n`` the number of its rows in ``left``.
+
+    Keys of more than 1/1000 of all rows, of which there can't be 1,000, are joined by broadcast,
+    and so never meet in one task; the others by shuffle. ``right`` is read several times and
+    should be a written table. The result is that of a plain join.
+    """
+    total = right.agg(F.sum("_n")).first()[0] or 0
+    heavy = F.broadcast(right.where(F.col("_n") * HEAVY > total))
+    rest = left.join(heavy.select(key), key, "left_anti").join(right.where(F.col("_n") * HEAVY <= total), key)
+    return left.join(heavy, key).unionByName(rest).drop("_n")

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fernwake.functions.layout import Layout, split_name
-from fernwake.operators import contrastive, evaluation, folds, models, retrieval, schema_drift, significance, spikes
+from fernwake.operators import contrastive, evaluation, folds, models, ordering, retrieval, schema_drift, significance, spikes
 from fernwake.operators.schema_match import Column, canonical, changes, exact_pairs, flood, group_of, same_column
 from fernwake.sources.recordings import ScanConfig, cached_recordings, discover, read_recordings, recording_of, subject_of
 
@@ -202,6 +202,14 @@ def test_unified_keeps_text(spark):
     assert schema_drift.unified(raw.limit(0), spark.createDataFrame([], COLS), layout.limit(0)).count() == 0
 
 
+def test_join_on_hot_keys(spark):
+    left = spark.range(5000).select(F.when(F.col("id") < 2000, -1).otherwise(F.col("id") % 1500).alias("k"), "id")
+    right = left.where("k <> 7").groupBy("k").agg(F.count(F.lit(1)).alias("_n"), F.max("id").alias("top"))
+    got, want = ordering.join_unique(left, right, "k"), left.join(right.drop("_n"), "k")
+    assert got.columns == want.columns and got.exceptAll(want).count() == 0 and got.count() == want.count()
+    assert ordering.join_unique(left, right.limit(0), "k").count() == 0
+
+
 def test_numbers(spark):
     df = spark.createDataFrame([("11,513",), (" 4.69 ",), ("true",), ("x",), (None,), ("nan",), ("1.234,56",), ("1,234.56",), ("1,234,567",), ("1.234.567",), ("-,5",)], "t string")
     assert [r[0] for r in df.select(schema_drift.number(F.col("t"))).collect()] == [11.513, 4.69, 1.0, None, None, None, 1234.56, 1234.56, 1234567.0, 1234567.0, -0.5]
