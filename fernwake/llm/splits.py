@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fernwake.operators.ordering import join_unique, positions, range_parts
 from fernwake.session import Scratch
 
 MAX_ROUNDS = 200
-LARGE_SHARE = 200  # a component above 1/200 of all records is placed by size; there are at most 200
+DRIVER_BATCHES = 13  # of 8,191 units, whose draws are added up on the driver instead of by jobs
 
 
 def subject_number(c: Column) -> Column:
@@ -31,22 +30,23 @@ def hash_to_min(edges: DataFrame) -> DataFrame:
     ``component`` is the smallest node of the component. Every node holds a cluster, at first
     itself and its neighbours; in each round it sends its cluster to the cluster's minimum and the
     minimum to all of the cluster, and a node's new cluster is the union of what it got. Clusters
-    are kept as rows (node, member), so a large component is no large row. Edges with a null end
-    only keep the other end as a node.
+    are kept as rows (node, member), so a large component is no large row, and the rows of a hub
+    (``join_unique``) don't meet in one task. Edges with a null end only keep the other end as a
+    node. Clusters that haven't settled after 200 rounds are an error.
     """
     scratch = Scratch(edges.sparkSession, "components")
     both = edges.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")), F.struct("a", F.col("a").alias("b")), F.struct(F.col("b").alias("a"), "b"))).alias("x")).select(F.col("x.a").alias("v"), F.col("x.b").alias("u"))
     state = scratch.keep(both.dropna().distinct(), "clusters")
     mark = _mark(state)
     for _ in range(MAX_ROUNDS):
-        least = state.groupBy("v").agg(F.min("u").alias("m"))
-        sent = state.join(least, "v").select(F.explode(F.array(F.struct(F.col("u").alias("v"), F.col("m").alias("u")), F.struct(F.col("m").alias("v"), F.col("u").alias("u")))).alias("x"))
+        least = scratch.keep(state.groupBy("v").agg(F.min("u").alias("m"), F.count(F.lit(1)).alias("_n")), "least")
+        sent = join_unique(state, least, "v").select(F.explode(F.array(F.struct(F.col("u").alias("v"), F.col("m").alias("u")), F.struct(F.col("m").alias("v"), F.col("u").alias("u")))).alias("x"))
         state, old = scratch.keep(sent.select("x.v", "x.u").distinct(), "clusters"), state
-        scratch.drop(old)
+        scratch.drop(old, least)
         before, mark = mark, _mark(state)
         if before == mark:
-            break
-    return state.groupBy("v").agg(F.min("u").alias("component")).withColumnRenamed("v", "node")
+            return state.groupBy("v").agg(F.min("u").alias("component")).withColumnRenamed("v", "node")
+    raise RuntimeError(f"components have not settled in {MAX_ROUNDS} rounds")
 
 
 def _mark(state: DataFrame) -> tuple:
@@ -72,47 +72,79 @@ def recording_groups(recordings: DataFrame, aliases: DataFrame) -> DataFrame:
     links = r.select("node", F.explode(F.array_compact(F.array(*keys, F.col("node")))).alias("b")).select(F.col("node").alias("a"), "b")
     named = aliases.select(subject_number(F.col("alias")).alias("x"), subject_number(F.col("subject")).alias("y")).dropna()
     edges = links.unionByName(named.select(node("n", F.col("x")).alias("a"), node("n", F.col("y")).alias("b"))).distinct()
-    r = r.join(hash_to_min(edges), "node")
-    groups = r.groupBy("component").agg(F.min("number").alias("group_no"), F.min("subject").alias("_lo"), F.max("subject").alias("_hi"))
+    scratch = Scratch(recordings.sparkSession, "recordings")
+    r = scratch.keep(r.select("recording", "subject", "number", "node"), "recordings")
+    own = r.groupBy("node").agg(F.count(F.lit(1)).alias("_n"), F.min("number").alias("number"), F.min("subject").alias("_lo"), F.max("subject").alias("_hi"))
+    nodes = scratch.keep(own.join(hash_to_min(edges), "node"), "nodes")
+    groups = nodes.groupBy("component").agg(F.min("number").alias("group_no"), F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"))
     groups = groups.select("component", "group_no", F.when(F.col("_lo").isNull(), 0).when(F.col("_lo") == F.col("_hi"), 1).otherwise(2).alias("n_subjects"))
-    return r.select("recording", "subject", "component").join(groups, "component")
+    named = scratch.keep(nodes.select("node", "component", "_n").join(groups, "component"), "groups")
+    return join_unique(r.select("recording", "subject", "node"), named, "node").select("recording", "subject", "component", "group_no", "n_subjects")
 
 
 def assign_splits(members: DataFrame, shares: dict[str, float], unit: str = "component", weight: str | None = None, seed: int = 17) -> DataFrame:
     """``members`` with ``split``: every row of one ``unit`` in the same one, the shares of weight as given.
 
-    Rows without a unit are each on their own (equal ones together). Units above 1/200 of the whole (at most 200) are
-    placed by size where most is missing; the rest go to the highest -share / ln(hash of unit and
-    split), with the shares that are then still missing. Adding units moves no other small unit
-    while those shares stay. Shares need not sum to 1.
+    Units are drawn by weighted rendezvous hashing: a unit goes to the split of the highest
+    -missing / ln(hash of unit and split), ``missing`` being what the split still lacks of its
+    share. They are drawn in batches by falling weight (ties: the unit's name) of 1, 2, 4, 8, ...
+    units, all of a batch by the same missing weights; a split that lacks less than the unit weighs
+    is left out, and where all do, the one that lacks most takes it. So the heaviest units are
+    drawn one by one, what a batch draws unevenly the next ones even out, and the same rule holds
+    for every unit whatever its size. The shares end within the weight of the lightest half's
+    sampling error, or of the heaviest unit where that is larger than its split.
+
+    Rows without a unit are each on their own (equal ones together). A null weight is 0. Shares
+    need not sum to 1. The driver holds one row a batch, and the first 8,191 units.
     """
     if not shares or any(not s >= 0 for s in shares.values()) or not sum(shares.values()) > 0:
         raise ValueError("shares must be positive")
+    scratch = Scratch(members.sparkSession, "splits")
+    names = sorted(shares)
     w = F.coalesce(F.col(weight).cast("double"), F.lit(0.0)) if weight else F.lit(1.0)
     held = members.withColumn("_unit", F.coalesce(F.col(unit).cast("string"), F.concat(F.lit("?"), F.xxhash64(*members.columns).cast("string"))))
-    sizes = held.groupBy("_unit").agg(F.sum(w).alias("_size"))
-    total = sizes.agg(F.sum("_size")).first()[0] or 0.0
-    large = sizes.where(F.col("_size") > total / LARGE_SHARE).orderBy(F.desc("_size"), "_unit").limit(LARGE_SHARE).collect() if total else []
-    whole = sum(shares.values())
-    missing = {s: total * share / whole for s, share in shares.items()}
-    placed: dict[str, str] = {}
-    for row in large:
-        best = max(missing, key=lambda s: (missing[s], s))
-        placed[row["_unit"]] = best
-        missing[best] -= row["_size"]
-    rest = {s: max(x, 0.0) for s, x in missing.items()}
-    if sum(rest.values()) <= 0:
-        rest = dict(shares)
-    draw = F.greatest(*[F.struct(_rendezvous(F.col("_unit"), s, share, seed).alias("score"), F.lit(s).alias("split")) for s, share in sorted(rest.items())]) if len(rest) > 1 else F.struct(F.lit(0.0).alias("score"), F.lit(next(iter(rest))).alias("split"))
-    split = draw["split"]
-    if placed:
-        pairs = F.create_map(*[F.lit(x) for pair in placed.items() for x in pair])
-        split = F.coalesce(F.try_element_at(pairs, F.col("_unit")), split)
-    return held.withColumn("split", split).drop("_unit")
-
-
-def _rendezvous(unit: Column, split: str, share: float, seed: int) -> Column:
-    if not share > 0:
-        return F.lit(-math.inf)
+    sizes = held.groupBy("_unit").agg(F.sum(w).alias("_size"), F.count(F.lit(1)).alias("_n")).withColumns({"_all": F.lit(0), "_light": -F.col("_size")})
+    placed = positions(range_parts(sizes, "_all", ["_light", "_unit"], scratch, "sizes"), "_all", ["_light", "_unit"])
+    draws = F.array(*[_draw(F.col("_unit"), s, seed) for s in names])
+    ranked = scratch.keep(placed.select("_unit", "_size", "_n", (F.length(F.bin(F.col("pos") + 1)) - 1).alias("_batch"), draws.alias("_draws")), "ranked")
+    top = ranked.agg(F.max("_batch"), F.sum("_size")).first()
+    whole, total = sum(shares.values()), top[1] or 0.0
+    missing = [total * shares[s] / whole for s in names]
+    tables: list[list[float]] = []
+    first = ranked.where(F.col("_batch") < DRIVER_BATCHES).select("_batch", "_size", "_draws").collect() if top[0] is not None else []
+    by_batch: dict[int, list] = {}
+    for r in first:
+        by_batch.setdefault(r["_batch"], []).append(r)
+    for b in range((top[0] if top[0] is not None else -1) + 1):
+        tables.append(list(missing))
+        if b < DRIVER_BATCHES:
+            took = [0.0] * len(names)
+            for r in by_batch[b]:
+                took[_choice(r["_size"], r["_draws"], missing)] += r["_size"]
+        else:
+            got = ranked.where(F.col("_batch") == b).groupBy(_chosen(missing, None).alias("i")).agg(F.sum("_size").alias("s")).collect()  # a row a split
+            took = [sum(r["s"] for r in got if r["i"] == i) for i in range(len(names))]
+        missing = [m - t for m, t in zip(missing, took)]
+    if not tables:
+        return held.withColumn("split", F.lit(names[0])).drop("_unit")
+    split = F.element_at(F.array(*map(F.lit, names)), _chosen(None, tables) + 1)
+    return join_unique(held, scratch.keep(ranked.select("_unit", "_n", split.alias("split")), "chosen"), "_unit").drop("_unit")
+
+
+def _draw(unit: Column, split: str, seed: int) -> Column:
+    """-1 / ln of a hash in (0, 1)."""
     bits = F.shiftrightunsigned(F.xxhash64(unit, F.lit(split), F.lit(seed)), 11)
-    return -F.lit(float(share)) / F.ln((bits.cast("double") + 0.5) / float(2**53))
+    return -1 / F.ln((bits.cast("double") + 0.5) / float(2**53))
+
+
+def _choice(size: float, draws: list[float], missing: list[float]) -> int:
+    """Place of the split of a unit among the splits by name."""
+    fits = [i for i, m in enumerate(missing) if m > 0 and m >= size]
+    return max(fits, key=lambda i: (missing[i] * draws[i], i)) if fits else max(range(len(missing)), key=lambda i: (missing[i], i))
+
+
+def _chosen(missing: list[float] | None, tables: list[list[float]] | None) -> Column:
+    """``_choice`` as an expression over ``_size`` and ``_draws``, for one batch or, by ``_batch``, for all."""
+    lacks = F.array(*map(F.lit, missing)) if tables is None else F.element_at(F.array(*[F.array(*map(F.lit, t)) for t in tables]), F.col("_batch") + 1)
+    scored = F.transform(lacks, lambda m, i: F.struct(((m > 0) & (m >= F.col("_size"))).alias("fits"), F.when((m > 0) & (m >= F.col("_size")), m * F.get("_draws", i)).otherwise(m).alias("score"), i.alias("i")))
+    return F.array_max(scored)["i"]

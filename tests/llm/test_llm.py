@@ -115,6 +115,13 @@ def test_runs_equal_brute_force(spark):
     assert runs.collapse_runs(df.limit(0), "rec", "s", "id", "lab", 2.5).count() == 0
 
 
+def test_near_identical_runs(spark):
+    v = [1.0, 1.05, 1.1, 1.15, 2.0, None, 2.05, float("nan"), 2.1]
+    df = spark.createDataFrame([("k", float(i), i, x) for i, x in enumerate(v)], "rec string, s double, id long, v double")
+    got = runs.collapse_runs(df, "rec", "s", "id", "v", 2.5, 2, tolerance=0.06).collect()
+    assert sorted((r.first_id, r.last_id, r.n_events, r.v) for r in got) == [(0, 3, 4, 1.0), (4, 8, 3, 2.0)]  # null and NaN are left out
+
+
 def test_components_equal_union_find(spark):
     rnd = random.Random(2)
     edges = [(f"n{rnd.randrange(80)}", f"n{rnd.randrange(80)}") for _ in range(50)] + [("hub", f"m{i}") for i in range(60)] + [(f"c{i}", f"c{i + 1}") for i in range(40)] + [(None, "x"), ("y", None)]
@@ -141,8 +148,25 @@ def test_split_shares(spark):
     out = splits.assign_splits(df, {"train": 0.7, "validation": 0.15, "test": 0.15})
     assert out.count() == 4000 and out.groupBy("component").agg(F.countDistinct("split").alias("n")).where("n > 1").count() == 0
     share = {r.split: r["count"] / 4000 for r in out.groupBy("split").count().collect()}
-    assert abs(share["train"] - 0.7) < 0.05 and abs(share["test"] - 0.15) < 0.05
+    assert abs(share["train"] - 0.7) < 0.005 and abs(share["test"] - 0.15) < 0.005
     assert splits.assign_splits(df.limit(0), {"train": 1.0}).count() == 0
+    with pytest.raises(ValueError):
+        splits.assign_splits(df, {"train": 0.0})
+
+
+def test_one_rule_for_every_size_of_unit(spark, monkeypatch):
+    rnd = random.Random(8)
+    sizes = {f"g{i}": rnd.choice([1, 2, 3, 5, 60, 400]) for i in range(300)}
+    df = spark.createDataFrame([(u, float(n)) for u, n in sizes.items()] + [(None, 3.0), (None, 4.0), ("g0", None)], "component string, n double")
+    shares = {"train": 70, "validation": 15, "test": 15}
+    out = splits.assign_splits(df, shares, weight="n").collect()
+    held = {}
+    for r in out:
+        held[r.split] = held.get(r.split, 0) + (r.n or 0)
+    total = sum(held.values())
+    assert len(out) == 303 and all(abs(held[s] / total - x / 100) < 0.01 for s, x in shares.items())
+    monkeypatch.setattr(splits, "DRIVER_BATCHES", 2)  # by jobs instead of on the driver: the same draws
+    assert sorted(map(str, splits.assign_splits(df, shares, weight="n").collect())) == sorted(map(str, out))
 
 
 def test_words():
