@@ -38,6 +38,8 @@ class Items:
         self.words = [np.array([self.number.setdefault(w, len(self.number)) for w in ws], np.int64) for _, ws in items]
         self.starts = np.cumsum([0, *map(len, self.words)])
         self.flat = np.concatenate(self.words) if self.words else np.zeros(0, np.int64)
+        self.lengths = np.diff(self.starts)
+        self.starts = self.starts[:-1]
         self.longest = max(map(len, self.words), default=0)
 
     def anchor(self, postings: np.ndarray) -> None:
@@ -88,13 +90,12 @@ class Segment:
         return (at < len(self.keys)) & (self.keys[np.minimum(at, len(self.keys) - 1)] <= want + slop)
 
 
-def _longest_run(hit: np.ndarray) -> np.ndarray:
-    """Longest run of true values in each row."""
-    best = run = np.zeros(len(hit), np.int64)
-    for j in range(hit.shape[1]):
-        run = np.where(hit[:, j], run + 1, 0)
-        best = np.maximum(best, run)
-    return best
+def _longest_runs(hit: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Longest run of true values in each of the stretches that begin at ``starts``."""
+    at = np.arange(len(hit))
+    stop = np.where(hit, -1, at)  # the last place before a run: a miss, or the place before the stretch
+    stop[starts] = np.where(hit[starts], starts - 1, starts)
+    return np.maximum.reduceat(np.where(hit, at - np.maximum.accumulate(stop), 0), starts)
 
 
 def search(seg: Segment, items: Items, least: int, slop: int) -> list[np.ndarray]:
@@ -125,22 +126,37 @@ def search(seg: Segment, items: Items, least: int, slop: int) -> list[np.ndarray
         # the anchor stands exactly here; in a proximity match it may itself be up to ``slop`` off
         every = np.arange(-slop, slop + 1)
         pairs = np.unique(np.repeat(item, len(every)) * seg.span + (shift[:, None] + every + OFFSET).ravel())
-        begin = np.flatnonzero(np.diff(pairs // seg.span, prepend=-1))
-        for b, e in zip(begin, [*begin[1:], len(pairs)]):
-            n = int(pairs[b] // seg.span)
-            w, s = items.words[n], pairs[b:e] % seg.span - OFFSET
-            near, same = (np.stack([seg.meets(np.full(len(s), t), s + j, tolerance) for j, t in enumerate(w)], 1) for tolerance in (slop, 0))
-            run, phrase = _longest_run(near), _longest_run(same)
-            good = run >= least
-            if good.any():
-                # the document of a match is that of any of its words
-                first = np.argmax(near[good], 1)
-                doc = np.searchsorted(seg.bases, s[good] + first + slop, "right") - 1
-                for x, v in zip(out, (seg.docs[doc], np.full(good.sum(), items.ids[n]), phrase[good], run[good])):
-                    x.append(v.astype(np.int64))
+        n, s = pairs // seg.span, pairs % seg.span - OFFSET
+        words = np.cumsum(items.lengths[n])
+        chunks = [0, *(np.flatnonzero(np.diff(words // AT_ONCE)) + 1).tolist(), len(n)]
+        for c, d in zip(chunks, chunks[1:]):
+            if c < d:
+                for x, v in zip(out, _compare(seg, items, n[c:d], s[c:d], least, slop)):
+                    x.append(v)
     return [np.concatenate(x) for x in out]
 
 
+def _compare(seg: Segment, items: Items, n: np.ndarray, shift: np.ndarray, least: int, slop: int) -> tuple[np.ndarray, ...]:
+    """doc, item, phrase and near of the alignments (item, shift) that hold ``least`` words in a row."""
+
+    def hits(n: np.ndarray, shift: np.ndarray, tolerance: int) -> tuple[np.ndarray, np.ndarray]:
+        size = items.lengths[n]
+        starts = np.cumsum(size) - size
+        word = np.arange(size.sum()) - np.repeat(starts, size)
+        return seg.meets(items.flat[np.repeat(items.starts[n], size) + word], np.repeat(shift, size) + word, tolerance), starts
+
+    near, starts = hits(n, shift, slop)
+    run = _longest_runs(near, starts)
+    good = run >= least
+    if not good.any():
+        return (np.zeros(0, np.int64),) * 4
+    # an item is shorter than the gap between documents, so any word that is met tells the document
+    at = np.minimum.reduceat(np.where(near, np.arange(len(near)), len(near)), starts)[good] - starts[good]
+    doc = np.searchsorted(seg.bases, shift[good] + at + slop, "right") - 1
+    phrase = _longest_runs(*hits(n[good], shift[good], 0))
+    return seg.docs[doc], items.ids[n[good]], phrase, run[good]
+
+
 def _segment(docs: list[int], bases: list[int], terms: list[int], places: list[int]) -> pa.RecordBatch:
     t, p = np.array(terms, np.int32), np.array(places, np.int64)
     by = np.lexsort((p, t))
