@@ -19,13 +19,15 @@ CLIP, AR_MOST, SHIFT_ROWS = 2.5, 0.95, 4
 HALO = 8
 BLOCK_ROWS = 256
 OPEN_ROWS = 40_000  # a source of more rows in one range is fitted over all ranges
+UNIT = 2.0**20  # sums are of whole multiples of 1 / UNIT, so that they don't depend on the order of adding
 BIN_SHIFT = 45  # bins of a double's sign, exponent and 7 bits of fraction: 16 bits of a float32
 MOST_BROADCAST = 20_000  # sources' fits, of 3 doubles a position
 
 NO_SOURCE = "\uffff"
 
 FLAGS = "row_id long, pos int, kind string, score double, far boolean"
-BLOCKS = "src string, key string, part int, seq long, lo int, hi int, t double, rid array<long>, x array<float>"
+BLOCKS = "src string, key string, part int, edge int, lo int, hi int, t double, rid array<long>, x array<float>"
+AT_START, AT_END = 1, 2  # a block at its range's start or end, whose key may go on in the next range
 ROWS = f"what string, {FLAGS}, {BLOCKS}"
 
 
@@ -83,18 +85,24 @@ def _lagged(z: np.ndarray, seg: np.ndarray) -> np.ndarray:
     return out
 
 
-def lag_sums(x: np.ndarray, seg: np.ndarray, mid: np.ndarray, mad: np.ndarray, phi: np.ndarray, tests: Tests) -> tuple[np.ndarray, np.ndarray]:
-    """Sums for the lag-one coefficient: of products, and of squares, of clipped values.
+def _whole(v: np.ndarray) -> np.ndarray:
+    return np.rint(np.clip(np.nan_to_num(v, nan=0.0, posinf=CLIP, neginf=-CLIP), -CLIP * CLIP, CLIP * CLIP) * UNIT).astype(np.int64)
+
+
+def lag_sums(x: np.ndarray, seg: np.ndarray, mid: np.ndarray, mad: np.ndarray, phi: np.ndarray, tests: Tests, lo: int = 0, hi: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Sums for the lag-one coefficient over the rows between the first ``lo`` and the last ``hi``: of products, and of squares, of clipped values.
 
     With a ``phi`` from an earlier round, readings that fail the outlier test are replaced by what
-    it predicts first.
+    it predicts first. A row's terms depend on the three rows before it.
     """
     z = _z(x, mid, mad)
     lag = _lagged(z, seg)
-    out = np.abs(z - phi * lag) > tests.outlier * np.sqrt(1 - phi * phi)
+    with np.errstate(invalid="ignore"):
+        out = np.abs(z - phi * lag) > tests.outlier * np.sqrt(1 - phi * phi)
     clean = np.where(out & (phi != 0), phi * lag, z)
     lag, now = _lagged(clean, seg), np.clip(np.nan_to_num(clean, nan=0.0, posinf=CLIP, neginf=-CLIP), -CLIP, CLIP)
-    return (now * lag).sum(0), (lag * lag).sum(0)
+    core = slice(lo, len(x) - hi)
+    return _whole(now * lag)[core].sum(0), _whole(lag * lag)[core].sum(0)
 
 
 def coefficient(products: np.ndarray, squares: np.ndarray) -> np.ndarray:
@@ -138,8 +146,8 @@ def detect(x: np.ndarray, seg: np.ndarray, mid: np.ndarray, mad: np.ndarray, phi
     shift = np.zeros(x.shape, bool)
     h = SHIFT_ROWS
     if len(x) >= 2 * h:
-        c = np.vstack([np.zeros(x.shape[1]), np.cumsum(np.clip(np.nan_to_num(z, nan=0.0, posinf=CLIP, neginf=-CLIP), -CLIP, CLIP), 0)])
-        after, before = (c[2 * h :] - c[h:-h]) / h, (c[h:-h] - c[: -2 * h]) / h
+        c = np.vstack([np.zeros((1, x.shape[1]), np.int64), np.cumsum(_whole(np.clip(z, -CLIP, CLIP)), 0)])
+        after, before = (c[2 * h :] - c[h:-h]) / (h * UNIT), (c[h:-h] - c[: -2 * h]) / (h * UNIT)
         whole = (seg[2 * h - 1 :] == seg[: len(seg) - 2 * h + 1])[:, None]
         shift[h : len(x) - h + 1] = (np.abs(after - before) > tests.outlier * np.sqrt(2 / h)) & whole
     low, high = np.array(tests.low or [-np.inf] * x.shape[1]), np.array(tests.high or [np.inf] * x.shape[1])
@@ -174,7 +182,7 @@ def _flag_batch(what: str, ids: np.ndarray, found: tuple[np.ndarray, ...]) -> pa
     return _filled({"what": pa.array([what] * n, pa.string()), **dict(zip(fields, cols))}, n)
 
 
-_ARROW = pa.schema([("what", pa.string()), ("row_id", pa.int64()), ("pos", pa.int32()), ("kind", pa.string()), ("score", pa.float64()), ("far", pa.bool_()), ("src", pa.string()), ("key", pa.string()), ("part", pa.int32()), ("seq", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("t", pa.float64()), ("rid", pa.list_(pa.int64())), ("x", pa.list_(pa.float32()))])
+_ARROW = pa.schema([("what", pa.string()), ("row_id", pa.int64()), ("pos", pa.int32()), ("kind", pa.string()), ("score", pa.float64()), ("far", pa.bool_()), ("src", pa.string()), ("key", pa.string()), ("part", pa.int32()), ("edge", pa.int32()), ("lo", pa.int32()), ("hi", pa.int32()), ("t", pa.float64()), ("rid", pa.list_(pa.int64())), ("x", pa.list_(pa.float32()))])
 
 
 def _filled(given: dict, n: int) -> pa.RecordBatch:
@@ -189,18 +197,20 @@ class _Range:
 
     A source that begins and ends inside the range is fitted and tested here. The first and last
     source of a range may go on in another one, and a source of more than ``OPEN_ROWS`` rows is
-    not held in memory: these are open, and leave as blocks of rows with up to eight rows of their
-    neighbourhood on each side, to be fitted over all ranges. The first and last rows of the range
-    also leave as edges, from which blocks across ranges are joined.
+    not held in memory: these are open, and leave as blocks of rows with the eight rows of their
+    key on each side, to be fitted over all ranges. Both ways give the same fits and flags. Blocks
+    at the range's start and end lack rows that lie in other ranges; the range's first rows of its
+    first key and last rows of its last key leave as edges, from which ``_with_halos`` gives each
+    such block what it lacks.
     """
 
     def __init__(self, part: int, dim: int, tests: Tests, open_rows: int) -> None:
         self.part, self.dim, self.tests, self.most = part, dim, tests, open_rows
         self.src: str | None = None
         self.first, self.open, self.context = True, False, 0
-        self.seq: dict[str, int] = {}
-        self.head: list | None = []
-        self.tail: list = []
+        self.head: tuple[str, str] | None = None  # source and key of the range's first row
+        self.head_rows: list[tuple] = []
+        self.started: tuple | None = None  # source and key of the last block that was sent
         self.clear()
 
     def clear(self) -> None:
@@ -214,12 +224,17 @@ class _Range:
     def joined(self) -> tuple[np.ndarray, ...]:
         return tuple(np.concatenate(c) for c in (self.ids, self.keys, self.ts, self.x))
 
-    def take(self, src: str, *cols: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def take(self, src: str, ids: np.ndarray, keys: np.ndarray, ts: np.ndarray, x: np.ndarray) -> Iterator[pa.RecordBatch]:
         if self.src is not None and src != self.src:
             yield from self.finish(last=False)
             self.first, self.open = False, False
         self.src = src
-        self.add(*cols)
+        if self.head is None:
+            self.head = (src, keys[0])
+        if self.first and len(self.head_rows) < HALO and src == self.head[0]:
+            own = np.flatnonzero(keys == self.head[1])[: HALO - len(self.head_rows)]
+            self.head_rows += [(src, keys[i], ids[i], ts[i], x[i]) for i in own]
+        self.add(ids, keys, ts, x)
         if self.rows - self.context > self.most:
             self.open = True
             yield from self.blocks(final=False)
@@ -228,6 +243,8 @@ class _Range:
         if self.src is None:
             return
         if self.open or self.first or last:
+            if last:
+                yield self.edges()
             yield from self.blocks(final=True, last=last)
         else:
             ids, keys, _, x = self.joined()
@@ -241,12 +258,19 @@ class _Range:
         self.clear()
         self.context = 0
 
+    def edges(self) -> pa.RecordBatch:
+        ids, keys, ts, x = self.joined()
+        own = np.flatnonzero(keys == keys[-1])[-HALO:]
+        rows = {r[:3]: r for r in [*self.head_rows, *[(self.src, keys[i], ids[i], ts[i], x[i]) for i in own]]}.values()
+        m = len(rows)
+        src, key, ids, ts, x = zip(*rows)
+        return _filled({"what": pa.array(["edge"] * m), "src": pa.array(src), "key": pa.array(key), "part": pa.array([self.part] * m, pa.int32()), "t": pa.array(np.array(ts, np.float64)), "rid": pa.array([[int(i)] for i in ids], pa.list_(pa.int64())), "x": from_matrix(np.stack(x))}, m)
+
     def blocks(self, final: bool, last: bool = False) -> Iterator[pa.RecordBatch]:
         ids, keys, ts, x = self.joined()
         n = len(ids)
         change = np.flatnonzero(keys[1:] != keys[:-1]) + 1
         out: list[tuple] = []
-        edges: list[int] = []
         sent = self.context
         for a, b in zip(np.r_[0, change], np.r_[change, n]):
             goes_on = b == n and not final
@@ -257,34 +281,20 @@ class _Range:
                 if goes_on and e + HALO > b:
                     break
                 lo, hi = int(min(HALO, s - a)), int(min(HALO, b - e))
-                seq = self.seq.get(key, 0)
-                out.append((key, seq, lo, hi, slice(s - lo, e + hi)))
-                if self.first and self.head is not None and (not self.head or self.head[0] == key) and seq < HALO:
-                    edges += range(s, min(e, s + HALO - seq))
-                    self.head = [key]
-                self.seq = {key: seq + e - s}
+                edge = AT_START if (self.src, key) == self.head and self.started is None else 0
+                edge += AT_END if last and b == n and hi < HALO else 0
+                out.append((key, edge, lo, hi, slice(s - lo, e + hi)))
+                self.started = (self.src, key)
                 s = sent = e
-            if self.first and self.head and self.head[0] != key:
-                self.head = None
-        if last and n:
-            a = max(int(change[-1]) if len(change) else 0, n - HALO)
-            edges += range(a, n)
         if out:
             yield _filled(
                 {
                     "what": pa.array(["block"] * len(out)), "src": pa.array([self.src] * len(out)), "key": pa.array([o[0] for o in out]), "part": pa.array([self.part] * len(out), pa.int32()),
-                    "seq": pa.array([o[1] for o in out], pa.int64()), "lo": pa.array([o[2] for o in out], pa.int32()), "hi": pa.array([o[3] for o in out], pa.int32()),
+                    "edge": pa.array([o[1] for o in out], pa.int32()), "lo": pa.array([o[2] for o in out], pa.int32()), "hi": pa.array([o[3] for o in out], pa.int32()),
                     "rid": pa.array([ids[o[4]] for o in out], pa.list_(pa.int64())), "x": pa.array([x[o[4]].ravel() for o in out], pa.list_(pa.float32())),
                 },
                 len(out),
             )
-        if edges:
-            at = np.array(sorted(set(edges)))
-            # places in the key's rows of this range, counted back from the last row that was sent
-            back = np.array([int((keys[i:sent] == keys[i]).sum()) for i in at])
-            seqs = np.array([self.seq.get(keys[i], back[j]) - back[j] for j, i in enumerate(at)], np.int64)
-            m = len(at)
-            yield _filled({"what": pa.array(["edge"] * m), "src": pa.array([self.src] * m), "key": pa.array(keys[at].tolist()), "part": pa.array([self.part] * m, pa.int32()), "seq": pa.array(seqs), "t": pa.array(ts[at]), "rid": pa.array([[i] for i in ids[at].tolist()], pa.list_(pa.int64())), "x": from_matrix(x[at])}, m)
         keep = max(0, sent - HALO)
         self.clear()
         self.context = 0
@@ -425,30 +435,46 @@ def _open_fits(blocks: DataFrame, dim: int, tests: Tests, scratch: Scratch) -> D
         for batch in batches:
             src, got = batch.column("src").to_pylist(), {}
             for i, _, x, lo, hi in _matrices(batch, dim):
-                x = x[max(0, lo - 1) : len(x) - hi].astype(np.float64)
-                a, b = lag_sums(x, np.zeros(len(x), int), _fit_of(batch, "mid", i, dim), _fit_of(batch, "mad", i, dim), _fit_of(batch, "phi", i, dim, 0.0), tests)
-                pa_, pb = got.get(src[i], (0.0, 0.0))
+                a, b = lag_sums(x.astype(np.float64), np.zeros(len(x), int), _fit_of(batch, "mid", i, dim), _fit_of(batch, "mad", i, dim), _fit_of(batch, "phi", i, dim, 0.0), tests, lo, hi)
+                pa_, pb = got.get(src[i], (0, 0))
                 got[src[i]] = (pa_ + a, pb + b)
-            rows = [{"src": s, "pos": p, "a": float(a[p]), "b": float(b[p])} for s, (a, b) in got.items() for p in range(dim)]
-            yield pa.RecordBatch.from_pylist(rows, pa.schema([("src", pa.string()), ("pos", pa.int32()), ("a", pa.float64()), ("b", pa.float64())]))
+            rows = [{"src": s, "pos": p, "a": int(a[p]), "b": int(b[p])} for s, (a, b) in got.items() for p in range(dim)]
+            yield pa.RecordBatch.from_pylist(rows, pa.schema([("src", pa.string()), ("pos", pa.int32()), ("a", pa.int64()), ("b", pa.int64())]))
 
     base = fits
     for _ in range(2):
-        got = blocks.join(fits, "src").mapInArrow(sums, "src string, pos int, a double, b double").groupBy("src", "pos").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-        phi = got.select("src", "pos", F.coalesce(F.greatest(F.lit(-AR_MOST), F.least(F.lit(AR_MOST), F.try_divide("a", "b"))), F.lit(0.0)).alias("v"))
+        got = blocks.join(fits, "src").mapInArrow(sums, "src string, pos int, a long, b long").groupBy("src", "pos").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+        phi = got.select("src", "pos", F.coalesce(F.greatest(F.lit(-AR_MOST), F.least(F.lit(AR_MOST), F.try_divide(F.col("a").cast("double"), F.col("b").cast("double")))), F.lit(0.0)).alias("v"))
         fits = small(base.join(_packed(phi, "phi"), "src"), "fits")
     return fits
 
 
-def _joined_edges(edges: DataFrame) -> DataFrame:
-    """Blocks of rows that lie side by side across ranges, from the ranges' first and last rows."""
-    order = Window.partitionBy("key").orderBy("t", "_id")
-    e = edges.withColumn("_id", F.col("rid")[0]).dropDuplicates(["_id"])
-    e = e.withColumn("_gap", F.coalesce(((F.lag("part").over(order) == F.col("part")) & (F.col("seq") - F.lag("seq").over(order) > 1)).cast("int"), F.lit(0)))
-    e = e.withColumn("_island", F.sum("_gap").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    rows = F.sort_array(F.collect_list(F.struct("t", "_id", "x", "part")))
-    e = e.groupBy("src", "key", "_island").agg(rows.alias("r")).where(F.size(F.array_distinct(F.transform("r", lambda r: r["part"]))) > 1)
-    return e.select("src", F.lit(0).alias("lo"), F.lit(0).alias("hi"), F.transform("r", lambda r: r["_id"]).alias("rid"), F.flatten(F.transform("r", lambda r: r["x"])).alias("x"))
+def _with_halos(blocks: DataFrame, edges: DataFrame) -> DataFrame:
+    """Blocks at the ranges' ends with up to eight rows of their key from the ranges before and after.
+
+    A range's edges hold its last eight rows of a key that may go on, or all it has, and its first
+    eight likewise; so the rows around a range's end in the sequence of a key's edges are those of
+    the key itself. A key has at most sixteen edges a range.
+    """
+    e = edges.select("src", "key", "part", "t", F.struct(F.col("rid")[0].alias("id"), "x").alias("row"))
+    order = Window.partitionBy("src", "key").orderBy("t", "row.id")
+    e = e.withColumns(
+        {
+            "before": F.collect_list("row").over(order.rowsBetween(-HALO, -1)),
+            "after": F.collect_list("row").over(order.rowsBetween(1, HALO)),
+            "starts": F.coalesce(F.lag("part").over(order) != F.col("part"), F.lit(True)),
+            "ends": F.coalesce(F.lead("part").over(order) != F.col("part"), F.lit(True)),
+        }
+    )
+    none = F.array().cast("array<struct<id:bigint,x:array<float>>>")
+    near = e.groupBy("src", "key", "part").agg(F.max(F.when(F.col("starts"), F.col("before"))).alias("before"), F.max(F.when(F.col("ends"), F.col("after"))).alias("after"))
+    b = blocks.join(near, ["src", "key", "part"], "left")
+    at = lambda side: (F.col("edge").bitwiseAND(side)) > 0
+    b = b.withColumn("before", F.when(at(AT_START), F.coalesce("before", none)).otherwise(none))
+    b = b.withColumn("after", F.when(at(AT_END), F.slice(F.coalesce("after", none), F.lit(1), HALO - F.col("hi"))).otherwise(none))
+    ids = lambda c: F.transform(c, lambda r: r["id"])
+    xs = lambda c: F.flatten(F.transform(c, lambda r: r["x"]))
+    return b.select("src", (F.col("lo") + F.size("before")).alias("lo"), (F.col("hi") + F.size("after")).alias("hi"), F.concat(ids("before"), "rid", ids("after")).alias("rid"), F.concat(xs("before"), "x", xs("after")).alias("x"))
 
 
 def implausible(df: DataFrame, row_id: str, source: str, key: str, time: str, readings: str, dim: int, tests: Tests, open_rows: int = OPEN_ROWS) -> DataFrame:
@@ -463,7 +489,7 @@ def implausible(df: DataFrame, row_id: str, source: str, key: str, time: str, re
 
     All rows are sorted once into ranges of (source, key, time, id). Most sources lie in one range
     and are fitted as it streams by; those that don't, hot ones above all, are fitted over all
-    ranges by radix selection and sums, and never gathered.
+    ranges by radix selection and sums, and never gathered. The result doesn't depend on the ranges.
 
     Rows repeated under one id count once. Rows without id or key are left out: nothing names or
     orders them. A null source has no normal, so its readings can only be held or beyond a limit.
@@ -478,9 +504,10 @@ def implausible(df: DataFrame, row_id: str, source: str, key: str, time: str, re
     made = scratch.keep(ranged.mapInArrow(_first_pass(dim, tests, open_rows), ROWS), "ranges")
     columns = ["row_id", "pos", "kind", "score", "far"]
     closed = made.where("what = 'flag'").select(*columns)
-    blocks = made.where("what = 'block'").select("src", "lo", "hi", "rid", "x")
+    sent, fields = made.where("what = 'block'"), ["src", "lo", "hi", "rid", "x"]
+    across = scratch.keep(_with_halos(sent.where("edge > 0"), made.where("what = 'edge'")), "across")
+    blocks = sent.where("edge = 0").select(*fields).unionByName(across)
     fits = _open_fits(blocks.where(F.col("src") != NO_SOURCE), dim, tests, scratch)
-    across = _joined_edges(made.where("what = 'edge'").select("src", "key", "part", "seq", "t", "rid", "x"))
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -489,9 +516,4 @@ def implausible(df: DataFrame, row_id: str, source: str, key: str, time: str, re
                 core = (found[0] >= lo) & (found[0] < len(x) - hi)
                 yield _flag_batch("", ids, tuple(c[core] for c in found))
 
-    both = blocks.unionByName(across).join(fits, "src", "left")
-    opened = both.mapInArrow(test, FLAGS)
-    # a row near a range's end is tested in its block and again with its neighbours across the end
-    opened = opened.groupBy("row_id", "pos", "kind").agg(F.max("score").alias("score"), F.max("far").alias("far"))
-    return closed.unionByName(opened)
-
+    return closed.unionByName(blocks.join(fits, "src", "left").mapInArrow(test, FLAGS))

@@ -259,3 +259,43 @@ def test_implausible_equals_brute_force(spark, open_rows):
     got = spikes.implausible(df, "row_idx", "src", "key", "t", "x", 2, tests, open_rows)
     assert {(r.row_id, r.pos) for r in got.where("far or kind in ('stuck', 'limit')").collect()} == _brute(rows, tests)
     assert spikes.implausible(df.limit(0), "row_idx", "src", "key", "t", "x", 2, tests).count() == 0
+
+
+def _whole_sources(rows, tests):
+    """Flags by the stated tests on each source's rows as one array."""
+    found = set()
+    for src in {r[1] for r in rows}:
+        own = sorted((r for r in rows if r[1] == src), key=lambda r: r[2:4] + r[:1])
+        ids, keys, x = [r[0] for r in own], [r[2] for r in own], np.array([r[4] or [None, None] for r in own], float).astype(np.float32).astype(float)
+        seg = np.unique(keys, return_inverse=True)[1]
+        mid, mad = spikes._mid_and_mad(x)
+        phi = np.zeros(2)
+        for _ in range(2):
+            phi = spikes.coefficient(*spikes.lag_sums(x, seg, mid, mad, phi, tests))
+        r, p, k, score, far = spikes.detect(x, seg, mid, mad, phi, tests)
+        found |= {(ids[a], int(b), spikes.KINDS[c], float(d), bool(e)) for a, b, c, d, e in zip(r, p, k, score, far)}
+    return found
+
+
+def test_flags_do_not_depend_on_partitions(spark):
+    rng = np.random.default_rng(17)
+    rows = []
+    for src, key, n in (("a", "a1", 1500), ("a", "a2", 7), ("b", "b1", 3), ("b", "b2", 300), ("c", "c1", 40), ("c", "c2", 900), ("d", "d1", 1)):
+        z = 0.0
+        for t in range(n):
+            z = 0.8 * z + rng.normal()
+            x = [float(z + (12 if 400 < t < 430 else 0)), 3.0 if 100 <= t < 120 else float(rng.normal())]
+            if rng.random() < 0.02:
+                x[0] += 30.0 if rng.random() < 0.5 else -30.0
+            rows.append((len(rows), src, key, float(t // 2), None if rng.random() < 0.01 else x))
+    df = spark.createDataFrame(rows, "row_idx long, src string, key string, t double, x array<double>")
+    tests = spikes.Tests(high=(25.0, math.inf))
+    want, before = _whole_sources(rows, tests), spark.conf.get("spark.sql.shuffle.partitions")
+    assert {k for _, _, k, _, _ in want} == set(spikes.KINDS)
+    try:
+        for n, open_rows in ((2, 40_000), (16, 40_000), (48, 40_000), (3, 300)):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            got = spikes.implausible(df, "row_idx", "src", "key", "t", "x", 2, tests, open_rows).collect()
+            assert len(got) == len(want) and {tuple(r) for r in got} == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
