@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,7 +11,8 @@ from fernwake.operators.ordering import join_unique, positions, range_parts
 from fernwake.session import Scratch
 
 MAX_ROUNDS = 200
-DRIVER_BATCHES = 13  # of 8,191 units, whose draws are added up on the driver instead of by jobs
+ALONE = 8191  # heaviest units, which are drawn one by one
+GROWTH = 1 / 8  # of the batches after them
 
 
 def subject_number(c: Column) -> Column:
@@ -87,15 +90,14 @@ def assign_splits(members: DataFrame, shares: dict[str, float], unit: str = "com
 
     Units are drawn by weighted rendezvous hashing: a unit goes to the split of the highest
     -missing / ln(hash of unit and split), ``missing`` being what the split still lacks of its
-    share. They are drawn in batches by falling weight (ties: the unit's name) of 1, 2, 4, 8, ...
-    units, all of a batch by the same missing weights; a split that lacks less than the unit weighs
-    is left out, and where all do, the one that lacks most takes it. So the heaviest units are
-    drawn one by one, what a batch draws unevenly the next ones even out, and the same rule holds
-    for every unit whatever its size. The shares end within the weight of the lightest half's
-    sampling error, or of the heaviest unit where that is larger than its split.
+    share. They are drawn in order of falling weight (ties: the unit's name), the first 8,191 one
+    by one, the others in batches of about an eighth of the units before them, all of a batch by
+    the same missing weights. A split that lacks less than the unit weighs is left out, and where
+    all do, the one that lacks most takes it. So what one batch draws unevenly the next ones, of
+    lighter units, even out, and the rule is the same for a unit of any weight.
 
     Rows without a unit are each on their own (equal ones together). A null weight is 0. Shares
-    need not sum to 1. The driver holds one row a batch, and the first 8,191 units.
+    need not sum to 1. The driver holds the first 8,191 units, which it draws, and one row a batch.
     """
     if not shares or any(not s >= 0 for s in shares.values()) or not sum(shares.values()) > 0:
         raise ValueError("shares must be positive")
@@ -106,29 +108,27 @@ def assign_splits(members: DataFrame, shares: dict[str, float], unit: str = "com
     sizes = held.groupBy("_unit").agg(F.sum(w).alias("_size"), F.count(F.lit(1)).alias("_n")).withColumns({"_all": F.lit(0), "_light": -F.col("_size")})
     placed = positions(range_parts(sizes, "_all", ["_light", "_unit"], scratch, "sizes"), "_all", ["_light", "_unit"])
     draws = F.array(*[_draw(F.col("_unit"), s, seed) for s in names])
-    ranked = scratch.keep(placed.select("_unit", "_size", "_n", (F.length(F.bin(F.col("pos") + 1)) - 1).alias("_batch"), draws.alias("_draws")), "ranked")
+    batch = F.when(F.col("pos") >= ALONE, F.floor(F.ln((F.col("pos") + 1) / (ALONE + 1)) / math.log(1 + GROWTH)).cast("int"))
+    ranked = scratch.keep(placed.select("_unit", "_size", "_n", "pos", batch.alias("_batch"), draws.alias("_draws")), "ranked")
     top = ranked.agg(F.max("_batch"), F.sum("_size")).first()
     whole, total = sum(shares.values()), top[1] or 0.0
     missing = [total * shares[s] / whole for s in names]
+    alone = []
+    for r in sorted(ranked.where("_batch is null").select("pos", "_unit", "_size", "_draws", "_n").collect()):
+        i = _choice(r["_size"], r["_draws"], missing)
+        missing[i] -= r["_size"]
+        alone.append((r["_unit"], r["_n"], names[i]))
     tables: list[list[float]] = []
-    first = ranked.where(F.col("_batch") < DRIVER_BATCHES).select("_batch", "_size", "_draws").collect() if top[0] is not None else []
-    by_batch: dict[int, list] = {}
-    for r in first:
-        by_batch.setdefault(r["_batch"], []).append(r)
     for b in range((top[0] if top[0] is not None else -1) + 1):
         tables.append(list(missing))
-        if b < DRIVER_BATCHES:
-            took = [0.0] * len(names)
-            for r in by_batch[b]:
-                took[_choice(r["_size"], r["_draws"], missing)] += r["_size"]
-        else:
-            got = ranked.where(F.col("_batch") == b).groupBy(_chosen(missing, None).alias("i")).agg(F.sum("_size").alias("s")).collect()  # a row a split
-            took = [sum(r["s"] for r in got if r["i"] == i) for i in range(len(names))]
-        missing = [m - t for m, t in zip(missing, took)]
-    if not tables:
-        return held.withColumn("split", F.lit(names[0])).drop("_unit")
-    split = F.element_at(F.array(*map(F.lit, names)), _chosen(None, tables) + 1)
-    return join_unique(held, scratch.keep(ranked.select("_unit", "_n", split.alias("split")), "chosen"), "_unit").drop("_unit")
+        got = ranked.where(F.col("_batch") == b).groupBy(_chosen([missing]).alias("i")).agg(F.sum("_size").alias("s")).collect()  # a row a split
+        for r in got:
+            missing[r["i"]] -= r["s"]
+    chosen = members.sparkSession.createDataFrame(alone, "_unit string, _n long, split string")
+    if tables:
+        split = F.element_at(F.array(*map(F.lit, names)), _chosen(tables) + 1)
+        chosen = chosen.unionByName(ranked.where("_batch is not null").select("_unit", "_n", split.alias("split")))
+    return join_unique(held, scratch.keep(chosen, "chosen"), "_unit").drop("_unit")
 
 
 def _draw(unit: Column, split: str, seed: int) -> Column:
@@ -143,8 +143,10 @@ def _choice(size: float, draws: list[float], missing: list[float]) -> int:
     return max(fits, key=lambda i: (missing[i] * draws[i], i)) if fits else max(range(len(missing)), key=lambda i: (missing[i], i))
 
 
-def _chosen(missing: list[float] | None, tables: list[list[float]] | None) -> Column:
-    """``_choice`` as an expression over ``_size`` and ``_draws``, for one batch or, by ``_batch``, for all."""
-    lacks = F.array(*map(F.lit, missing)) if tables is None else F.element_at(F.array(*[F.array(*map(F.lit, t)) for t in tables]), F.col("_batch") + 1)
-    scored = F.transform(lacks, lambda m, i: F.struct(((m > 0) & (m >= F.col("_size"))).alias("fits"), F.when((m > 0) & (m >= F.col("_size")), m * F.get("_draws", i)).otherwise(m).alias("score"), i.alias("i")))
+def _chosen(tables: list[list[float]]) -> Column:
+    """``_choice`` as an expression over ``_batch``, ``_size`` and ``_draws``; one table holds for all batches."""
+    lacks = [F.array(*map(F.lit, t)) for t in tables]
+    lacks = lacks[0] if len(tables) == 1 else F.element_at(F.array(*lacks), F.col("_batch") + 1)
+    fits = lambda m: (m > 0) & (m >= F.col("_size"))
+    scored = F.transform(lacks, lambda m, i: F.struct(fits(m).alias("fits"), F.when(fits(m), m * F.get("_draws", i)).otherwise(m).alias("score"), i.alias("i")))
     return F.array_max(scored)["i"]
