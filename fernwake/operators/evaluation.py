@@ -6,17 +6,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fernwake.functions.vectors import finite
+from fernwake.operators.ordering import range_parts, running_sums
+from fernwake.session import Scratch
+
+# The metrics of a scored fold, in their order.
+METRIC_KEYS = ("auc_pr", "sensitivity", "precision_seizure", "f1_seizure", "f1_nonseizure", "f1_macro", "specificity", "fp_per_hour", "balanced_accuracy", "accuracy", "roc_auc", "n", "n_pos", "threshold")
 
 
 def _n(c: Column) -> Column:
     return F.count(F.when(c, 1)).cast("double")
 
 
-def confusion_panel(scored: DataFrame, threshold: float, step_seconds: float = 1.0, by: list[str] | None = None) -> DataFrame:
+def confusion_panel(scored: DataFrame, threshold: float | Column, step_seconds: float = 1.0, by: list[str] | None = None) -> DataFrame:
     """Counts, precision, recall and F1 of both classes, specificity, accuracies and false positives an hour.
 
     ``scored`` has y and score; a score at the threshold is positive. Rates without a denominator
-    are 0, specificity and false positives an hour null. Rows without y or score are left out.
+    are 0, specificity and false positives an hour null; the balanced accuracy is the mean over the
+    classes that occur. ``threshold`` may be a column. Rows without y or score are left out.
     """
     r = scored.where("y is not null").withColumn("score", finite(F.col("score"))).where("score is not null").withColumn("p", (F.col("score") >= threshold).cast("int"))
     c = r.groupBy(*(by or [])).agg(_n((F.col("y") == 1) & (F.col("p") == 1)).alias("tp"), _n((F.col("y") == 0) & (F.col("p") == 1)).alias("fp"), _n((F.col("y") == 1) & (F.col("p") == 0)).alias("fn"), _n((F.col("y") == 0) & (F.col("p") == 0)).alias("tn"))
@@ -26,7 +32,9 @@ def confusion_panel(scored: DataFrame, threshold: float, step_seconds: float = 1
     spec = F.try_divide(tn, tn + fp)
     cols = {"precision": z(tp, tp + fp), "recall": z(tp, tp + fn), "f1": z(2 * tp, 2 * tp + fp + fn), "f1_negative": z(2 * tn, 2 * tn + fp + fn), "specificity": spec, "accuracy": z(tp + tn, n), "fp_per_hour": F.try_divide(fp, n * step_seconds / 3600)}
     out = c.select(*(by or []), *[F.col(x).cast("long").alias(x) for x in ("tp", "fp", "fn", "tn")], *[v.alias(k) for k, v in cols.items()])
-    return out.withColumn("balanced_accuracy", (F.col("recall") + F.coalesce("specificity", F.lit(0.0))) / F.when(F.col("specificity").isNull(), 1).otherwise(2))
+    some = F.col("tp") + F.col("fn") > 0
+    both = F.when(~some, F.col("specificity")).when(F.col("specificity").isNull(), F.col("recall")).otherwise((F.col("recall") + F.col("specificity")) / 2)
+    return out.withColumn("balanced_accuracy", both)
 
 
 def _curve(scored: DataFrame, by: list[str]) -> DataFrame:
@@ -35,20 +43,66 @@ def _curve(scored: DataFrame, by: list[str]) -> DataFrame:
     return r.groupBy(*by, "score").agg(F.sum(F.col("y").cast("long")).alias("pos"), F.sum(1 - F.col("y").cast("long")).alias("neg"))
 
 
+def _ranked(scored: DataFrame, by: list[str]) -> DataFrame:
+    """``_curve`` from the highest score down with ``pos_upto`` and ``neg_upto``.
+
+    The distinct scores are cut into ranges, also inside a group, and each range continues the sums
+    of those before it, so no task holds a group's scores.
+    """
+    key = F.to_json(F.struct(*[F.col(c).cast("string").alias(f"k{i}") for i, c in enumerate(by)])) if by else F.lit("")
+    c = _curve(scored, by).withColumns({"_key": key, "_down": -F.col("score")})
+    return running_sums(range_parts(c, "_key", ["_down"], Scratch(scored.sparkSession, "curve"), "scores"), "_key", ["_down"], ["pos", "neg"])
+
+
+def curve_areas(scored: DataFrame, by: list[str]) -> DataFrame:
+    """average_precision and roc_auc of each group, from one ordering of its distinct scores.
+
+    The first is the step area over distinct scores, the second counts ties half; both are null
+    unless both classes occur.
+    """
+    ap = F.sum(F.col("pos") * F.col("pos_upto") / (F.col("pos_upto") + F.col("neg_upto")))
+    above = F.sum(F.col("neg") * (F.col("pos_upto") - F.col("pos") / 2))
+    agg = _ranked(scored, by).groupBy(*by).agg(ap.alias("ap"), above.alias("above"), F.sum("pos").alias("p"), F.sum("neg").alias("n"))
+    both = (F.col("p") > 0) & (F.col("n") > 0)
+    return agg.select(*by, F.when(both, F.try_divide("ap", "p")).alias("average_precision"), F.when(both, F.try_divide("above", F.col("p") * F.col("n"))).alias("roc_auc"))
+
+
 def average_precision(scored: DataFrame, by: list[str]) -> DataFrame:
     """Step average precision over distinct scores; null unless both classes occur."""
-    w = Window.partitionBy(*by).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    c = _curve(scored, by).withColumns({"tp": F.sum("pos").over(w), "fp": F.sum("neg").over(w)})
-    agg = c.groupBy(*by).agg(F.sum(F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp"))).alias("s"), F.sum("pos").alias("p"), F.sum("neg").alias("n"))
-    return agg.select(*by, F.when((F.col("p") > 0) & (F.col("n") > 0), F.try_divide("s", "p")).alias("average_precision"))
+    return curve_areas(scored, by).drop("roc_auc")
 
 
 def roc_auc(scored: DataFrame, by: list[str]) -> DataFrame:
     """Area under the ROC curve, ties counted half; null unless both classes occur."""
-    w = Window.partitionBy(*by).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    c = _curve(scored, by).withColumn("below", F.coalesce(F.sum("neg").over(w), F.lit(0)))
-    agg = c.groupBy(*by).agg(F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)).alias("s"), F.sum("pos").alias("p"), F.sum("neg").alias("n"))
-    return agg.select(*by, F.try_divide("s", F.col("p") * F.col("n")).alias("roc_auc"))
+    return curve_areas(scored, by).drop("average_precision")
+
+
+def metric_panel(scored: DataFrame, by: list[str], step_seconds: float = 1.0) -> DataFrame:
+    """The fourteen metrics of each group of ``scored`` (by, y, score, threshold), named as in ``METRIC_KEYS``.
+
+    A group has one threshold. Undefined metrics are null. The sources of a group's rows are read
+    twice, so ``scored`` should be a written table where it is costly.
+    """
+    c = confusion_panel(scored, F.col("threshold"), step_seconds, by)
+    t = scored.groupBy(*by).agg(F.max("threshold").alias("threshold"))
+    out = c.join(curve_areas(scored, by), by).join(t, by)
+    named = {
+        "auc_pr": F.col("average_precision"), "sensitivity": F.col("recall"), "precision_seizure": F.col("precision"), "f1_seizure": F.col("f1"), "f1_nonseizure": F.col("f1_negative"),
+        "f1_macro": (F.col("f1") + F.col("f1_negative")) / 2, "n": F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn"), "n_pos": F.col("tp") + F.col("fn"),
+    }
+    return out.select(*by, *[named.get(k, F.col(k)).alias(k) for k in METRIC_KEYS])
+
+
+def summarize(panel: DataFrame, by: list[str], keys: tuple[str, ...] = METRIC_KEYS) -> DataFrame:
+    """Mean, deviation and number of each metric over the groups of a panel: by, key, mean, std, n."""
+    long = panel.select(*by, F.explode(F.array(*[F.struct(F.lit(k).alias("key"), F.col(k).cast("double").alias("value")) for k in keys])).alias("x")).select(*by, "x.*")
+    return mean_std(long, [*by, "key"], "value")
+
+
+def as_text(mean: Column, std: Column, digits: int = 3) -> Column:
+    """"m +/- s" with so many digits, n/a without a mean."""
+    text = F.format_string(f"%.{digits}f +/- %.{digits}f", mean, std)
+    return F.when(mean.isNull(), F.lit("n/a")).otherwise(text)
 
 
 def tune_threshold(scored: DataFrame, criterion: str, by: list[str], target: float = 0.8, grid: int = 256) -> DataFrame:

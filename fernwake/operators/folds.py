@@ -1,12 +1,10 @@
-"""Leave-one-group-out folds, guards against leakage, and statistics fitted on training groups only."""
+"""Leave-one-group-out folds and guards against leakage."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fernwake.functions.vectors import finite
-
 
 def make_folds(rows: DataFrame, group: str = "group", only: list[str] | None = None) -> DataFrame:
     """One fold for each group: fold_index, test_group, n_test, n_train. ``only`` restricts the tests, never the training."""
@@ -38,107 +36,7 @@ def fold_leakage(bank: DataFrame, members: DataFrame, folds: DataFrame) -> DataF
     return folds.select("test_group").join(found, "test_group", "left").na.fill(0, ["of_test_group", "not_in_training"])
 
 
-def fold_standardized(rows: DataFrame, column: str) -> DataFrame:
-    """``rows`` once for each fold, with ``test_group`` and ``z``: ``column`` by the statistics of the fold's training rows."""
-    fit = fold_moments(rows, [column]).select("test_group", "mean", "std")
-    return rows.crossJoin(F.broadcast(fit)).withColumn("z", (finite(F.col(column)) - F.col("mean")) / F.col("std")).drop("mean", "std")  # one row a fold
-
-
 def assert_no_leakage(bank: DataFrame, test_group: str, train_ids: DataFrame) -> None:
     found = leakage(bank, test_group, train_ids).first()
     if found["of_test_group"] or found["not_in_training"]:
         raise ValueError(f"leakage into the bank of fold {test_group}: {found.asDict()}")
-
-
-def fold_medians(rows: DataFrame, columns: list[str], folds: DataFrame) -> DataFrame:
-    """Exact medians of each fold's training rows over finite values, 0 where there are none: test_group, column, median.
-
-    The values are first counted by (group, column, value), once for all folds; a fold's list
-    then leaves out the rows of its group.
-    """
-    long = rows.select("group", F.explode(F.array(*[F.struct(F.lit(c).alias("column"), finite(F.col(c)).alias("value")) for c in columns])).alias("x")).select("group", "x.*")
-    counts = long.where("value is not null").groupBy("group", "column", "value").count()
-    pairs = counts.join(F.broadcast(folds.select("test_group")), F.col("group") != F.col("test_group"))
-    got = pairs.groupBy("test_group", "column").agg(F.percentile("value", F.lit(0.5), F.col("count")).alias("median"))
-    every = folds.select("test_group", F.explode(F.array(*map(F.lit, columns))).alias("column"))
-    return every.join(got, ["test_group", "column"], "left").na.fill(0.0, ["median"])
-
-
-def fold_moments(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """n, mean and population deviation of each fold's training rows, from each group's moments: test_group, column, n, mean, std.
-
-    Each group's count, mean and squared deviation are computed once and merged over the other
-    groups, so the rows are read once for all folds. A deviation too small against the mean's
-    rounding is a scale of 1.
-    """
-    long = rows.select("group", F.explode(F.array(*[F.struct(F.lit(c).alias("column"), finite(F.col(c)).alias("value")) for c in columns])).alias("x")).select("group", "x.*").where("value is not null")
-    own = long.groupBy("group", "column").agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("value").alias("m"), F.var_pop("value").alias("v"))
-    folds = own.select(F.col("group").alias("test_group")).distinct()
-    others = own.join(F.broadcast(folds), F.col("group") != F.col("test_group"))
-    means = others.groupBy("test_group", "column").agg(F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("mean"))
-    spread = others.join(means.select("test_group", "column", "mean"), ["test_group", "column"])
-    var = spread.groupBy("test_group", "column").agg((F.sum(F.col("n") * (F.col("v") + (F.col("m") - F.col("mean")) ** 2)) / F.sum("n")).alias("var"))
-    out = means.join(var, ["test_group", "column"])
-    return out.select("test_group", "column", F.col("n").cast("long").alias("n"), "mean", scale_of(F.sqrt("var"), F.col("mean")).alias("std"))
-
-
-def scale_of(std: Column, mean: Column) -> Column:
-    tiny = F.greatest(F.abs(mean), F.lit(1.0)) * 1e-12
-    return F.when(std <= tiny, 1.0).otherwise(std)
-
-
-def robust_stats(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """Center (median) and scale (interquartile range, 1 if tiny) of each column over finite values."""
-    exprs = [F.struct(F.lit(c).alias("column"), F.percentile(finite(F.col(c)), F.lit([0.25, 0.5, 0.75])).alias("q")) for c in columns]
-    q = rows.agg(F.array(*exprs).alias("a")).select(F.explode("a").alias("x")).select("x.*")
-    width = F.col("q")[2] - F.col("q")[0]
-    return q.select("column", F.col("q")[1].alias("center"), F.when(width <= 1e-12, 1.0).otherwise(width).alias("scale"))
-
-
-def standardize(rows: DataFrame, stats: dict[str, tuple[float, float]]) -> DataFrame:
-    return rows.withColumns({c: ((finite(F.col(c)) - m) / s) for c, (m, s) in stats.items()})
-
-
-def anova_f(rows: DataFrame, columns: list[str], k: int, label: str = "label") -> DataFrame:
-    """The ``k`` columns of largest F statistic between the classes: column, f, in column order."""
-    parts = []
-    for i, c in enumerate(columns):
-        parts.append(F.struct(F.lit(i).alias("i"), F.lit(c).alias("column"), finite(F.col(c)).alias("value")))
-    long = rows.select(label, F.explode(F.array(*parts)).alias("x")).select(label, "x.*").where("value is not null")
-    own = long.groupBy("i", "column", label).agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("value").alias("m"), F.var_pop("value").alias("v"))
-    whole = own.groupBy("i", "column").agg(F.sum("n").alias("all_n"), (F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("mean"))
-    joined = own.join(whole, ["i", "column"])
-    f = joined.groupBy("i", "column").agg(((F.sum(F.col("n") * (F.col("m") - F.col("mean")) ** 2) / (F.count(F.lit(1)) - 1)) / (F.sum(F.col("n") * F.col("v")) / (F.max("all_n") - F.count(F.lit(1))))).alias("f"))
-    best = Window.orderBy(F.desc("f"), "i")  # one row a column
-    return f.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k).select("column", "f")
-
-
-def covariance(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """Entries of the sample covariance: a, b, cov. All in one pass of aggregates."""
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
-    got = rows.agg(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.covar_samp(finite(F.col(a)), finite(F.col(b))).alias("cov")) for a, b in pairs]).alias("x"))
-    return got.select(F.explode("x").alias("x")).select("x.*")
-
-
-def pca(rows: DataFrame, columns: list[str], components: int | float) -> DataFrame:
-    """Loadings of the principal components: component, column, loading, variance_share.
-
-    A whole number is how many, a fraction the share of variance to keep. The covariance comes from
-    one aggregate, its eigenvectors from the driver (one row a column pair); signs are fixed so
-    that the loading of largest size is positive.
-    """
-    import numpy as np
-
-    at = {c: i for i, c in enumerate(columns)}
-    m = np.zeros((len(columns), len(columns)))
-    for r in covariance(rows, columns).collect():
-        m[at[r["a"]], at[r["b"]]] = m[at[r["b"]], at[r["a"]]] = r["cov"] or 0.0
-    values, vectors = np.linalg.eigh(m)
-    values, vectors = np.maximum(values[::-1], 0), vectors[:, ::-1]
-    share = values / max(values.sum(), 1e-300)
-    n = min(int(components), len(columns)) if components >= 1 else int(np.searchsorted(np.cumsum(share), components) + 1)
-    out = []
-    for j in range(n):
-        v = vectors[:, j] * np.sign(vectors[np.abs(vectors[:, j]).argmax(), j] or 1)
-        out += [(j, c, float(v[at[c]]), float(share[j])) for c in columns]
-    return rows.sparkSession.createDataFrame(out, "component int, column string, loading double, variance_share double")

@@ -114,6 +114,30 @@ def held_out(name: str, rows: DataFrame, dim: int, **params: float) -> DataFrame
     return out
 
 
+def probe_scores(rows: DataFrame, dim: int, banks: DataFrame, c: float = 1.0) -> DataFrame:
+    """fold, id, p: a linear probe's chance of label 1, fitted on each fold's bank, for its bank and its held-out rows.
+
+    ``rows`` has id, vec, label, group, ``banks`` (``retrieval.build_banks``) the capped training
+    rows of each fold. A fold whose bank has fewer than two classes comes out nowhere.
+    """
+    spark = rows.sparkSession
+    bank = banks.select("fold", "id", F.col("label").alias("y"), F.col("vec").alias("x")).cache()
+    held = rows.select(F.col("group").alias("fold"), "id", F.col("label").alias("y"), F.col("vec").alias("x")).where("fold is not null").cache()
+    classes = bank.groupBy("fold").agg(F.countDistinct("y").alias("n")).collect()  # one row a fold
+
+    def fit(fold: str) -> DataFrame:
+        own = bank.where(F.col("fold") == fold)
+        model = Classifier("logreg", dim, c=c).fit(own)
+        return model.score(own.unionByName(held.where(F.col("fold") == fold))).select("fold", "id", F.col("score").alias("p"))
+
+    with ThreadPool(AT_ONCE) as pool:
+        parts = pool.map(inheritable_thread_target(spark)(fit), sorted(r["fold"] for r in classes if r["n"] > 1), 1)
+    out = rows.limit(0).select(F.col("group").alias("fold"), "id", F.lit(None).cast("double").alias("p"))
+    for p in parts:
+        out = out.unionByName(p)
+    return out
+
+
 def group_folds(rows: DataFrame, n: int) -> dict[str, int]:
     """Groups over ``n`` folds, the largest first to the smallest fold; one row a group on the driver."""
     sizes = rows.groupBy("group").count().orderBy(F.desc("count"), "group").collect()

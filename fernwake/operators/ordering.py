@@ -46,6 +46,16 @@ def positions(parts: DataFrame, key: str, order: list[str]) -> DataFrame:
     return own.join(starts, [key, "part_no"]).withColumn("pos", F.col("pos") + F.col("_start")).drop("_start")
 
 
+def running_sums(parts: DataFrame, key: str, order: list[str], columns: list[str]) -> DataFrame:
+    """Each row of a ``range_parts`` table with the sum of each column up to and with it in its key, as ``<column>_upto``."""
+    inside = Window.partitionBy("part_no", key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    ahead = Window.partitionBy(key).orderBy("part_no").rowsBetween(Window.unboundedPreceding, -1)
+    totals = parts.groupBy(key, "part_no").agg(*[F.sum(c).alias(f"_{c}") for c in columns])
+    starts = totals.select(key, "part_no", *[F.coalesce(F.sum(f"_{c}").over(ahead), F.lit(0)).alias(f"_{c}") for c in columns])
+    own = parts.withColumns({f"{c}_upto": F.sum(c).over(inside) for c in columns}).join(starts, [key, "part_no"])
+    return own.withColumns({f"{c}_upto": F.col(f"{c}_upto") + F.col(f"_{c}") for c in columns}).drop(*[f"_{c}" for c in columns])
+
+
 HEAVY = 1000  # a key of more than 1/1000 of the rows is joined by broadcast; there are fewer than 1,000 such keys
 
 

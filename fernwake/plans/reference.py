@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from fernwake.functions import vectors as V
 from fernwake.functions.layout import channel_of, type_of
-from fernwake.operators import contrastive, evaluation, folds, models, retrieval, sequences, significance
+from fernwake.operators import contrastive, evaluation, folds, models, preparation, retrieval, sequences, significance, study
 from fernwake.session import table
 from fernwake.sources.recordings import class_balance
 
@@ -128,17 +128,10 @@ def leave_self_out_scores(spark, sf):
     return rounded(retrieval.vote(_loo(spark, sf, k=5), "cosine", weighted=False), "score").withColumnRenamed("query_id", "id")
 
 
-@query(f"WITH {E}, {UNIT}, {near('cosine', 'a.g <> b.g')}, k AS (SELECT q, sum(greatest(raw, 0) * ny) / (sum(greatest(raw, 0)) + 1e-12) AS s FROM n GROUP BY q) SELECT q AS id, round(0.3 / (1 + exp(-5 * v[1])) + 0.7 * s, 6) AS score FROM k JOIN e ON q = id")
-def hybrid_scores(spark, sf):
-    p = emb(spark, sf).select("id", (1 / (1 + F.exp(-5 * F.col("vec")[0].cast("double")))).alias("p"))
-    v = retrieval.vote(_others(spark, sf), "cosine").join(p, F.col("id") == F.col("query_id"))
-    return v.select("id", F.round(0.3 * F.col("p") + 0.7 * F.col("score"), 6).alias("score"))
-
-
 @query(f"""WITH {E}, {UNIT}, {near('cosine', 'a.id <> b.id')}, x AS (SELECT q, avg(ny) AS p, avg(CASE WHEN ng = qg THEN 1.0 ELSE 0 END) AS s, count(DISTINCT ng) / {K}.0 AS d FROM n GROUP BY q)
     SELECT round(avg(p), 6) AS positive_ratio, round(avg(s), 6) AS same_group, round(avg(d), 6) AS diversity, count(*) AS n_queries FROM x""")
 def neighbor_analysis(spark, sf):
-    return rounded(retrieval.neighbour_stats(_loo(spark, sf), K), "positive_ratio", "same_group", "diversity")
+    return rounded(retrieval.neighbour_stats(_loo(spark, sf), K), "positive_ratio", "same_group", "diversity").select("positive_ratio", "same_group", "diversity", "n_queries")
 
 
 @query(f"""WITH {E}, {UNIT}, {near('cosine', 'a.g <> b.g')}, x AS (SELECT q, avg(ny) AS p, sum(greatest(raw, 0) * ny) / (sum(greatest(raw, 0)) + 1e-12) >= 0.15 AS pred FROM n GROUP BY q)
@@ -146,14 +139,7 @@ def neighbor_analysis(spark, sf):
 def neighbor_support(spark, sf):
     n = _others(spark, sf)
     pred = retrieval.vote(n, "cosine").select("query_id", (F.col("score") >= 0.15).cast("int").alias("pred"))
-    return rounded(retrieval.neighbour_stats(n, K, pred), "positive_ratio", "support_predicted_1", "support_predicted_0")
-
-
-@query(f"""WITH {E}, {UNIT}, {near('cosine', 'a.g <> b.g')}, c AS (SELECT q, list(n) AS x FROM n GROUP BY q), {near('euclidean', 'a.g <> b.g').replace('n AS (', 'n2 AS (', 1)}, d AS (SELECT q, list(n) AS y FROM n2 GROUP BY q)
-    SELECT 'cosine_vs_euclidean' AS pair, round(avg(len(list_intersect(x, y)) / CAST(len(list_distinct(list_concat(x, y))) AS DOUBLE)), 6) AS overlap, count(*) AS n_queries FROM c JOIN d USING (q)""")
-def neighbor_overlap(spark, sf):
-    out = retrieval.neighbour_overlap(_others(spark, sf), _others(spark, sf, "euclidean"))
-    return rounded(out, "overlap").withColumn("pair", F.lit("cosine_vs_euclidean"))
+    return rounded(retrieval.neighbour_stats(n, K, pred), "positive_ratio", "support_predicted_1", "support_predicted_0").select("positive_ratio", "support_predicted_1", "support_predicted_0", "n_queries")
 
 
 @query(f"WITH {E} SELECT id, y AS label FROM e WHERE y = 1 UNION ALL SELECT id, y FROM (SELECT id, y, row_number() OVER (ORDER BY md5(CAST(id AS VARCHAR) || '42'), id) AS r FROM e WHERE y <> 1) WHERE r <= 200")
@@ -223,68 +209,220 @@ def loso_fold_sizes(spark, sf):
     return folds.make_folds(lines(spark, sf))
 
 
-@query(f"WITH {E} SELECT count(*) FILTER (WHERE g = 3) AS of_test_group, count(*) FILTER (WHERE g = 3) AS not_in_training FROM e")
+# ---- the study of all folds ----------------------------------------------------------------------
+
+CAP = 150
+PLAN = study.Plan(ks=(1, 3, 5, 10), decision_k=10, gamma=0.5, cap=CAP)
+
+
+def _study(spark, sf, linear: bool = False) -> study.Study:
+    e = emb(spark, sf)
+    p = models.probe_scores(e, DIM, retrieval.build_banks(e, CAP, "42")) if linear else None
+    return study.run_study(e, DIM, PLAN, p)
+
+
+BANK = f"""{E}, {UNIT}, h AS (SELECT f.g AS f, e.id, e.y, e.g, row_number() OVER (PARTITION BY f.g, e.y ORDER BY md5(CAST(e.id AS VARCHAR) || '42'), e.id) AS r FROM e, (SELECT DISTINCT g FROM e) f WHERE e.g <> f.g),
+    bank AS (SELECT f, id, y, g FROM h WHERE y = 1 OR r <= {CAP})"""
+
+
+def _of_bank(metric: str, k: int, name: str) -> str:
+    """The ``k`` nearest bank rows of each fold's test rows."""
+    s, order = {"cosine": ("list_dot_product(a.v, b.v)", "DESC"), "euclidean": ("list_distance(a.v, b.v)", "ASC")}[metric]
+    v = "u" if metric == "cosine" else "e"
+    return f"""{name} AS (SELECT *, row_number() OVER (PARTITION BY f, q ORDER BY raw {order}, n) AS rank FROM (SELECT k.f, a.id AS q, a.y AS qy, b.id AS n, k.y AS ny, k.g AS ng, round({s}, 9) AS raw
+        FROM {v} a JOIN bank k ON k.f = a.g JOIN {v} b ON b.id = k.id) QUALIFY rank <= {k})"""
+
+
+VOTE = "sum(greatest(raw, 0) * ny) / (sum(greatest(raw, 0)) + 1e-12)"
+TUNED = f"""{BANK}, {_of_bank('cosine', 10, 'c')}, {_of_bank('euclidean', 10, 'l')}, test AS (SELECT f, q AS id, qy AS y, {VOTE} AS s FROM c GROUP BY f, q, qy),
+    o AS (SELECT * FROM (SELECT k.f, k.id AS q, k.y AS qy, j.y AS ny, j.id AS n, round(list_dot_product(a.v, b.v), 9) AS raw FROM bank k JOIN u a ON a.id = k.id JOIN bank j ON j.f = k.f AND j.id <> k.id JOIN u b ON b.id = j.id)
+        QUALIFY row_number() OVER (PARTITION BY f, q ORDER BY raw DESC, n) <= 10),
+    train AS (SELECT f, q AS id, qy AS y, {VOTE} AS s FROM o GROUP BY f, q, qy), span AS (SELECT f, min(s) AS lo, max(s) AS hi, sum(y) AS p FROM train GROUP BY f),
+    grid AS (SELECT f, i, p, CASE WHEN i = 255 THEN hi ELSE lo + i * ((hi - lo) / 255) END AS t FROM span, range(256) r(i)),
+    f1 AS (SELECT g.f, i, t, round(2 * sum(y) / (count(*) + any_value(p)), 12) AS v FROM grid g JOIN train ON train.f = g.f AND s >= t GROUP BY g.f, i, t),
+    best AS (SELECT f, t FROM f1 QUALIFY row_number() OVER (PARTITION BY f ORDER BY v DESC, t) = 1)"""
+
+
+@query(f"WITH {BANK} SELECT CAST(f AS VARCHAR) AS fold, count(*) AS bank_size, count(*) FILTER (WHERE y = 1) AS n_pos, count(DISTINCT g) AS n_groups FROM bank GROUP BY f")
+def bank_sizes(spark, sf):
+    return _study(spark, sf).bank_sizes()
+
+
+@query(f"""WITH {BANK}, t AS (SELECT DISTINCT g FROM e) SELECT CAST(t.g AS VARCHAR) AS test_group, count(*) FILTER (WHERE bank.g = t.g) AS of_test_group,
+    count(*) FILTER (WHERE id NOT IN (SELECT id FROM e WHERE e.g <> t.g)) AS not_in_training FROM t LEFT JOIN bank ON f = (t.g + 1) % 8 GROUP BY t.g""")
 def leakage_counts(spark, sf):
+    """What the guard finds if each fold's bank were taken for its neighbour fold."""
     e = emb(spark, sf)
-    return folds.leakage(e, "3", e.where("group <> '3'").select("id"))
+    wrong = retrieval.build_banks(e, CAP, "42").select(F.pmod(F.col("fold").cast("int") - 1, F.lit(8)).cast("string").alias("test_group"), "id", "group")
+    return folds.fold_leakage(wrong, e, folds.make_folds(e))
+
+
+@query(f"WITH {BANK}, {_of_bank('cosine', 10, 'c')} SELECT CAST(f AS VARCHAR) AS fold, q AS id, qy AS y, round({VOTE}, 6) AS score FROM c GROUP BY f, q, qy")
+def retrieval_scores_loso(spark, sf):
+    return rounded(_study(spark, sf).test.where("head = 'knn'").select("fold", "id", "y", "score"), "score")
+
+
+@query(f"WITH {TUNED} SELECT CAST(f AS VARCHAR) AS fold, round(t, 6) AS threshold FROM best")
+def threshold_leave_self_out(spark, sf):
+    return rounded(_study(spark, sf).thresholds.select("fold", "threshold"), "threshold")
+
+
+SWEEP = f"""{TUNED}, pred AS (SELECT f, id AS q, s >= t AS pos FROM test JOIN best USING (f)), m AS (SELECT 'cosine' AS metric, * FROM c UNION ALL SELECT 'euclidean', * FROM l UNION ALL SELECT 'rbf', * FROM l),
+    x AS (SELECT f, metric, k, q, avg(ny) AS p, avg(CASE WHEN ng = f THEN 1.0 ELSE 0 END) AS own, count(DISTINCT ng) / count(*) AS d FROM m, (VALUES (1), (3), (5), (10)) ks(k) WHERE rank <= k GROUP BY ALL),
+    stats AS (SELECT f, metric, k, avg(p) AS positive_ratio, avg(own)::DOUBLE AS same_group, avg(1 - own)::DOUBLE AS other_group, avg(d) AS diversity, avg(p) FILTER (WHERE pos) AS support_predicted_1,
+        avg(p) FILTER (WHERE NOT pos) AS support_predicted_0, count(*) AS n_queries FROM x JOIN pred USING (f, q) GROUP BY ALL)"""
+STATS = ["positive_ratio", "same_group", "other_group", "diversity", "support_predicted_1", "support_predicted_0"]
 
 
-@query(f"WITH {E}, f AS (SELECT DISTINCT g AS t FROM e), b AS (SELECT t, id, g FROM f, e) SELECT CAST(t AS VARCHAR) AS test_group, count(*) FILTER (WHERE g = t) AS of_test_group, count(*) FILTER (WHERE id NOT IN (SELECT id FROM e WHERE g <> t)) AS not_in_training FROM b GROUP BY t")
-def leakage_counts_loso(spark, sf):
-    e = emb(spark, sf).select("id", "group")
-    f = folds.make_folds(e)
-    return folds.fold_leakage(e.crossJoin(F.broadcast(f.select("test_group"))), e, f)  # one row a fold
+@query(f"WITH {SWEEP} SELECT CAST(f AS VARCHAR) AS fold, metric, k, n_queries, {', '.join(f'round({c}, 6) AS {c}' for c in STATS)} FROM stats")
+def neighbor_sweep(spark, sf):
+    return rounded(_study(spark, sf).neighbour_stats(), *STATS)
+
+
+@query(f"WITH {SWEEP} SELECT metric, k, count(*) AS n, {', '.join(f'round(avg({c}), 6) AS {c}_mean, round(stddev_samp({c}), 6) AS {c}_std' for c in STATS)} FROM stats GROUP BY metric, k")
+def neighbor_rollup(spark, sf):
+    r = study.rollup(_study(spark, sf).neighbour_stats(), ["metric", "k"], STATS)
+    return rounded(r, *[f"{c}_{x}" for c in STATS for x in ("mean", "std")])
+
+
+JACCARD = f"""WITH {BANK}, {_of_bank('cosine', 10, 'c')}, {_of_bank('euclidean', 10, 'l')}, a AS (SELECT f, q, list(n) AS x FROM c GROUP BY f, q), b AS (SELECT f, q, list(n) AS x FROM l GROUP BY f, q),
+    j AS (SELECT f, len(list_intersect(a.x, b.x)) / CAST(len(list_distinct(list_concat(a.x, b.x))) AS DOUBLE) AS o FROM a JOIN b USING (f, q)),
+    o AS (SELECT f, 'cosine_vs_euclidean' AS pair, avg(o) AS overlap, count(*) AS n_queries FROM j GROUP BY f UNION ALL SELECT f, 'cosine_vs_rbf', avg(o), count(*) FROM j GROUP BY f UNION ALL SELECT f, 'euclidean_vs_rbf', 1.0, count(*) FROM j GROUP BY f)"""
+
+
+@query(f"{JACCARD} SELECT CAST(f AS VARCHAR) AS fold, pair, round(overlap, 6) AS overlap, n_queries FROM o")
+def neighbor_overlap(spark, sf):
+    return rounded(_study(spark, sf).overlaps(), "overlap")
+
+
+@query(f"{JACCARD} SELECT pair, round(avg(overlap), 6) AS overlap_mean, round(stddev_samp(overlap), 6) AS overlap_std, count(*) AS n FROM o GROUP BY pair")
+def overlap_rollup(spark, sf):
+    return rounded(study.rollup(_study(spark, sf).overlaps(), ["pair"], ["overlap"]), "overlap_mean", "overlap_std")
+
+
+PANEL_LOSO = f"""{TUNED}, z AS (SELECT f, y, round(s, 12) AS s, t FROM test JOIN best USING (f)),
+    n AS (SELECT f, any_value(t) AS threshold, count(*) FILTER (WHERE y=1 AND s>=t) AS tp, count(*) FILTER (WHERE y=0 AND s>=t) AS fp, count(*) FILTER (WHERE y=1 AND s<t) AS fn, count(*) FILTER (WHERE y=0 AND s<t) AS tn FROM z GROUP BY f),
+    d AS (SELECT f, s, sum(y) AS p, sum(1 - y) AS n FROM z GROUP BY f, s), w AS (SELECT *, sum(p) OVER (PARTITION BY f ORDER BY s DESC) AS tp, sum(n) OVER (PARTITION BY f ORDER BY s DESC) AS fp FROM d),
+    a AS (SELECT f, sum(p * tp / (tp + fp)) / sum(p) AS ap, sum(n * (tp - p / 2)) / (sum(p) * sum(n)) AS auc FROM w GROUP BY f),
+    panel AS (SELECT f, ap AS auc_pr, tp / (tp + fn) AS sensitivity, coalesce(tp / nullif(tp + fp, 0), 0) AS precision_seizure, coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0) AS f1_seizure, coalesce(2 * tn / nullif(2 * tn + fp + fn, 0), 0) AS f1_nonseizure,
+        (coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0) + coalesce(2 * tn / nullif(2 * tn + fp + fn, 0), 0)) / 2 AS f1_macro, tn / (tn + fp) AS specificity, fp / ((tp + fp + fn + tn) / 3600) AS fp_per_hour,
+        (tp / (tp + fn) + tn / (tn + fp)) / 2 AS balanced_accuracy, (tp + tn) / (tp + fp + fn + tn) AS accuracy, auc AS roc_auc, tp + fp + fn + tn AS n, tp + fn AS n_pos, threshold FROM n JOIN a USING (f))"""
+RATES = [k for k in evaluation.METRIC_KEYS if k not in ("n", "n_pos")]
+
+
+@query(f"WITH {PANEL_LOSO} SELECT CAST(f AS VARCHAR) AS fold, n, n_pos, {', '.join(f'round({k}, 4) AS {k}' for k in RATES)} FROM panel")
+def metric_panel_loso(spark, sf):
+    """The fourteen metrics of the knn head in every fold."""
+    return rounded(_study(spark, sf).metrics().drop("head"), *RATES, places=4)
+
+
+@query(f"""WITH {PANEL_LOSO}, v AS (UNPIVOT (SELECT * EXCLUDE (f) REPLACE (n::DOUBLE AS n, n_pos::DOUBLE AS n_pos) FROM panel) ON COLUMNS(*) INTO NAME key VALUE v), k AS (SELECT key, avg(v) AS m, coalesce(stddev_samp(v), 0) AS s, count(v) AS n FROM v GROUP BY key)
+    SELECT key, round(m, 5) AS mean, round(s, 5) AS std, n, printf('%.3f +/- %.3f', m, s) AS text FROM k""")
+def fold_summary(spark, sf):
+    s = evaluation.summarize(_study(spark, sf).metrics().drop("head"), [])
+    return rounded(s.withColumn("text", evaluation.as_text(F.col("mean"), F.col("std"))), "mean", "std", places=5)
+
+
+@query()
+def three_heads_panel(spark, sf):
+    """The metrics of the knn, linear and hybrid heads in every fold, with a probe fitted on each fold's bank."""
+    return _study(spark, sf, linear=True).metrics()
+
+
+@query()
+def hybrid_scores(spark, sf):
+    return _study(spark, sf, linear=True).test.where("head = 'hybrid'").select("fold", "id", "y", "score")
 
 
 # ---- preprocessing -------------------------------------------------------------------------------
 
 
+def _fits(spark, sf, **settings) -> preparation.Fits:
+    return preparation.fit_folds(line_rows(spark, sf), len(COLUMNS), preparation.Settings(**settings))
+
+
+def line_rows(spark, sf) -> DataFrame:
+    return lines(spark, sf).select(F.col("l_orderkey").alias("id"), "group", "label", F.array(*[F.col(c).cast("double") for c in COLUMNS]).alias("x"))
+
+
+Z = f"""{L}, f AS (SELECT DISTINCT g AS t FROM l), med AS (SELECT t, c, coalesce(median(v), 0) AS med FROM f JOIN w ON g <> t GROUP BY t, c), i AS (SELECT t, g, y, c, coalesce(v, med) AS v FROM w JOIN med USING (c)),
+    fit AS (SELECT t, c, avg(v) AS mean, stddev_pop(v) AS std, quantile_cont(v, 0.25::DOUBLE) AS q1, quantile_cont(v, 0.5::DOUBLE) AS q2, quantile_cont(v, 0.75::DOUBLE) AS q3 FROM i WHERE g <> t GROUP BY t, c)"""
+
+
 @query(f'WITH {L}, f AS (SELECT DISTINCT g AS t FROM l) SELECT t AS test_group, c AS "column", round(coalesce(median(v), 0), 6) AS median FROM f JOIN w ON g <> t GROUP BY t, c')
 def impute_median_loso(spark, sf):
-    x = lines(spark, sf)
-    return rounded(folds.fold_medians(x, COLUMNS, folds.make_folds(x)), "median")
+    return rounded(_fits(spark, sf, scaler="none").table(spark, COLUMNS).select("test_group", "column", "median"), "median")
 
 
-@query(f'WITH {L}, f AS (SELECT DISTINCT g AS t FROM l) SELECT t AS test_group, c AS "column", count(v) AS n, round(avg(v), 5) AS mean, round(stddev_pop(v), 5) AS std FROM f JOIN w ON g <> t GROUP BY t, c')
+@query(f'WITH {Z} SELECT t AS test_group, c AS "column", round(mean, 5) AS mean, round(std, 5) AS std FROM fit')
 def standard_scale_stats(spark, sf):
-    return rounded(folds.fold_moments(lines(spark, sf), COLUMNS), "mean", "std", places=5)
+    fit = _fits(spark, sf).table(spark, COLUMNS)
+    return rounded(fit.select("test_group", "column", F.col("center").alias("mean"), F.col("scale").alias("std")), "mean", "std", places=5)
 
 
-@query(f"WITH {L}, a AS (SELECT avg(extendedprice) AS m, stddev_pop(extendedprice) AS s FROM l WHERE g <> '3') SELECT g AS \"group\", round(avg((extendedprice - m) / s), 6) AS mean_z, round(max((extendedprice - m) / s), 6) AS max_z FROM l, a GROUP BY g")
-def standard_scale_apply(spark, sf):
-    x = lines(spark, sf)
-    fit = folds.fold_moments(x, ["extendedprice"]).where("test_group = '3'").select(F.col("mean").alias("m"), F.col("std").alias("s"))
-    z = x.crossJoin(F.broadcast(fit)).withColumn("z", (F.col("extendedprice") - F.col("m")) / F.col("s"))  # one row
-    return rounded(z.groupBy("group").agg(F.avg("z").alias("mean_z"), F.max("z").alias("max_z")), "mean_z", "max_z")
+@query(f'WITH {Z} SELECT t AS test_group, c AS "column", round(q2, 6) AS center, round(q3 - q1, 6) AS scale FROM fit')
+def robust_scale_stats(spark, sf):
+    return rounded(_fits(spark, sf, scaler="robust").table(spark, COLUMNS).select("test_group", "column", "center", "scale"), "center", "scale")
 
 
-@query(f"""WITH {L}, f AS (SELECT DISTINCT g AS t FROM l), a AS (SELECT t, avg(extendedprice) AS m, stddev_pop(extendedprice) AS s FROM f JOIN l ON g <> t GROUP BY t)
-    SELECT t AS test_group, g AS "group", round(avg((extendedprice - m) / s), 6) AS mean_z, round(max((extendedprice - m) / s), 6) AS max_z FROM l, a GROUP BY t, g""")
-def standard_scale_apply_loso(spark, sf):
-    z = folds.fold_standardized(lines(spark, sf), "extendedprice")
-    return rounded(z.groupBy("test_group", "group").agg(F.avg("z").alias("mean_z"), F.max("z").alias("max_z")), "mean_z", "max_z")
+ANOVA = f"""{Z}, o AS (SELECT t, c, y, count(*) AS n, avg(v) AS m, var_pop(v) AS s FROM i WHERE g <> t GROUP BY t, c, y), k AS (SELECT t, c, (sum(n * (m - mean) * (m - mean)) / (count(*) - 1)) / (sum(n * s) / (sum(n) - count(*))) AS f FROM o JOIN fit USING (t, c) GROUP BY t, c),
+    p AS (SELECT * FROM (VALUES ('quantity', 0), ('extendedprice', 1), ('discount', 2), ('tax', 3)) x(c, place)), best AS (SELECT t, c, f, place FROM k JOIN p USING (c) QUALIFY row_number() OVER (PARTITION BY t ORDER BY f DESC, place) <= 3)"""
 
 
-@query(f'WITH {L} SELECT c AS "column", round(quantile_cont(v, 0.5::DOUBLE), 6) AS center, round(quantile_cont(v, 0.75::DOUBLE) - quantile_cont(v, 0.25::DOUBLE), 6) AS scale FROM w WHERE v IS NOT NULL GROUP BY c')
-def robust_scale_stats(spark, sf):
-    return rounded(folds.robust_stats(lines(spark, sf), COLUMNS), "center", "scale")
+@query(f'WITH {ANOVA} SELECT t AS test_group, c AS "column", round(f, 4) AS f FROM best')
+def anova_f_topk(spark, sf):
+    return rounded(_fits(spark, sf, select=3).table(spark, COLUMNS).where("selected").select("test_group", "column", "f"), "f", places=4)
 
 
-@query(f"""WITH {L}, o AS (SELECT c, y, count(v) AS n, avg(v) AS m, var_pop(v) AS s FROM w WHERE v IS NOT NULL GROUP BY c, y), a AS (SELECT c, avg(v) AS mm, count(v) AS nn FROM w WHERE v IS NOT NULL GROUP BY c)
-    SELECT c AS "column", round((sum(n * (m - mm) * (m - mm)) / (count(*) - 1)) / (sum(n * s) / (max(nn) - count(*))), 4) AS f FROM o JOIN a USING (c) GROUP BY c ORDER BY f DESC LIMIT 3""")
-def anova_f_topk(spark, sf):
-    return rounded(folds.anova_f(lines(spark, sf), COLUMNS, 3), "f", places=4)
+def _sides(prepared: DataFrame) -> DataFrame:
+    """Each entry of the prepared rows by fold and side: number, mean, least and largest."""
+    long = prepared.select("test_group", "role", F.posexplode("x").alias("place", "v"))
+    return long.groupBy("test_group", "role", "place").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("v"), 4).alias("mean"), F.round(F.min("v"), 4).alias("least"), F.round(F.max("v"), 4).alias("most"))
+
+
+SIDES = "count(*) AS n, round(avg(v), 4) AS mean, round(min(v), 4) AS least, round(max(v), 4) AS most"
+
+
+@query(f"""WITH {ANOVA}, s AS (SELECT t, c, row_number() OVER (PARTITION BY t ORDER BY place) - 1 AS place FROM best), x AS (SELECT t, CASE WHEN g = t THEN 'test' ELSE 'train' END AS role, place, CAST((v - mean) / std AS FLOAT) AS v FROM i JOIN fit USING (t, c) JOIN s USING (t, c))
+    SELECT t AS test_group, role, place, {SIDES} FROM x GROUP BY ALL""")
+def fold_prep_apply(spark, sf):
+    """Imputed, scaled and selected rows of both sides of every fold."""
+    return _sides(preparation.prepare_folds(line_rows(spark, sf), len(COLUMNS), preparation.Settings(select=3)))
+
+
+@query(f"""WITH {Z}, p AS (SELECT * FROM (VALUES ('quantity', 0), ('extendedprice', 1), ('discount', 2), ('tax', 3)) x(c, place)), x AS (SELECT t, CASE WHEN g = t THEN 'test' ELSE 'train' END AS role, place, CAST((v - q2) / (q3 - q1) AS FLOAT) AS v FROM i JOIN fit USING (t, c) JOIN p USING (c))
+    SELECT t AS test_group, role, place, {SIDES} FROM x GROUP BY ALL""")
+def robust_prep_apply(spark, sf):
+    return _sides(preparation.prepare_folds(line_rows(spark, sf), len(COLUMNS), preparation.Settings("robust")))
+
+
+@query(f"""WITH {Z}, x AS (SELECT t, CASE WHEN g = t THEN 'test' ELSE 'train' END AS role, power((v - mean) / std, 2) AS v FROM i JOIN fit USING (t, c))
+    SELECT t AS test_group, role, count(*) / 4 AS n, round(sum(v) / (count(*) / 4), 4) AS mean_square FROM x GROUP BY ALL""")
+def pca_project_loso(spark, sf):
+    """Projections on all components keep a row's length: its mean square by fold and side."""
+    out = preparation.prepare_folds(line_rows(spark, sf), len(COLUMNS), preparation.Settings(components=4))
+    square = F.aggregate("x", F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double"))
+    return out.groupBy("test_group", "role").agg(F.count(F.lit(1)).cast("double").alias("n"), F.round(F.avg(square), 4).alias("mean_square"))
+
+
+PAIR_SQL = "unnest(['quantity','quantity','quantity','quantity','extendedprice','extendedprice','extendedprice','discount','discount','tax']) AS a, unnest(['quantity','extendedprice','discount','tax','extendedprice','discount','tax','discount','tax','tax']) AS b"
 
 
-@query(f"""WITH {L}, x AS (SELECT unnest(['quantity','quantity','quantity','quantity','extendedprice','extendedprice','extendedprice','discount','discount','tax']) AS a, unnest(['quantity','extendedprice','discount','tax','extendedprice','discount','tax','discount','tax','tax']) AS b,
-    unnest([quantity,quantity,quantity,quantity,extendedprice,extendedprice,extendedprice,discount,discount,tax]) AS p, unnest([quantity,extendedprice,discount,tax,extendedprice,discount,tax,discount,tax,tax]) AS q FROM l) SELECT a, b, round(covar_samp(p, q), 3) AS cov FROM x GROUP BY a, b""")
+@query(f"""WITH {L}, f AS (SELECT DISTINCT g AS t FROM l), k AS (SELECT t, median(quantity) AS mq, median(tax) AS mt FROM f JOIN l ON g <> t GROUP BY t), n AS (SELECT t, coalesce(quantity, mq) AS quantity, extendedprice, discount, coalesce(tax, mt) AS tax FROM k JOIN l ON g <> t),
+    x AS (SELECT t, {PAIR_SQL}, unnest([quantity,quantity,quantity,quantity,extendedprice,extendedprice,extendedprice,discount,discount,tax]) AS p, unnest([quantity,extendedprice,discount,tax,extendedprice,discount,tax,discount,tax,tax]) AS q FROM n)
+    SELECT t AS test_group, a, b, round(covar_samp(p, q) / (stddev_pop(p) * stddev_pop(q)), 5) AS cov FROM x GROUP BY t, a, b""")
 def pca_gram(spark, sf):
-    return rounded(folds.covariance(lines(spark, sf), COLUMNS), "cov", places=3)
+    """The covariance of the imputed and scaled training columns, of which the components are taken."""
+    fits = _fits(spark, sf, components=4)
+    rows = [(g, a, b, float(c[i, j])) for g, c in zip(fits.groups, fits.covariance) for i, a in enumerate(COLUMNS) for j, b in enumerate(COLUMNS) if i <= j]
+    return rounded(spark.createDataFrame(rows, "test_group string, a string, b string, cov double"), "cov", places=5)
 
 
 @query()
 def pca_loadings(spark, sf):
-    return folds.pca(lines(spark, sf), COLUMNS, 0.99)
+    fits = _fits(spark, sf, components=0.95)
+    rows = [(g, k, c, float(v[k, j]), float(s[k])) for g, v, s in zip(fits.groups, fits.components, fits.share) for k in range(len(v)) for j, c in enumerate(COLUMNS)]
+    return spark.createDataFrame(rows, "test_group string, component int, column string, loading double, variance_share double")
 
 
 # ---- metrics and thresholds ----------------------------------------------------------------------

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fernwake.functions.layout import Layout, split_name
-from fernwake.operators import contrastive, evaluation, folds, models, ordering, retrieval, schema_drift, significance, spikes
+from fernwake.operators import contrastive, evaluation, folds, models, ordering, preparation, retrieval, schema_drift, significance, spikes
 from fernwake.operators.schema_match import Column, canonical, changes, exact_pairs, flood, group_of, same_column
 from fernwake.sources.recordings import ScanConfig, cached_recordings, discover, read_recordings, recording_of, subject_of
 
@@ -68,23 +68,68 @@ def test_guard(spark):
     folds.assert_no_leakage(bank.where("id < 5"), "b", train)
 
 
-def test_every_fold_is_guarded_and_scaled(spark):
+def test_every_fold_is_guarded(spark):
     rows = spark.createDataFrame([(0, "a", 1.0), (1, "a", 3.0), (2, "b", 5.0), (3, "c", 9.0)], "id long, group string, v double")
     bank = spark.createDataFrame([("a", 2, "b"), ("a", 0, "a"), ("b", 0, "a"), ("b", 7, "c")], "test_group string, id long, group string")
     got = {r.test_group: (r.of_test_group, r.not_in_training) for r in folds.fold_leakage(bank, rows, folds.make_folds(rows)).collect()}
     assert got == {"a": (1, 1), "b": (0, 1), "c": (0, 0)}
-    z = {(r.test_group, r.id): r.z for r in folds.fold_standardized(rows, "v").collect()}
-    assert len(z) == 12 and z["a", 0] == pytest.approx(-3.0) and z["c", 3] == pytest.approx((9 - 3) / np.std([1, 3, 5]))
-
-
-def test_medians_and_scales(spark):
-    nan, inf = math.nan, math.inf
-    m = [[1, nan, 7, nan], [3, 4, 7, nan], [5, 6, 7, nan], [8, inf, 7, nan]]
-    rows = spark.createDataFrame([("x", *map(float, r)) for r in m] + [("t", 100.0, 100.0, 7.0, 999.0)], "group string, a double, b double, c double, d double")
-    got = {r.column: r.median for r in folds.fold_medians(rows, list("abcd"), folds.make_folds(rows)).where("test_group = 't'").collect()}
-    assert got == {"a": 4.0, "b": 5.0, "c": 7.0, "d": 0.0}
-    std = {r.column: (r.mean, r.std) for r in folds.fold_moments(rows, list("abc")).where("test_group = 't'").collect()}
-    assert std["a"] == pytest.approx((4.25, np.std([1, 3, 5, 8]))) and std["c"][1] == 1.0
+
+
+def _plain_fit(x, y, s):
+    """One fold's fit with NumPy on its training rows."""
+    good = np.where(np.isfinite(x), x, np.nan)
+    med = np.array([np.nanmedian(c) if np.isfinite(c).any() else 0.0 for c in good.T])
+    z = np.where(np.isfinite(x), x, med)
+    center, scale = (z.mean(0), z.std(0)) if s.scaler == "standard" else (np.quantile(z, 0.5, axis=0), np.quantile(z, 0.75, axis=0) - np.quantile(z, 0.25, axis=0)) if s.scaler == "robust" else (0 * med, 0 * med + 1)
+    scale = np.where(scale <= 1e-12, 1.0, scale)
+    between = sum((y == k).sum() * (z[y == k].mean(0) - z.mean(0)) ** 2 for k in np.unique(y)) / (len(np.unique(y)) - 1)
+    within = sum(((z[y == k] - z[y == k].mean(0)) ** 2).sum(0) for k in np.unique(y)) / (len(y) - len(np.unique(y)))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        f = between / within
+    kept = np.sort(np.lexsort((np.arange(len(f)), -np.where(np.isnan(f) | (within < 1e-20), -np.inf, f)))[: s.select]) if s.select else np.arange(len(f))
+    out = lambda a: ((np.where(np.isfinite(a), a, med) - center) / scale)[:, kept]
+    if s.components is None:
+        return med, kept, out
+    own = out(x)
+    w, v = np.linalg.eigh(np.cov(own.T))
+    v = v[:, ::-1].T
+    n = s.components if s.components >= 1 else int(np.searchsorted(np.cumsum(w[::-1]) / w.sum(), s.components)) + 1
+    v = v[:n] * np.sign(v[np.arange(len(v)), np.abs(v).argmax(1)])[:n, None]
+    return med, kept, lambda a: (out(a) - own.mean(0)) @ v.T
+
+
+@pytest.mark.parametrize("settings", [("standard", None, None), ("robust", None, None), ("none", None, None), ("standard", 3, None), ("robust", 4, 2), ("standard", None, 0.8)])
+def test_fold_preparation_equals_numpy(spark, settings):
+    rng = np.random.default_rng(11)
+    x = rng.normal([0, 5, -300, 1e4, 7, 0], [1, 2, 50, 1, 0, 1], size=(90, 6))
+    x[:, 5] = np.nan
+    x[rng.random(x.shape) < 0.15] = np.nan
+    x[:, 4], x[3, 0], x[4, 1] = 7.0, np.inf, -np.inf
+    x[:, 0] += np.repeat([0, 1, 2], 30)
+    x[5:25, 1] = x[5, 1]  # ties
+    y, g = (np.arange(90) % 3 == 0).astype(int), np.array(["a", "b", "c"])[np.arange(90) % 7 % 3]
+    rows = [(i, str(a), int(b), [float(v) for v in r]) for i, (a, b, r) in enumerate(zip(g, y, x))]
+    df = spark.createDataFrame(rows + [(900, None, 1, [0.0] * 6), (901, "a", 1, None), (902, "a", 1, [1.0])], "id long, group string, label int, x array<double>").withColumn("test_group", F.lit("clash"))
+    s = preparation.Settings(*settings)
+    fits = preparation.fit_folds(df, 6, s)
+    out = preparation.apply_folds(df, fits).collect()
+    assert len(out) == 270 and {(r.test_group, r.id) for r in out if r.role == "test"} == {(a, i) for i, a in enumerate(g)}
+    for i, fold in enumerate("abc"):
+        med, kept, plain = _plain_fit(x[g != fold], y[g != fold], s)
+        assert np.allclose(fits.median[i], med) and fits.selected[i].tolist() == kept.tolist()
+        got = np.array([r.x for r in sorted((r for r in out if r.test_group == fold), key=lambda r: r.id)])
+        assert np.allclose(got, plain(x), rtol=1e-4, atol=1e-4)
+    assert preparation.prepare_folds(df.limit(0), 6, s).count() == 0
+    assert {r.test_group for r in preparation.apply_folds(df, fits, ["b"]).collect()} == {"b"}
+
+
+def test_rows_of_both_sides_are_refused(spark):
+    a = spark.range(5)
+    preparation.assert_disjoint(a, a.where("id > 9"))
+    with pytest.raises(ValueError):
+        preparation.assert_disjoint(a, a.where("id = 4"))
+    with pytest.raises(ValueError):
+        preparation.Settings("other")
 
 
 def test_metrics_edges(spark):
