@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -16,12 +17,13 @@ from fernwake.session import Scratch
 
 BUCKETS, DIM = 1 << 15, 16
 MOST_LABELLED = 20_000  # documents that the classifier is fitted on
-SHARDS = 6  # parts of the training sample; fixed, so that the fit doesn't depend on the cluster
+SHARDS = 12  # parts of the training sample; fixed, so that the fit doesn't depend on the cluster
 ROUNDS, RATE = 40, 0.1
 WARM = 0.4  # of the rounds, before sentences are told apart in a document
 CLEAR, SURE, LEAST_SENTENCES = 0.5, 0.4, 3  # probabilities in training and scoring; sentences a document
 MOST_KNOWN = 200_000  # words that a worker keeps
 MOST_AREAS = 4096
+SCORED = 8_000_000  # words x areas that are scored at a time
 
 
 def pieces(word: str) -> np.ndarray:
@@ -72,6 +74,11 @@ class Corpus:
         self.pieces = np.concatenate(parts) if parts else np.zeros(0, np.int64)
         sizes = np.array([len(p) for p in parts], np.int64)
         self.piece_starts, self.piece_n = np.cumsum(sizes) - sizes, sizes
+        # what every round needs: buckets met, and the sorted order of words and of buckets
+        self.met, at = np.unique(self.pieces, return_inverse=True)
+        self.by_word, self.by_bucket = _Sums(self.flat, len(sizes)), _Sums(at, len(self.met))
+        self.sentence_of = np.repeat(np.arange(len(self.lengths)), self.lengths)
+        self.word_of = np.repeat(np.arange(len(sizes)), sizes)
 
     def scores(self, m: Model) -> np.ndarray:
         """Probability of each area for each sentence."""
@@ -98,27 +105,33 @@ def _targets(c: Corpus, y: np.ndarray, p: np.ndarray, warm: bool) -> np.ndarray:
 
 def gradient(c: Corpus, y: np.ndarray, m: Model, warm: bool) -> tuple[np.ndarray, Model, int]:
     """The summed gradient of a shard's cross-entropy: for the buckets it met, and the number of sentences."""
-    met, at = np.unique(c.pieces, return_inverse=True)
     if not len(c.doc):
-        return met, Model(np.zeros((0, DIM), np.float32), np.zeros_like(m.out), np.zeros_like(m.bias)), 0
+        return c.met, Model(np.zeros((0, DIM), np.float32), np.zeros_like(m.out), np.zeros_like(m.bias)), 0
     w = m.words(c.pieces, c.piece_starts)
     x = np.add.reduceat(w[c.flat], c.starts, axis=0) / c.lengths[:, None]
     p = _sigmoid(x @ m.out + m.bias)
     g = (p - _targets(c, y, p, warm)).astype(np.float32)
     gx = (g @ m.out.T / c.lengths[:, None]).astype(np.float32)
-    # words of sentences, then buckets of words: sums over sorted runs instead of scattered adds
-    gw = _sum_by(c.flat, np.repeat(gx, c.lengths, axis=0), len(c.piece_n)) / c.piece_n[:, None]
-    emb = _sum_by(at, np.repeat(gw, c.piece_n, axis=0), len(met))
-    return met, Model(emb.astype(np.float32), (x.T @ g).astype(np.float32), g.sum(0).astype(np.float32)), len(c.doc)
+    # words of sentences, then buckets of words
+    gw = (c.by_word(gx, c.sentence_of) / c.piece_n[:, None]).astype(np.float32)
+    emb = c.by_bucket(gw, c.word_of)
+    return c.met, Model(emb.astype(np.float32), (x.T @ g).astype(np.float32), g.sum(0).astype(np.float32)), len(c.doc)
 
 
-def _sum_by(key: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
-    out = np.zeros((n, rows.shape[1]), rows.dtype)
-    order = np.argsort(key, kind="stable")
-    sorted_ = key[order]
-    first = np.flatnonzero(np.r_[True, sorted_[1:] != sorted_[:-1]])
-    out[sorted_[first]] = np.add.reduceat(rows[order], first, axis=0)
-    return out
+class _Sums:
+    """Sums of rows by a key that stays the same from round to round, over sorted runs instead of scattered adds."""
+
+    def __init__(self, key: np.ndarray, n: int) -> None:
+        self.n, self.order = n, np.argsort(key, kind="stable")
+        by = key[self.order]
+        self.first = np.flatnonzero(np.r_[True, by[1:] != by[:-1]]) if len(by) else np.zeros(0, np.int64)
+        self.at = by[self.first]
+
+    def __call__(self, rows: np.ndarray, row_of: np.ndarray) -> np.ndarray:
+        out = np.zeros((self.n, rows.shape[1]), rows.dtype)
+        if len(self.at):
+            out[self.at] = np.add.reduceat(rows[row_of[self.order]], self.first, axis=0)
+        return out
 
 
 class Adam:
@@ -154,16 +167,16 @@ def labelled(docs: DataFrame, labels: DataFrame, areas: list[str], doc_id: str,
 def fit(sample: DataFrame, areas: int, rounds: int = ROUNDS, rate: float = RATE, seed: int = 5) -> Model:
     """A model fitted on ``labelled`` documents by full gradients, synchronised in every round.
 
-    Each shard sends the gradient of its sentences for the buckets it met (at most 2.2 MB); the
-    driver adds the shards' up, takes one step and sends the new model with the next round.
+    Each shard is taken apart once and written. It sends the gradient of its sentences for the buckets it met (at most 2.2 MB); the
+    driver adds the shards' gradients up, takes one step and sends the new model with the next round.
     """
     scratch = Scratch(sample.sparkSession, "areas")
-    kept = scratch.keep(sample.repartition(SHARDS, "shard"), "sample")
+    kept = scratch.keep(sample.groupBy("shard").applyInArrow(_parser(areas), "shard int, corpus binary"), "sample")
     model = Model.new(areas, seed)
     adam = Adam(model, rate)
     for r in range(rounds):
-        # a stated number of partitions, which small shards are not merged out of
-        got = kept.repartition(SHARDS, "shard").groupBy("shard").applyInArrow(_trainer(model, r < rounds * WARM, scratch.root), "met binary, emb binary, out binary, bias binary, n long").toArrow().to_pylist()
+        # a stated number of ranges, one a shard, which small shards are not merged out of
+        got = kept.repartitionByRange(SHARDS, "shard").mapInArrow(_trainer(model, r < rounds * WARM), "met binary, emb binary, out binary, bias binary, n long").toArrow().to_pylist()
         n = sum(row["n"] for row in got)
         if not n:
             break
@@ -176,27 +189,52 @@ def fit(sample: DataFrame, areas: int, rounds: int = ROUNDS, rate: float = RATE,
     return model
 
 
-_parsed: dict[tuple[str, int], tuple[Corpus, np.ndarray]] = {}
+def _parser(areas: int):
+    """A shard's documents as a ``Corpus`` with targets, taken apart once for all rounds."""
 
-
-def _trainer(model: Model, warm: bool, run_id: str):
     def run(t: pa.Table) -> pa.Table:
-        at = (run_id, t["shard"][0].as_py())
-        if at not in _parsed:  # a worker that is used again need not split its shard again
-            t = t.sort_by("doc")
-            y = np.zeros((t.num_rows, model.out.shape[1]), np.float32)
-            for i, a in enumerate(t["areas"].to_pylist()):
-                y[i, a] = 1
-            if len(_parsed) >= SHARDS:
-                _parsed.clear()
-            _parsed[at] = Corpus([sentences(x) for x in t["text"].to_pylist()]), y
-        met, g, n = gradient(*_parsed[at], model, warm)
-        packed = {k: pa.array([v.astype(np.float32).tobytes()], pa.binary()) for k, v in (("emb", g.emb), ("out", g.out), ("bias", g.bias))}
-        return pa.table({"met": pa.array([met.tobytes()], pa.binary()), **packed, "n": pa.array([n], pa.int64())})
+        t = t.sort_by("doc")
+        y = np.zeros((t.num_rows, areas), np.float32)
+        for i, a in enumerate(t["areas"].to_pylist()):
+            y[i, a] = 1
+        packed = pickle.dumps((Corpus([sentences(x) for x in t["text"].to_pylist()]), y), 5)
+        return pa.table({"shard": t["shard"].slice(0, 1), "corpus": pa.array([packed], pa.binary())})
 
     return run
 
 
+def _trainer(model: Model, warm: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for packed in batch.column("corpus"):
+                met, g, n = gradient(*pickle.loads(packed.as_buffer()), model, warm)
+                parts = [met.tobytes(), *(v.astype(np.float32).tobytes() for v in (g.emb, g.out, g.bias))]
+                yield pa.RecordBatch.from_arrays([*[pa.array([p], pa.binary()) for p in parts], pa.array([n], pa.int64())], ["met", "emb", "out", "bias", "n"])
+
+    return run
+
+
+class _Lookup:
+    """Each word's logits; words are numbered as they come, and new ones are looked up together."""
+
+    def __init__(self, m: Model) -> None:
+        self.m, self.number, self.table = m, {}, np.zeros((1024, m.out.shape[1]), np.float32)
+
+    def __call__(self, flat: list[str]) -> np.ndarray:
+        if len(self.number) > MOST_KNOWN:
+            self.number = {}
+        had = len(self.number)
+        at = [self.number.setdefault(w, len(self.number)) for w in flat]
+        n = len(self.number)
+        if n > had:
+            if n > len(self.table):
+                self.table = np.concatenate([self.table[:had], np.zeros((2 * n - had, self.table.shape[1]), np.float32)])
+            parts = [pieces(w) for w in list(self.number)[had:]]
+            sizes = np.array([len(p) for p in parts])
+            self.table[had:n] = self.m.words(np.concatenate(parts), np.cumsum(sizes) - sizes) @ self.m.out
+        return self.table[at]
+
+
 def score(docs: DataFrame, model: Model, areas: list[str], doc_id: str, text: str, least: int = LEAST_SENTENCES, sure: float = SURE) -> DataFrame:
     """doc, area, ``n_sentences`` that deal with the area and ``n_all``, where there are ``least`` or more.
 
@@ -205,27 +243,34 @@ def score(docs: DataFrame, model: Model, areas: list[str], doc_id: str, text: st
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        known: dict[str, np.ndarray] = {}
+        lookup = _Lookup(shared.value)
         bar = np.log(sure / (1 - sure))
+        most = max(1, SCORED // len(areas)) if areas else 1
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            out: list[tuple] = []
-            for i, t in zip(ids, texts):
-                split = sentences(t)
-                hits = np.zeros(len(areas), np.int64)
-                for s in split:
-                    total = np.zeros(len(areas))
-                    for w in s:
-                        if (v := known.get(w)) is None:
-                            if len(known) >= MOST_KNOWN:
-                                known.clear()
-                            v = known[w] = m.emb[pieces(w)].mean(0) @ m.out
-                        total += v
-                    hits += total / len(s) + m.bias > bar
-                out += [(i, areas[a], int(hits[a]), len(split)) for a in np.flatnonzero(hits >= least)]
-            cols = list(zip(*out)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.string(), pa.int32(), pa.int32()))], ["doc", "area", "n_sentences", "n_all"])
+            hits, n_all = np.zeros((len(ids), len(areas)), np.int64), np.zeros(len(ids), np.int64)
+            flat: list[str] = []
+            lengths: list[int] = []
+            of: list[int] = []
+
+            def flush() -> None:
+                if of:
+                    logits = np.add.reduceat(lookup(flat), np.cumsum(lengths) - lengths, axis=0) / np.array(lengths)[:, None] + shared.value.bias
+                    np.add.at(hits, of, logits > bar)
+                    flat.clear(), lengths.clear(), of.clear()
+
+            for d, t in enumerate(texts):
+                for s in sentences(t):
+                    flat += s
+                    lengths.append(len(s))
+                    of.append(d)
+                    n_all[d] += 1
+                    if len(flat) > most:
+                        flush()
+            flush()
+            d, a = np.nonzero(hits >= least)
+            names = pa.DictionaryArray.from_arrays(pa.array(a.astype(np.int32)), pa.array(areas, pa.string())).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(d)), names, pa.array(hits[d, a].astype(np.int32)), pa.array(n_all[d].astype(np.int32))], ["doc", "area", "n_sentences", "n_all"])
 
     d = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text")).dropna()
     return d.mapInArrow(run, "doc long, area string, n_sentences int, n_all int")
