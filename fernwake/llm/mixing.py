@@ -10,41 +10,73 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fernwake.operators.ordering import join_unique
 from fernwake.session import Scratch
 
 TOKENIZER = "byte_bpe_50k.json"
 GROUP = 20_000  # documents of one flight
-MOST_SOURCES = 10_000
+MOST_EDITS = 2
+MOST_ROUNDS = 20  # of the cube; each leaves two units of 20,000
 EPS = 1e-9
 
 UNITS = "source string, doc long, tokens long, p double"
 
 
 def with_tokens(docs: DataFrame, doc_id: str, text: str, source: str, tokenizer: str) -> DataFrame:
-    """doc, raw source and number of tokens of the whole text; null texts have none."""
+    """doc, raw source and number of tokens of the whole text; null texts have none.
+
+    The tokenizer's file is read on the driver and sent to the workers. Equal texts of a batch are
+    counted once.
+    """
+    with open(tokenizer, encoding="utf-8") as f:
+        shared = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        t = Tokenizer.from_file(tokenizer)
+        t = Tokenizer.from_str(shared.value)
         t.encode_special_tokens = True
+        encode = getattr(t, "encode_batch_fast", t.encode_batch)  # without offsets, where there is one
         for batch in batches:
-            texts = batch.column(2).to_pylist()
+            coded = batch.column(2).dictionary_encode()
+            texts = coded.dictionary.to_pylist()
             n = []
             for s in range(0, len(texts), 256):
-                n += [len(e.ids) for e in t.encode_batch([x or "" for x in texts[s : s + 256]], add_special_tokens=False)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64())], ["doc", "filed", "tokens"])
+                n += [len(e.ids) for e in encode(texts[s : s + 256], add_special_tokens=False)]
+            sizes = pa.array(n, pa.int64()).take(coded.indices).fill_null(0)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), sizes], ["doc", "filed", "tokens"])
 
     return docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(source).alias("filed"), F.col(text).alias("text")).mapInArrow(count, "doc long, filed string, tokens long")
 
 
-def true_source(filed: Column, names: list[str], most_edits: int = 2) -> Column:
-    """The name that ``filed`` equals once case and all but letters and digits are ignored, else the
-    nearest one within ``most_edits`` edits (ties: the smaller name); null where there is none."""
-    bare = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]", "")
-    away = F.array_min(F.array(*[F.struct(F.levenshtein(bare(filed), bare(F.lit(n))).alias("d"), F.lit(n).alias("name")) for n in names]))
-    return F.when(away["d"] <= most_edits, away["name"])
+def _bare(c: Column) -> Column:
+    return F.regexp_replace(F.lower(c), "[^a-z0-9]", "")
+
+
+def _shortened(c: Column) -> Column:
+    """``c`` and all that is left of it after leaving out one or two characters."""
+    less = lambda x: F.transform(F.sequence(F.lit(1), F.length(x)), lambda i: F.concat(F.substring(x, F.lit(1), i - 1), F.substr(x, i + 1)))
+    some = lambda x: F.when(F.length(x) > 0, less(x)).otherwise(F.array().cast("array<string>"))
+    once = some(c)
+    return F.array_distinct(F.concat(F.array(c), once, F.flatten(F.transform(once, some))))
+
+
+def true_sources(names: DataFrame, targets: DataFrame) -> DataFrame:
+    """``source`` of each distinct ``filed`` name that is a target's: the one that it equals once case and all but
+    letters and digits are ignored, else the nearest within two edits (ties: the smaller name).
+
+    Two names within two edits have a string in common that is left of both after leaving out at
+    most two characters, so they meet in an equi-join of such strings, however many sources there
+    are. A filed name longer than any target by more than two characters is none.
+    """
+    goal = targets.select("source").distinct().withColumn("to", _bare(F.col("source")))
+    longest = F.broadcast(goal.agg(F.coalesce(F.max(F.length("to")), F.lit(0)).alias("_most")))  # one row
+    filed = names.select("filed").dropna().distinct().withColumn("from", _bare(F.col("filed")))
+    filed = filed.crossJoin(longest).where(F.length("from") <= F.col("_most") + MOST_EDITS).drop("_most")
+    short = lambda df, c: df.withColumn("key", F.explode(_shortened(F.col(c))))
+    met = short(filed, "from").join(short(goal, "to"), "key").select("filed", "source", F.levenshtein("from", "to").alias("d")).where(F.col("d") <= MOST_EDITS)
+    return met.groupBy("filed").agg(F.min(F.struct("d", "source"))["source"].alias("source"))
 
 
 def flight(x: np.ndarray, p: np.ndarray, rng: np.random.Generator) -> np.ndarray:
@@ -116,7 +148,7 @@ def cube_sample(units: DataFrame, group: int = GROUP, seed: int = 23) -> DataFra
     scratch = Scratch(units.sparkSession, "cube")
     done: list[DataFrame] = []
     state = scratch.keep(units.select("source", "doc", "tokens", "p"), "units")
-    for round_ in range(20):
+    for round_ in range(MOST_ROUNDS):
         sizes = state.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
         groups = sizes.select("source", F.ceil(F.col("n") / group).alias("groups"))
         most = groups.agg(F.max("groups")).first()[0] or 1
@@ -129,6 +161,8 @@ def cube_sample(units: DataFrame, group: int = GROUP, seed: int = 23) -> DataFra
         if last:
             break
         state = flown.where(undecided)
+    else:
+        raise RuntimeError(f"units are undecided after {MOST_ROUNDS} rounds")
     out = done[0]
     for df in done[1:]:
         out = out.unionByName(df)
@@ -139,37 +173,32 @@ def mixture(docs: DataFrame, targets: DataFrame, doc_id: str, text: str, source:
     """The documents of the mix: doc, source, tokens, copies (1 or more).
 
     The mix has ``total`` tokens, or by default the most that the sources allow when each is
-    repeated as often as its ``max_repeats``. A source's documents are all used floor(f) times,
-    f being its wanted over its own tokens, and once more with probability f - floor(f), drawn by
-    ``cube_sample``. Source names are matched without case and separators, and by at most two
-    edits; documents of no target source, without id or without tokens are not used. Repeated ids
-    count once. A target without usable documents gets nothing, and the others keep their
-    proportions. Equal texts under several ids are documents of their own.
+    repeated as often as its ``max_repeats`` (null counts as 1). A source's documents are all used
+    floor(f) times, f being its wanted over its own tokens, and once more with probability
+    f - floor(f), drawn by ``cube_sample``. Source names are matched by ``true_sources``, each
+    distinct name once; documents of no target source, without id or without tokens are not used.
+    Repeated ids count once, by the delivery of most tokens. A target without usable documents,
+    or without a positive share, gets nothing, and the others keep their proportions. Equal texts
+    under several ids are documents of their own.
     """
     scratch = Scratch(docs.sparkSession, "mixture")
-    wanted = targets.where("target_share > 0").select("source", "target_share", "max_repeats").dropna().limit(MOST_SOURCES + 1).collect()
-    if len(wanted) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources")
-    goal = {r["source"]: (r["target_share"], r["max_repeats"]) for r in wanted}
-    counted = with_tokens(docs, doc_id, text, source, tokenizer).where("doc is not null").groupBy("doc").agg(F.max("tokens").alias("tokens"), F.max("filed").alias("filed"))
-    named = counted.withColumn("source", true_source(F.col("filed"), sorted(goal))) if goal else counted.withColumn("source", F.lit(None).cast("string"))
-    sized = scratch.keep(named.where("source is not null and tokens > 0").select("doc", "source", "tokens"), "sized")
-    have = {r["source"]: r["tokens"] for r in sized.groupBy("source").agg(F.sum("tokens").alias("tokens")).collect()}
-    shares = {s: goal[s][0] for s in have}
-    whole = sum(shares.values())
-    most = min((goal[s][1] * have[s] * whole / shares[s] for s in have), default=0.0)
+    goal = targets.where("target_share > 0 and source is not null").groupBy("source").agg(F.max("target_share").alias("share"), F.max(F.coalesce("max_repeats", F.lit(1))).alias("repeats"))
+    counted = with_tokens(docs, doc_id, text, source, tokenizer).where("doc is not null and tokens > 0").groupBy("doc").agg(F.max(F.struct("tokens", "filed")).alias("x"))
+    counted = scratch.keep(counted.select("doc", "x.tokens", "x.filed"), "counted")
+    by_name = counted.where("filed is not null").groupBy("filed").agg(F.count(F.lit(1)).alias("_n"), F.sum("tokens").alias("_tokens"))
+    names = scratch.keep(by_name.join(true_sources(by_name, goal), "filed"), "names")
+    have = names.groupBy("source").agg(F.sum("_tokens").alias("tokens")).join(goal, "source")
+    bound = have.agg(F.sum("share").alias("whole"), F.min(F.col("repeats") * F.col("tokens") / F.col("share")).alias("least")).first()
+    most = (bound["least"] or 0.0) * (bound["whole"] or 0.0)
     size = most if total is None else min(total, most)
-    plan = []
-    for s, tokens in have.items():
-        f = size * shares[s] / whole / tokens
-        base = int(f + EPS)
-        plan.append((s, base, max(0.0, f - base) if f - base > EPS else 0.0))
-    rates = docs.sparkSession.createDataFrame(plan, "source string, base int, p double")
-    drawn = sized.join(F.broadcast(rates), "source")  # one row a target
-    chosen = cube_sample(drawn.where("p > 0").select("source", "doc", "tokens", "p"), seed=seed)
-    rest = drawn.where("p = 0").select("source", "doc", "tokens", F.lit(0.0).alias("p"))
-    copies = chosen.unionByName(rest).join(F.broadcast(rates.select("source", "base")), "source")
-    return copies.select("doc", "source", "tokens", (F.col("base") + F.round("p")).cast("int").alias("copies")).where("copies > 0")
+    times = F.lit(size) * F.col("share") / F.lit(bound["whole"] or 1.0) / F.col("tokens")
+    base = F.floor(times + EPS)
+    rates = have.select("source", base.cast("int").alias("base"), F.when(times - base > EPS, times - base).otherwise(F.lit(0.0)).alias("p"))
+    rates = scratch.keep(names.select("filed", "source", "_n").join(rates, "source"), "rates")
+    drawn = scratch.keep(join_unique(counted, rates, "filed").select("source", "doc", "tokens", "base", "p"), "drawn")
+    chosen = cube_sample(drawn.where("p > 0").select("source", "doc", "tokens", "p"), seed=seed).where("p = 1").select("doc", F.lit(1).alias("once"))
+    copies = drawn.join(chosen, "doc", "left").withColumn("copies", F.col("base") + F.coalesce("once", F.lit(0)))
+    return copies.where("copies > 0").select("doc", "source", "tokens", F.col("copies").cast("int").alias("copies"))
 
 
 def shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:
