@@ -506,26 +506,84 @@ def block_ranks(spark, sf):
 @query(f"""WITH {G}, t AS (SELECT coalesce(sum(c * c * c - c), 0) AS ties FROM (SELECT count(*) AS c FROM m GROUP BY block, value)), s AS (SELECT model, sum(rank) AS s, count(*) AS n FROM r GROUP BY model),
     a AS (SELECT sum(s * s)::DOUBLE AS ss, max(n)::DOUBLE AS n, count(*)::DOUBLE AS k FROM s) SELECT round((12 / (n * k * (k + 1)) * ss - 3 * n * (k + 1)) / (1 - ties / (n * k * (k * k - 1))), 6) AS chi2, n::BIGINT AS n_blocks, k::BIGINT AS n_models FROM a, t""")
 def friedman_chi2(spark, sf):
-    return rounded(significance.friedman(grid(spark, sf)), "chi2")
+    return rounded(significance.friedman(grid(spark, sf)).drop("p"), "chi2")
+
+
+FRIEDMAN = f"""{G}, t AS (SELECT coalesce(sum(c * c * c - c), 0) AS ties FROM (SELECT count(*) AS c FROM m GROUP BY block, value)), s AS (SELECT model, sum(rank) AS s, avg(rank)::DOUBLE AS r, count(*) AS n FROM r GROUP BY model),
+    a AS (SELECT sum(s * s)::DOUBLE AS ss, max(n)::DOUBLE AS n, count(*)::DOUBLE AS k FROM s), chi AS (SELECT (12 / (n * k * (k + 1)) * ss - 3 * n * (k + 1)) / (1 - ties / (n * k * (k * k - 1))) AS x, n, k FROM a, t)"""
+# upper tail of the normal distribution: Simpson's rule over twelve deviations
+NORMAL_TAIL = "(SELECT sum(CASE WHEN i IN (0, 2400) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * exp(-power({z} + i * 0.005, 2) / 2)) * 0.005 / 3 / sqrt(2 * pi()) FROM range(2401) r(i))"
+
+
+@query(f"WITH {FRIEDMAN} SELECT round(x, 6) AS chi2, round(exp(-x / 2) * (1 + x / 2), 8) AS p, n::BIGINT AS n_blocks, k::BIGINT AS n_models FROM chi")
+def friedman_test(spark, sf):
+    """With five models the tail of four degrees of freedom has a closed form."""
+    return rounded(significance.friedman(grid(spark, sf)), "chi2").withColumn("p", F.round("p", 8))
 
 
 @query(f"WITH {G}, s AS (SELECT model, avg(rank)::DOUBLE AS r, count(*) AS n FROM r GROUP BY model), k AS (SELECT count(*) AS k FROM s) SELECT x.model AS a, y.model AS b, round(abs(x.r - y.r), 6) AS rank_diff, round(abs(x.r - y.r) / sqrt(k * (k + 1) / (6.0 * x.n)), 6) AS q FROM s x JOIN s y ON x.model < y.model, k")
 def nemenyi_pairs(spark, sf):
-    return rounded(significance.nemenyi(grid(spark, sf)), "rank_diff", "q")
+    return rounded(significance.nemenyi(grid(spark, sf)).select("a", "b", "rank_diff", "q"), "rank_diff", "q")
+
+
+# tail of the range of k normal variables by nested quadrature, with the distribution function summed up on a grid of 0.01
+RANGE_TAIL = """g AS (SELECT i, -9 + i * 0.01 AS z, exp(-power(-9 + i * 0.01, 2) / 2) / sqrt(2 * pi()) AS f FROM range(1801) t(i)), c AS (SELECT i, z, f, (sum(f) OVER (ORDER BY i) - f / 2) * 0.01 + f * 0 AS cdf FROM g)"""
+
+
+@query(f"""WITH {FRIEDMAN}, {RANGE_TAIL}, w AS (SELECT x.model AS a, y.model AS b, abs(x.r - y.r) / sqrt(k * (k + 1) / (6 * x.n)) * sqrt(2) AS q, k FROM s x JOIN s y ON x.model < y.model, chi),
+    j AS (SELECT a, b, k, f, cdf, q, z, (z - q + 9) / 0.01 AS at FROM w, c), h AS (SELECT j.a, j.b, j.k, j.f, j.cdf - coalesce(lo.cdf + (j.at - floor(j.at)) * (hi.cdf - lo.cdf), 0) AS d FROM j LEFT JOIN c lo ON lo.i = floor(j.at) LEFT JOIN c hi ON hi.i = floor(j.at) + 1)
+    SELECT a, b, round(greatest(1 - k * sum(f * power(d, k - 1)) * 0.01, 0), 3) + 0 AS p FROM h GROUP BY a, b, k""")
+def nemenyi_test(spark, sf):
+    return significance.nemenyi(grid(spark, sf)).select("a", "b", F.round("p", 3).alias("p"))
 
 
 @query(f"""WITH {G}, d AS (SELECT x.value - y.value AS d, abs(x.value - y.value) AS m FROM m x JOIN m y USING (block) WHERE x.model = '1-URGENT' AND y.model = '5-LOW' AND x.value <> y.value),
     k AS (SELECT d, rank() OVER (ORDER BY m) + (count(*) OVER (PARTITION BY m) - 1) / 2.0 AS r FROM d), t AS (SELECT coalesce(sum(c * c * c - c), 0) AS t FROM (SELECT count(*) AS c FROM d GROUP BY m)),
     s AS (SELECT coalesce(sum(r) FILTER (WHERE d > 0), 0)::DOUBLE AS w, count(*)::DOUBLE AS n FROM k) SELECT w, n::BIGINT AS n, round((w - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - t / 48.0), 6) AS z, round(abs((w - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - t / 48.0)) / sqrt(n), 6) AS effect FROM s, t""")
 def wilcoxon_z(spark, sf):
-    return rounded(significance.wilcoxon(grid(spark, sf), "1-URGENT", "5-LOW"), "z", "effect")
+    return rounded(significance.wilcoxon(grid(spark, sf), "1-URGENT", "5-LOW").drop("p"), "z", "effect")
+
+
+def _pairs(spark, sf) -> list[tuple[str, str]]:
+    models = sorted(r[0] for r in grid(spark, sf).select("model").distinct().collect())  # one row a model
+    return [(a, b) for i, a in enumerate(models) for b in models[i + 1 :]]
+
+
+WILCOXON = f"""{G}, d AS (SELECT x.model AS a, y.model AS b, x.value - y.value AS d, abs(x.value - y.value) AS m FROM m x JOIN m y USING (block) WHERE x.model < y.model AND x.value <> y.value),
+    k AS (SELECT a, b, d, rank() OVER (PARTITION BY a, b ORDER BY m) + (count(*) OVER (PARTITION BY a, b, m) - 1) / 2.0 AS r FROM d), t AS (SELECT a, b, sum(c * c * c - c) AS t FROM (SELECT a, b, count(*) AS c FROM d GROUP BY a, b, m) GROUP BY a, b),
+    s AS (SELECT a, b, coalesce(sum(r) FILTER (WHERE d > 0), 0)::DOUBLE AS w, count(*)::DOUBLE AS n FROM k GROUP BY a, b), z AS (SELECT a, b, (w - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - t / 48.0) AS z, n FROM s JOIN t USING (a, b))"""
+
+
+@query(f"WITH {WILCOXON} SELECT a, b, n::BIGINT AS n, round(z, 6) AS z, round(least(2 * {NORMAL_TAIL.format(z='abs(z)')}, 1), 6) AS p, round({NORMAL_TAIL.format(z='z')}, 6) AS p_greater FROM z")
+def wilcoxon_test(spark, sf):
+    """Two-sided and one-sided tests of every pair of models."""
+    out, m = None, grid(spark, sf)
+    for a, b in _pairs(spark, sf):
+        two, one = significance.wilcoxon(m, a, b), significance.wilcoxon(m, a, b, "greater").select(F.col("p").alias("p_greater"))
+        row = two.crossJoin(one).select(F.lit(a).alias("a"), F.lit(b).alias("b"), "n", "z", "p", "p_greater")
+        out = row if out is None else out.unionByName(row)
+    return rounded(out, "z", "p", "p_greater")
 
 
 @query()
+def significance_protocol(spark, sf):
+    return significance.protocol(grid(spark, sf))
+
+
+@query()
+def paired_comparison(spark, sf):
+    out, m = None, grid(spark, sf)
+    for a, b in _pairs(spark, sf):
+        row = significance.paired(m, a, b)
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query(f"WITH {G} SELECT x.model AS a, y.model AS b, round(avg(x.value - y.value), 4) AS mean_difference, true AS inside FROM m x JOIN m y USING (block) WHERE x.model < y.model GROUP BY x.model, y.model")
 def bootstrap_ci(spark, sf):
-    m = grid(spark, sf).groupBy("block").pivot("model", ["1-URGENT", "5-LOW"]).agg(F.first("value")).collect()  # one row a block
-    mean, lo, hi = significance.bootstrap_interval([r["1-URGENT"] for r in m], [r["5-LOW"] for r in m])
-    return spark.createDataFrame([(mean, lo, hi)], "mean_difference double, low double, high double")
+    """The mean difference of every pair of models, and whether its bootstrap interval holds it."""
+    p = paired_comparison(spark, sf)
+    return p.select("a", "b", F.round("mean_difference", 4).alias("mean_difference"), ((F.col("low") <= F.col("mean_difference")) & (F.col("mean_difference") <= F.col("high"))).alias("inside"))
 
 
 # ---- losses, weights, views ----------------------------------------------------------------------
