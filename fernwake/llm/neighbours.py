@@ -11,12 +11,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fernwake.functions.arrays import from_matrix, to_matrix
+from fernwake.session import partitions
 
 SAMPLE_ROWS = 20_000  # most rows that the centroids are fitted on
 PER_CELL = 256  # wanted vectors a cell
-PER_GROUP = 16_384  # wanted vectors of the neighbouring cells that travel together
-MOST_CENTROIDS = 1024  # for each half; so codebooks and the table of cells stay below 20 MB
+PER_GROUP = 32_768  # wanted vectors of the neighbouring cells that travel together
+MOST_CENTROIDS = 4096  # for each half: 4 billion vectors at 256 a cell, with tables of 200 MB; larger collections have fuller cells
+SALTS = 32  # parts of the copies of one vector
 BLOCK = 65_536  # most entries, and most queries, of one piece of work
+TASK_BYTES = 16 << 20  # wanted size of a task's share of the travelling vectors
 PAIRS = 1 << 22  # distances held at a time
 
 FOUND = "query_id long, neighbour_id long, distance double"
@@ -30,20 +33,20 @@ class MultiIndex:
         lo, hi = np.quantile(sample, [0.01, 0.99], axis=0) if len(sample) else (0, 0)
         body = np.clip(sample, lo, hi)  # a few wild readings must not take centroids
         self.books = [_kmeans(body[:, : self.cut], centroids, seed), _kmeans(body[:, self.cut :], centroids, seed + 1)]
-        if len(self.books[1]) > 1:  # so that neighbouring numbers are near each other
-            middle = self.books[1] - self.books[1].mean(0)
-            self.books[1] = self.books[1][np.argsort(middle @ np.linalg.svd(middle, full_matrices=False)[2][0], kind="stable")]
+        for i, book in enumerate(self.books):
+            if len(book) > 1:  # so that neighbouring numbers are near each other
+                middle = book - book.mean(0)
+                self.books[i] = book[np.argsort(middle @ np.linalg.svd(middle, full_matrices=False)[2][0], kind="stable")]
         self.sizes = [len(b) for b in self.books]
         self.apart = [np.sqrt(_sq(b, b)) for b in self.books]
 
     def halves(self, x: np.ndarray) -> list[np.ndarray]:
         return [_sq(x[:, : self.cut], self.books[0]), _sq(x[:, self.cut :], self.books[1])]
 
-    def grouping(self, n: int) -> np.ndarray:
-        """The group of each cell: cells of one first centroid and neighbouring second ones, of about ``PER_GROUP`` vectors."""
-        rows, cols = self.sizes
-        width = int(min(cols, max(1, PER_GROUP * rows * cols // max(n, 1))))
-        return (np.arange(rows)[:, None] * -(-cols // width) + np.arange(cols)[None] // width).ravel()
+    def grouping(self, counts: np.ndarray) -> np.ndarray:
+        """The group of each cell: neighbouring cells, in order of both centroids' places, that hold about ``PER_GROUP`` vectors."""
+        flat = (np.cumsum(counts) - counts) // PER_GROUP
+        return np.unique(flat, return_inverse=True)[1].astype(np.int32)
 
     def cells(self, d: list[np.ndarray]) -> np.ndarray:
         return d[0].argmin(1) * self.sizes[1] + d[1].argmin(1)
@@ -53,8 +56,9 @@ class MultiIndex:
 
         A vector nearer to centroid c than to a query's own centroid o lies beyond the plane
         between them, which is (|q-c|^2 - |q-o|^2) / (2 |c-o|) away; the two halves' distances add
-        up in squares. Cells are visited by falling nearness of the centroid pair (a heap), and
-        lists are cut where one half alone is too far.
+        up in squares to a lower bound of the distance. Centroid pairs are taken from a heap by
+        rising sum of their halves' bounds, and the walk ends at the first sum beyond the radius:
+        no later pair can hold such a vector.
         """
         bounds = []
         for x, apart in zip(d, self.apart):
@@ -67,12 +71,13 @@ class MultiIndex:
         qs, cs = [], []
         for q in many:
             rows, cols = (np.flatnonzero(n[q]) for n in near)
-            rows, cols = rows[np.argsort(d[0][q, rows], kind="stable")], cols[np.argsort(d[1][q, cols], kind="stable")]
+            rows, cols = rows[np.argsort(bounds[0][q, rows], kind="stable")], cols[np.argsort(bounds[1][q, cols], kind="stable")]
             br, bc = bounds[0][q, rows].tolist(), bounds[1][q, cols].tolist()
-            for i, j in _by_sum(d[0][q, rows].tolist(), d[1][q, cols].tolist()):
-                if br[i] + bc[j] <= limit:
-                    qs.append(q)
-                    cs.append(int(rows[i]) * self.sizes[1] + int(cols[j]))
+            for i, j in _by_sum(br, bc):
+                if br[i] + bc[j] > limit:
+                    break
+                qs.append(q)
+                cs.append(int(rows[i]) * self.sizes[1] + int(cols[j]))
         one = np.ones(len(d[0]), bool)
         one[many] = False
         alone = np.flatnonzero(one)
@@ -159,7 +164,8 @@ def nearest_vectors(df: DataFrame, row_id: str, vector: str, dim: int, k: int, m
     indexed. Rows with null or non-finite entries, of another length, without id, or (cosine) all
     zero are no vectors here and come out nowhere. Repeated ids count once. A vector travels once to
     its own group of cells and once to each other group that it visits, with the list of the cells
-    there. The work of a group is cut into blocks of about ``block`` entries and queries. In a group of several blocks only the
+    there. Groups are sized by the counted entries of their cells, and the work of a group is cut
+    into blocks of about ``block`` entries and queries. In a group of several blocks only the
     k + 1 smallest ids of each group of exact copies are indexed, which are all that can be
     anyone's neighbours; the other copies get theirs by a join on the vector.
     """
@@ -169,8 +175,7 @@ def nearest_vectors(df: DataFrame, row_id: str, vector: str, dim: int, k: int, m
     asked = F.coalesce(queries, F.lit(False)) if queries is not None else F.lit(True)
     base = df.select(F.col(row_id).cast("long").alias("id"), F.col(vector).cast("array<float>").alias("vec"), asked.alias("asked"))
     n = base.count()
-    every = max(1, n // SAMPLE_ROWS)
-    picked = base.where(F.pmod(F.xxhash64("id"), F.lit(every)) == 0).select("id", "vec").limit(SAMPLE_ROWS).toArrow()
+    picked = base.where("id is not null").select("id", "vec").orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS).toArrow()
     sample = [usable(b, dim, cosine)[1] for b in picked.to_batches()]
     sample = np.concatenate(sample) if sample else np.zeros((0, dim), np.float32)
     index = MultiIndex(sample, int(min(MOST_CENTROIDS, max(1, round((n / per_cell) ** 0.5)))))
@@ -181,10 +186,7 @@ def nearest_vectors(df: DataFrame, row_id: str, vector: str, dim: int, k: int, m
     def visits(d: list[np.ndarray], counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return shared.value.within(d, spread) if spread is not None else shared.value.nearest(d, counts, candidates)
 
-    group_of = index.grouping(n)
-    n_groups = int(group_of.max()) + 1
-
-    def tally(visited: bool, counts: np.ndarray | None) -> np.ndarray:
+    def tally(visited: bool, counts: np.ndarray | None, group_of: np.ndarray | None, n_groups: int) -> np.ndarray:
         """Entries of each cell, or queries that visit each group."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,9 +206,12 @@ def nearest_vectors(df: DataFrame, row_id: str, vector: str, dim: int, k: int, m
         out[got["at"].to_numpy()] = got["n"].to_numpy()
         return out
 
-    counts = tally(False, None)
+    counts = tally(False, None, None, 0)
+    group_of = index.grouping(counts)
+    n_groups = int(group_of.max()) + 1
     eb = np.maximum(1, -(-np.bincount(group_of, counts, n_groups).astype(np.int64) // block))
-    qb = np.maximum(1, -(-tally(True, counts) // block))
+    visited = tally(True, counts, group_of, n_groups)
+    qb = np.maximum(1, -(-visited // block))
     tables = spark.sparkContext.broadcast((counts, eb, qb, group_of))
     crowded = bool((eb > 1).any())
 
@@ -261,13 +266,18 @@ def nearest_vectors(df: DataFrame, row_id: str, vector: str, dim: int, k: int, m
         lead = ranked.where(F.col("nth") <= k + 1)
         again = base.select("id", "asked").groupBy("id").agg(F.max("asked").alias("asked"))
         indexed = placed.where("not crowded").select("id", "vec").unionByName(lead.select("id", "vec")).join(again, "id").select("id", "vec", "asked")
-        leaders = lead.groupBy("vec").agg(F.sort_array(F.collect_list("id")).alias("ids"))  # k + 1 ids at most
+        # k + 1 ids at most; only a vector of that many leaders has further copies, which may be very many
+        leaders = lead.groupBy("vec").agg(F.sort_array(F.collect_list("id")).alias("ids")).where(F.size("ids") > k)
+        leaders = leaders.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         rest = dense.join(lead.select("id"), "id", "left_anti").join(again.where("asked"), "id", "left_semi")
-        copies = rest.join(leaders, "vec").select("id", F.explode(F.slice("ids", 1, k)).alias("neighbour_id"))
+        copies = rest.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(leaders, ["vec", "salt"]).select("id", F.explode(F.slice("ids", 1, k)).alias("neighbour_id"))
         copies = copies.select(F.col("id").alias("query_id"), "neighbour_id", F.lit(0.0).alias("distance"))
 
+    # as many tasks as the counted rows fill, however large the collection
+    travelling = int((np.bincount(group_of, counts, n_groups) * qb + visited * eb).sum())
+    tasks = max(partitions(spark), -(-travelling * (4 * dim + 64) // TASK_BYTES))
     placed_rows = indexed.mapInArrow(place, "at int, q_block int, e_block int, id long, cell int, asked array<int>, vec array<float>")
-    groups = placed_rows.groupBy("at", "q_block", "e_block")
+    groups = placed_rows.repartition(tasks, "at", "q_block", "e_block").groupBy("at", "q_block", "e_block")
 
     def rerank(t: pa.Table) -> pa.Table:
         asked = t["asked"].combine_chunks()
