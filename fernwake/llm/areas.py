@@ -171,12 +171,12 @@ def fit(sample: DataFrame, areas: int, rounds: int = ROUNDS, rate: float = RATE,
     driver adds the shards' gradients up, takes one step and sends the new model with the next round.
     """
     scratch = Scratch(sample.sparkSession, "areas")
-    kept = scratch.keep(sample.groupBy("shard").applyInArrow(_parser(areas), "shard int, corpus binary"), "sample")
+    # a stated number of ranges, so that each shard is a file and, in every round, a task of its own
+    kept = scratch.keep(sample.repartitionByRange(SHARDS, "shard").groupBy("shard").applyInArrow(_parser(areas), "shard int, corpus binary"), "sample")
     model = Model.new(areas, seed)
     adam = Adam(model, rate)
     for r in range(rounds):
-        # a stated number of ranges, one a shard, which small shards are not merged out of
-        got = kept.repartitionByRange(SHARDS, "shard").mapInArrow(_trainer(model, r < rounds * WARM), "met binary, emb binary, out binary, bias binary, n long").toArrow().to_pylist()
+        got = kept.mapInArrow(_trainer(model, r < rounds * WARM), "met binary, emb binary, out binary, bias binary, n long").toArrow().to_pylist()
         n = sum(row["n"] for row in got)
         if not n:
             break
