@@ -37,7 +37,7 @@ def rbf(distance: Column, gamma: float) -> Column:
 
 def similarity(raw: Column, metric: str, gamma: float = 1.0) -> Column:
     """Similarity from what a search ranks by: cosine as it is, a distance as 1 / (1 + d) or by an RBF kernel."""
-    if metric in ("cosine", "fidelity"):
+    if metric in ("cosine", "fidelity", "entangled"):
         return raw
     if metric == "euclidean":
         return 1 / (1 + raw)

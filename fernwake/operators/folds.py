@@ -40,3 +40,8 @@ def assert_no_leakage(bank: DataFrame, test_group: str, train_ids: DataFrame) ->
     found = leakage(bank, test_group, train_ids).first()
     if found["of_test_group"] or found["not_in_training"]:
         raise ValueError(f"leakage into the bank of fold {test_group}: {found.asDict()}")
+
+
+def intersection(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """The distinct ``keys`` that both tables hold."""
+    return a.select(*keys).intersect(b.select(*keys))

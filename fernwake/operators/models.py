@@ -1,4 +1,4 @@
-"""Classical models behind one interface, search over grids with group-wise folds, and encoder inference."""
+"""Classical models behind one interface and search over grids with group-wise folds."""
 
 from __future__ import annotations
 
@@ -175,97 +175,3 @@ def search(name: str, rows: DataFrame, dim: int, folds: int = 3, grid: dict | No
                 best, best_ap = s, mean
         marked.unpersist()
     return Classifier(name, dim, **best).fit(rows), best, best_ap
-
-
-# ---- encoders: inference with given weights ------------------------------------------------------
-
-
-def mlp(x: np.ndarray, layers: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """Dense layers with a rectifier between them."""
-    for i, (w, b) in enumerate(layers):
-        x = x @ w + b
-        if i + 1 < len(layers):
-            x = np.maximum(x, 0)
-    return x
-
-
-def conv1d(x: np.ndarray, w: np.ndarray, b: np.ndarray, dilation: int = 1, causal: bool = False) -> np.ndarray:
-    """Convolution along the last axis: x is rows x channels x length, w is out x in x kernel."""
-    k = w.shape[2]
-    reach = (k - 1) * dilation
-    pad = (reach, 0) if causal else (reach // 2, reach - reach // 2)
-    p = np.pad(x, ((0, 0), (0, 0), pad))
-    cols = np.stack([p[:, :, i * dilation : i * dilation + x.shape[2]] for i in range(k)], -1)
-    return np.einsum("nclk,ock->nol", cols, w) + b[None, :, None]
-
-
-def cnn_encoder(x: np.ndarray, convs: list[tuple[np.ndarray, np.ndarray]], head: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    for w, b in convs:
-        x = np.maximum(conv1d(x, w, b), 0)
-    return mlp(x.mean(2), head)
-
-
-def tcn_encoder(x: np.ndarray, blocks: list[tuple[np.ndarray, np.ndarray]], head: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """Causal convolutions of doubling dilation with residuals where shapes agree; the last step is read."""
-    for i, (w, b) in enumerate(blocks):
-        y = np.maximum(conv1d(x, w, b, 2**i, True), 0)
-        x = x + y if x.shape == y.shape else y
-    return mlp(x[:, :, -1], head)
-
-
-def attention(x: np.ndarray, wq: np.ndarray, wk: np.ndarray, wv: np.ndarray, wo: np.ndarray, heads: int) -> np.ndarray:
-    """Self-attention over steps with a residual: x is rows x steps x width."""
-    n, t, d = x.shape
-    split = lambda m: (x @ m).reshape(n, t, heads, d // heads).transpose(0, 2, 1, 3)
-    q, k, v = split(wq), split(wk), split(wv)
-    s = q @ k.transpose(0, 1, 3, 2) / math.sqrt(d // heads)
-    a = np.exp(s - s.max(-1, keepdims=True))
-    a /= a.sum(-1, keepdims=True)
-    return x + (a @ v).transpose(0, 2, 1, 3).reshape(n, t, d) @ wo
-
-
-def random_layers(sizes: list[int], seed: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    rng = np.random.default_rng(seed)
-    return [(rng.normal(0, math.sqrt(2 / a), (a, b)), np.zeros(b)) for a, b in zip(sizes, sizes[1:])]
-
-
-def embed(rows: DataFrame, dim: int, forward, normalize: bool = True) -> DataFrame:
-    """id and ``embedding`` of each row (id, vec) by ``forward``, batch by batch; unusable vectors are left out."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            m, taken = to_matrix(batch.column(1), dim)
-            e = forward(np.nan_to_num(m.astype(np.float64)))
-            if normalize:
-                e = e / np.maximum(np.linalg.norm(e, axis=1), 1e-12)[:, None]
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(taken)), from_matrix(e)], ["id", "embedding"])
-
-    return rows.select(F.col("id").cast("long").alias("id"), F.col("vec").cast("array<float>").alias("vec")).mapInArrow(run, "id long, embedding array<float>")
-
-
-def count_parameters(layers: list[tuple[np.ndarray, np.ndarray]]) -> int:
-    return sum(w.size + b.size for w, b in layers)
-
-
-def flops(layers: list[tuple[np.ndarray, np.ndarray]]) -> int:
-    """Multiplications and additions of one row through dense layers."""
-    return sum(2 * w.size for w, _ in layers)
-
-
-def update_budget(report: dict[str, float], max_hours: float = 9.5, reserve_hours: float = 1.0, safety: float = 1.35, least_steps: int = 32) -> dict[str, float]:
-    """Updates an epoch that fit the hours, from measured times; ValueError if fewer than ``least_steps`` do."""
-    needed = ["seconds_per_step", "post_training_seconds_first_fold", "n_test_folds", "seeds", "losses", "epochs", "configured_steps_per_epoch"]
-    if not all(k in report and math.isfinite(report[k]) and report[k] > 0 for k in needed):
-        raise ValueError("a full measurement of finite positive times is needed")
-    if reserve_hours < 0 or reserve_hours >= max_hours or safety < 1 or least_steps < 1:
-        raise ValueError("bad time budget")
-    step, per_run, folds, seeds, losses_, epochs, most = (report[k] for k in needed)
-    runs = folds * seeds * losses_
-    setup = report.get("preprocessing_seconds_first_fold", 0) + report.get("encoder_setup_seconds_first_fold", 0)
-    fixed = runs * (setup + per_run + 15) + losses_ * report.get("load_seconds", 0)  # 15 s of start-up a run
-    left = 3600 * (max_hours - reserve_hours) / safety - fixed
-    steps = min(int(most), math.floor(left / (runs * epochs * step)))
-    if steps < least_steps:
-        raise ValueError("too little time is left for training")
-    train = runs * epochs * steps * step
-    return {"steps_per_epoch": steps, "runs": runs, "training_hours": train / 3600, "overhead_hours": fixed / 3600, "estimated_hours_with_margin": safety * (train + fixed) / 3600, "reserved_hours": reserve_hours, "max_hours": max_hours}

@@ -15,7 +15,7 @@ from fernwake.operators.folds import fold_leakage, make_folds
 
 QUERY_BLOCK, BANK_BLOCK = 4096, 16_384
 LEAST_PAIRS = 250_000  # pairs of rows that are worth a task of their own
-METRICS = ("cosine", "euclidean", "fidelity", "dot")
+METRICS = ("cosine", "euclidean", "fidelity", "entangled", "dot")
 PLACES = 9  # scores are ranked at this precision, so that the order of summation can't flip ties
 
 
@@ -34,6 +34,38 @@ def phases(angles: np.ndarray, reps: int, entangled: bool) -> np.ndarray:
     return np.exp(0.5j * reps * phase) / 2 ** (n / 2)
 
 
+def entangled_states(angles: np.ndarray, reps: int, pairs: bool = True) -> np.ndarray:
+    """State of each row after ``reps`` layers of Hadamards and phases, the second kind of feature map.
+
+    A layer's phase of a bit pattern is 2 x_i for each set bit and, with ``pairs``, 2 (pi - x_i)
+    (pi - x_j) for each two bits that differ; unlike in ``phases`` every layer begins with
+    Hadamards, so the state is carried from layer to layer.
+    """
+    n = angles.shape[1]
+    bits = np.array(list(itertools.product([0.0, 1.0], repeat=n)))
+    phase = 2 * angles @ bits.T
+    for i, j in itertools.combinations(range(n), 2) if pairs else ():
+        phase = phase + (2 * (np.pi - angles[:, i]) * (np.pi - angles[:, j]))[:, None] * (bits[:, i] != bits[:, j])
+    state = np.zeros((len(angles), 2**n), complex)
+    state[:, 0] = 1
+    for _ in range(reps):
+        state = state.reshape(-1, *[2] * n)
+        for axis in range(1, n + 1):
+            a, b = np.take(state, 0, axis), np.take(state, 1, axis)
+            state = np.stack([a + b, a - b], axis) / np.sqrt(2)
+        state = state.reshape(-1, 2**n) * np.exp(1j * phase)
+    return state
+
+
+def kernel_of(enabled: bool, wanted: str = "auto", at_most: int = 10, qubits: int = 6) -> str:
+    """The kernel to search by: rbf where none is wanted, else fidelity or entangled; auto takes the first, or rbf above ``at_most`` qubits."""
+    if wanted not in ("auto", "fidelity", "entangled", "none"):
+        raise ValueError(f"unknown kernel {wanted}")
+    if not enabled or wanted == "none" or (wanted == "auto" and qubits > at_most):
+        return "rbf"
+    return "fidelity" if wanted == "auto" else wanted
+
+
 def _raw(q: np.ndarray, b: np.ndarray, metric: str, reps: int, entangled: bool) -> np.ndarray:
     q, b = q.astype(np.float64), b.astype(np.float64)
     if metric == "dot":
@@ -43,6 +75,8 @@ def _raw(q: np.ndarray, b: np.ndarray, metric: str, reps: int, entangled: bool)
         return unit(q) @ unit(b).T
     if metric == "fidelity":
         return np.abs(phases(q, reps, entangled) @ phases(b, reps, entangled).conj().T) ** 2
+    if metric == "entangled":
+        return np.abs(entangled_states(q, reps, entangled) @ entangled_states(b, reps, entangled).conj().T) ** 2
     return np.sqrt(np.maximum((q * q).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * q @ b.T, 0))
 
 

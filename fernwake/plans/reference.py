@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
-import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fernwake.functions import vectors as V
 from fernwake.functions.layout import channel_of, type_of
 from fernwake.operators import contrastive, evaluation, folds, models, preparation, retrieval, sequences, significance, study
 from fernwake.session import table
-from fernwake.sources.recordings import class_balance
+from fernwake.sources.recordings import class_balance, summary
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -21,16 +21,21 @@ K, DIM = 10, 64
 COLUMNS = ["quantity", "extendedprice", "discount", "tax"]
 
 
-def query(sql: str | None = None):
+def register(queries: dict, oracles: dict, sql: str | None = None):
+    """Puts a query, and the SQL it is checked against, under its name."""
+
     def add(f: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[f.__name__] = f
+        queries[f.__name__] = f
         if sql:
-            ORACLES[f.__name__] = sql
+            oracles[f.__name__] = sql
         return f
 
     return add
 
 
+query = functools.partial(register, QUERIES, ORACLES)
+
+
 def rounded(df: DataFrame, *columns: str, places: int = 6) -> DataFrame:
     return df.withColumns({c: F.round(F.col(c), places) for c in columns})
 
@@ -187,7 +192,7 @@ def scan_class_balance(spark, sf):
 
 @query(f'WITH {L} SELECT g AS "group", count(*) AS n, sum(y)::BIGINT AS n_pos, round(100.0 * sum(y) / count(*), 6) AS percent FROM l GROUP BY g')
 def subject_summary(spark, sf):
-    return lines(spark, sf).groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("n_pos"), F.round(100.0 * F.sum("label") / F.count(F.lit(1)), 6).alias("percent"))
+    return rounded(summary(lines(spark, sf), "group"), "percent")
 
 
 @query("SELECT channel, count(*) AS n_types, count(*) FILTER (WHERE feature_type LIKE '%Power') AS n_bands, min(pos) AS first_pos FROM feature_layout GROUP BY channel")
@@ -196,14 +201,6 @@ def layout_channels(spark, sf):
     return c.groupBy("channel").agg(F.count(F.lit(1)).alias("n_types"), F.count(F.when(F.col("t").endswith("Power"), 1)).alias("n_bands"), F.min("pos").alias("first_pos"))
 
 
-@query("""SELECT o_orderstatus AS status, count(*) AS n, count(price) AS n_price, count(day) AS n_day FROM
-    (SELECT o_orderstatus, o_totalprice AS price, NULL AS day FROM orders UNION ALL SELECT o_orderstatus, NULL, o_orderdate FROM orders) GROUP BY ALL""")
-def union_by_name(spark, sf):
-    o = table(spark, sf, "orders")
-    both = o.select("o_orderstatus", F.col("o_totalprice").alias("price")).unionByName(o.select("o_orderstatus", F.col("o_orderdate").alias("day")), allowMissingColumns=True)
-    return both.groupBy(F.col("o_orderstatus").alias("status")).agg(F.count(F.lit(1)).alias("n"), F.count("price").alias("n_price"), F.count("day").alias("n_day"))
-
-
 @query(f"WITH {L}, c AS (SELECT g, count(*) AS n FROM l GROUP BY g) SELECT row_number() OVER (ORDER BY g) - 1 AS fold_index, g AS test_group, n AS n_test, (SELECT count(*) FROM l) - n AS n_train FROM c")
 def loso_fold_sizes(spark, sf):
     return folds.make_folds(lines(spark, sf))
@@ -641,16 +638,6 @@ def sampler_weights(spark, sf):
     return rounded(contrastive.sampler_weights(lines(spark, sf), 4.0), "weight", places=10)
 
 
-@query()
-def augment_views(spark, sf):
-    return contrastive.augmented(emb(spark, sf).select("id", "vec"), 2, [list(range(i, i + 8)) for i in range(0, DIM, 8)], [list(range(i, DIM, 8)) for i in range(4)])
-
-
-@query()
-def balanced_batch(spark, sf):
-    return contrastive.balanced_batch(emb(spark, sf), 512, 0.5, 11)
-
-
 # ---- sequences, events, logs ---------------------------------------------------------------------
 
 
@@ -720,38 +707,3 @@ def gbt(spark, sf):
 def grid_search(spark, sf):
     _, best, ap = models.search("logreg", _examples(spark, sf), DIM, 3)
     return spark.createDataFrame([(float(best["c"]), float(ap))], "c double, average_precision double")
-
-
-@query()
-def mlp_embed(spark, sf):
-    layers = models.random_layers([DIM, 32, 16], 1)
-    return models.embed(emb(spark, sf), DIM, lambda x: models.mlp(x, layers))
-
-
-@query()
-def cnn_embed(spark, sf):
-    rng = np.random.default_rng(2)
-    convs, head = [(rng.normal(0, 0.3, (8, 8, 3)), np.zeros(8))], models.random_layers([8, 16], 3)
-    return models.embed(emb(spark, sf), DIM, lambda x: models.cnn_encoder(x.reshape(len(x), 8, 8), convs, head))
-
-
-@query()
-def tcn_embed(spark, sf):
-    rng = np.random.default_rng(4)
-    blocks, head = [(rng.normal(0, 0.3, (8, 8, 3)), np.zeros(8)) for _ in range(2)], models.random_layers([8, 16], 5)
-    return models.embed(emb(spark, sf), DIM, lambda x: models.tcn_encoder(x.reshape(len(x), 8, 8), blocks, head))
-
-
-@query()
-def transformer_embed(spark, sf):
-    rng = np.random.default_rng(6)
-    w = [rng.normal(0, 0.3, (8, 8)) for _ in range(4)]
-    head = models.random_layers([8, 16], 7)
-    return models.embed(emb(spark, sf), DIM, lambda x: models.mlp(models.attention(x.reshape(len(x), 8, 8), *w, heads=2).mean(1), head))
-
-
-@query("SELECT 256 AS steps_per_epoch, 69 AS runs, CAST(3.68 AS DOUBLE) AS training_hours")
-def budget_plan(spark, sf):
-    report = {"seconds_per_step": 0.05, "post_training_seconds_first_fold": 10.0, "n_test_folds": 23, "seeds": 1, "losses": 3, "epochs": 15, "configured_steps_per_epoch": 256}
-    b = models.update_budget(report)
-    return spark.createDataFrame([(int(b["steps_per_epoch"]), int(b["runs"]), round(b["training_hours"], 2))], "steps_per_epoch int, runs int, training_hours double")

@@ -25,11 +25,12 @@ def score_stream(stream: DataFrame, bank: DataFrame, k: int, dim: int) -> DataFr
         raise ValueError("the bank is too large for a stream")
     b, taken = to_matrix(rows["vec"], dim)
     y = rows["label"].to_numpy()[taken].astype(float)
-    b = b / np.maximum(np.linalg.norm(b, axis=1), 1e-12)[:, None]
+    b = b.astype(np.float64) / np.maximum(np.linalg.norm(b.astype(np.float64), axis=1), 1e-12)[:, None]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             m, kept = to_matrix(batch.column(1), dim)
+            m = m.astype(np.float64)
             s = (m / np.maximum(np.linalg.norm(m, axis=1), 1e-12)[:, None]) @ b.T
             top = np.argsort(-s, axis=1, kind="stable")[:, :k]
             w = np.maximum(np.take_along_axis(s, top, 1), 0)

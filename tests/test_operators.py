@@ -6,9 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from fernwake.functions.layout import Layout, split_name
-from fernwake.operators import contrastive, evaluation, folds, models, ordering, preparation, retrieval, schema_drift, significance, spikes
+from fernwake.operators import accounting, contrastive, evaluation, folds, models, ordering, preparation, retrieval, schema_drift, sequences, significance, spikes, training
 from fernwake.operators.schema_match import Column, canonical, changes, exact_pairs, flood, group_of, same_column
-from fernwake.sources.recordings import ScanConfig, cached_recordings, discover, read_recordings, recording_of, subject_of
+from fernwake.sources import recordings
+from fernwake.sources.recordings import ScanConfig, discover, read_recordings, recording_of, subject_of
 
 COLS = "file_name string, rig string, written_at timestamp, received_at timestamp, col_pos int, field_id int, col_name string, col_type string"
 
@@ -24,14 +25,26 @@ def test_scan(spark, tmp_path):
     import pandas as pd
 
     pd.DataFrame({"windowStartSec": [0.0], "windowEndSec": [2.0], "label": [1], "A.Mean": [1.0], "AStd": [2.0]}).to_parquet(tmp_path / "chb01_01_features.parquet")
-    pd.DataFrame({"windowStartSec": [0.0], "windowEndSec": [2.0], "label": [0], "A.Mean": [3.0]}).to_parquet(tmp_path / "chb21_01_features.parquet")
-    cfg = ScanConfig(str(tmp_path))
+    pd.DataFrame({"windowStartSec": [0.0], "windowEndSec": [2.0], "label": [0], "A.Mean": [3]}).to_parquet(tmp_path / "chb21_01_features.parquet")
+    (tmp_path / "notes.parquet").write_text("no subject, never read")
+    cfg = ScanConfig(str(tmp_path), aliases={"chb21": "chb01"})
     assert len(discover(spark, cfg)) == 2
     with pytest.raises(ValueError):
         read_recordings(spark, cfg)
-    df, names = cached_recordings(spark, ScanConfig(str(tmp_path), missing="impute"))
-    rows = df.orderBy("row_idx").collect()
-    assert names == ["A.Mean", "AStd"] and [r.subject for r in rows] == ["chb01", "chb01"] and rows[1].features == [3.0, None] and [r.row_idx for r in rows] == [0, 1]
+    impute = ScanConfig(str(tmp_path), aliases={"chb21": "chb01"}, missing="impute")
+    cache = str(tmp_path / "cache")
+    df, names = recordings.cached_recordings(spark, impute, cache)
+    again, kept = recordings.cached_recordings(spark, impute, cache)
+    rows = again.orderBy("row_idx").collect()
+    assert names == kept == ["A.Mean", "AStd"] and sorted(map(str, df.collect())) == sorted(map(str, rows))
+    assert [r.subject for r in rows] == ["chb01", "chb01"] and rows[1].features == [3.0, None] and [r.row_idx for r in rows] == [0, 1]
+    pd.DataFrame({"windowStartSec": [0.0], "windowEndSec": [2.0], "label": [0], "A.Mean": [5.0], "AStd": [1.0]}).to_parquet(tmp_path / "chb02_01_features.parquet")
+    assert recordings.cached_recordings(spark, impute, cache)[0].count() == 3  # another signature
+    assert recordings.of_subjects(again, ["chb02"]).count() == 0
+    only, _ = read_recordings(spark, ScanConfig(str(tmp_path), subjects=("chb02",)))
+    assert [r.subject for r in only.collect()] == ["chb02"]
+    with pytest.raises(ValueError):
+        read_recordings(spark, ScanConfig(str(tmp_path), columns=("Other",), missing="impute"))
     with pytest.raises(FileNotFoundError):
         discover(spark, ScanConfig(str(tmp_path / "none")))
     with pytest.raises(ValueError):
@@ -39,6 +52,34 @@ def test_scan(spark, tmp_path):
     assert recording_of("chb01_01_features.parquet") == "chb01_01"
 
 
+def test_row_places_in_split_files(spark, tmp_path):
+    df = spark.range(30_000).select((F.col("id") % 3).alias("r"), F.col("id").cast("double").alias("windowStartSec"), F.lit(2.0).alias("windowEndSec"), F.lit(0).alias("label"), F.rand(1).alias("AMean")).withColumn("file", F.concat(F.lit("chb0"), F.col("r") + 1, F.lit("_01_features"))).drop("r")
+    recordings.write_recordings(df, str(tmp_path), "file", ["windowStartSec"])
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+        got, _ = read_recordings(spark, ScanConfig(str(tmp_path)))
+        assert got.where("row_idx <> (window_start - window_start % 3) / 3 + (window_start % 3) * 10000").count() == 0 and got.count() == 30_000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_tables_and_objects_come_back(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a,b", 1.5), (2, None, None)], "id int, name string, v double")
+    for kind in ("csv", "json", "parquet"):
+        recordings.write_table(df, f"{tmp_path}/t.{kind}")
+    both = recordings.read_tables(spark, [f"{tmp_path}/t.{k}" for k in ("csv", "json", "parquet")])
+    assert both.count() == 6 and both.where("name = 'a,b' and v = 1.5").count() == 3
+    with pytest.raises(ValueError):
+        recordings.write_table(df, f"{tmp_path}/t.txt")
+    recordings.save_json({"a": np.float32(1.5), "b": np.arange(3)}, f"{tmp_path}/x/o.json")
+    assert recordings.load_json(f"{tmp_path}/x/o.json") == {"a": 1.5, "b": [0, 1, 2]}
+    recordings.archive(df.withColumn("seed", F.lit(3)), f"{tmp_path}/archive", ["id", "seed"])
+    assert recordings.read_archive(spark, f"{tmp_path}/archive", id=1, seed=3).count() == 1 and recordings.read_archive(spark, f"{tmp_path}/archive", id=7).count() == 0
+    stats = recordings.flatten_stats(spark.createDataFrame([("f", {"cosine@5": 1.0, "odd": 2.0})], "fold string, s map<string,double>"), "s")
+    assert {(r.metric, r.k, r.value) for r in stats.collect()} == {("cosine", 5, 1.0), ("odd", None, 2.0)}
+
+
 def test_top_k_equals_brute_force(spark, monkeypatch):
     monkeypatch.setattr(retrieval, "QUERY_BLOCK", 3)
     monkeypatch.setattr(retrieval, "BANK_BLOCK", 6)
@@ -54,10 +95,76 @@ def test_top_k_equals_brute_force(spark, monkeypatch):
         retrieval.top_k(frame(q, 0), frame(b, 0), 3, "other", 8)
 
 
-def test_leave_self_out_with_duplicates(spark):
-    rows = spark.createDataFrame([(0, [1.0, 0.0], 0, "a"), (1, [1.0, 0.0], 1, "a"), (2, [1.0, 0.0], 1, "b"), (3, None, 1, "b")], "id long, vec array<float>, label int, group string")
+def test_a_query_never_meets_itself(spark):
+    rows = spark.createDataFrame([(10, [0.0, 2.0], 1, "a"), (11, [0.0, 4.0], 0, "a"), (12, [0.0, 8.0], 1, "b"), (13, [1.0, 0.0], 0, "b"), (14, None, 1, "b"), (None, [1.0, 1.0], 1, "b")], "id long, vec array<float>, label int, group string")
+    near = retrieval.top_k(rows, rows, 2, "cosine", 2).collect()
+    assert {r.query_id: {x.neighbour_id for x in near if x.query_id == r.query_id} for r in near} == {10: {11, 12}, 11: {10, 12}, 12: {10, 11}, 13: {10, 11}}
     got = {r.query_id: r.score for r in retrieval.vote(retrieval.top_k(rows, rows, 2, "cosine", 2), "cosine", weighted=False).collect()}
-    assert got == {0: 1.0, 1: 0.5, 2: 0.5}
+    assert got == {10: 0.5, 11: 1.0, 12: 0.5, 13: 0.5}
+    assert {r.query_id: r.score for r in retrieval.vote(retrieval.top_k(rows, rows, 2, "cosine", 2), "cosine").collect()}[13] == 0.0  # all weights are 0
+
+
+def test_folds_search_apart(spark):
+    rng = np.random.default_rng(2)
+    rows = [(f"f{i % 2}", i, [float(v) for v in rng.normal(size=3)], i % 2, "g") for i in range(40)] + [(f"f{(i + 1) % 2}", i, [float(v) for v in rng.normal(size=3)], 0, "g") for i in range(6)]
+    df = spark.createDataFrame(rows, "fold string, id long, vec array<float>, label int, group string")
+    for metric in ("euclidean", "entangled"):
+        got = retrieval.top_k(df, df, 3, metric, 3, fold="fold")
+        want = None
+        for f in ("f0", "f1"):
+            own = df.where(F.col("fold") == f)
+            part = retrieval.top_k(own, own, 3, metric, 3).withColumn("fold", F.lit(f)).select(got.columns)
+            want = part if want is None else want.unionByName(part)
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_first_by_hash(spark):
+    import hashlib
+
+    df = spark.range(3000).select("id", (F.col("id") % 3 > 0).cast("int").alias("label"))
+    got = {(r.label, r.id) for r in retrieval.first_by_hash(df, 150, "s", ["label"]).collect()}
+    key = lambda i: (hashlib.md5(f"{i}s".encode()).hexdigest(), i)
+    assert got == {(k, i) for k in (0, 1) for i in sorted((i for i in range(3000) if int(i % 3 > 0) == k), key=key)[:150]}
+    assert retrieval.first_by_hash(df, 5000, "s", ["label"]).count() == 3000 and retrieval.first_by_hash(df.limit(0), 5, "s", ["label"]).count() == 0
+
+
+def test_banks_are_capped_and_guarded(spark):
+    df = spark.range(60).select("id", F.array(F.lit(1.0)).cast("array<float>").alias("vec"), (F.col("id") % 6 == 0).cast("int").alias("label"), (F.col("id") % 4).cast("string").alias("group"))
+    banks = retrieval.build_banks(df, 12, "1")
+    for r in banks.groupBy("fold").agg(F.count(F.when(F.col("label") == 1, 1)).alias("pos"), F.count(F.when(F.col("label") == 0, 1)).alias("neg"), F.count(F.when(F.col("group") == F.col("fold"), 1)).alias("own")).collect():
+        assert r.pos == sum(1 for i in range(60) if i % 6 == 0 and str(i % 4) != r.fold) and r.neg == 12 and r.own == 0
+    retrieval.guard(banks, df)
+    with pytest.raises(ValueError):
+        retrieval.guard(banks.unionByName(df.where("id = 5").withColumn("fold", F.lit("1"))), df)
+    with pytest.raises(ValueError):
+        retrieval.guard(banks.withColumn("id", F.col("id") + 100), df)
+    assert retrieval.build_banks(df, None, "1").count() == 180
+
+
+def test_second_kernel_equals_gates():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(4, 3))
+    h = np.array([[1, 1], [1, -1]]) / np.sqrt(2)
+
+    def state(a):
+        s = np.zeros(8, complex)
+        s[0] = 1
+        for _ in range(2):
+            s = np.kron(np.kron(h, h), h) @ s
+            for i in range(3):
+                s = s * np.array([np.exp(2j * a[i]) if b >> (2 - i) & 1 else 1 for b in range(8)])
+            for i in range(3):
+                for j in range(i + 1, 3):
+                    flip = np.array([b ^ ((b >> (2 - i) & 1) << (2 - j)) for b in range(8)])
+                    s = s[flip]
+                    s = s * np.array([np.exp(2j * (np.pi - a[i]) * (np.pi - a[j])) if b >> (2 - j) & 1 else 1 for b in range(8)])
+                    s = s[flip]
+        return s
+
+    assert np.allclose(retrieval.entangled_states(x, 2), [state(a) for a in x])
+    assert retrieval.kernel_of(False) == "rbf" and retrieval.kernel_of(True) == "fidelity" and retrieval.kernel_of(True, "entangled") == "entangled" and retrieval.kernel_of(True, "none") == "rbf"
+    with pytest.raises(ValueError):
+        retrieval.kernel_of(True, "other")
 
 
 def test_guard(spark):
@@ -151,22 +258,304 @@ def test_distributions():
 
 
 def test_losses():
-    x = np.array([[[1.0, 0.0], [1.0, 0.0]], [[0.0, 1.0], [0.0, 1.0]]])
-    assert contrastive.batch_loss(x, np.array([0, 1]), "supcon") < 0.001
-    y = np.random.default_rng(1).normal(size=(3, 2, 8))
-    y /= np.linalg.norm(y, axis=2, keepdims=True)
-    assert all(np.isfinite(contrastive.batch_loss(y, np.array([0, 0, 1]), n)) for n in contrastive.LOSSES)
-    assert contrastive.batch_loss(np.ones((2, 1, 2)), np.array([0, 1]), "supcon") == 0.0
-
-
-def test_budget():
-    r = {"seconds_per_step": 0.05, "post_training_seconds_first_fold": 10.0, "n_test_folds": 23, "seeds": 1, "losses": 3, "epochs": 15, "configured_steps_per_epoch": 256}
-    b = models.update_budget(r)
-    assert (b["steps_per_epoch"], b["runs"], round(b["training_hours"], 2)) == (256, 69, 3.68)
+    far = np.eye(3)[[0, 0, 1, 1, 2, 2]].reshape(3, 2, 3)  # three rows of two equal views
+    want = math.log(math.e**10 + 4) - 10  # one positive at 1, four others at 0, temperature 0.1
+    assert contrastive.batch_loss(far, np.array([4, 5, 6]), "supcon") == pytest.approx(want) == contrastive.batch_loss(far, np.zeros(3), "simclr")
+    assert contrastive.batch_loss(far[:, :1], np.array([0, 1, 2]), "supcon") == 0.0  # no anchor has a positive
     with pytest.raises(ValueError):
-        models.update_budget({**r, "seconds_per_step": math.nan})
+        contrastive.batch_loss(far, np.zeros(3), "other")
+    x = np.random.default_rng(1).normal(size=(5, 2, 6))
+    x /= np.linalg.norm(x, axis=2, keepdims=True)
+    y = np.array([0, 0, 1, 0, 1])
+    for name in contrastive.LOSSES:
+        value, g = contrastive.loss_and_gradient(x, y, name)
+        assert np.isfinite(value) and np.isfinite(g).all()
+        if name != "focal":  # whose weights are constants of the gradient
+            step = np.zeros_like(x)
+            step[2, 1, 3] = 1e-6
+            assert g[2, 1, 3] == pytest.approx((contrastive.batch_loss(x + step, y, name) - contrastive.batch_loss(x - step, y, name)) / 2e-6, abs=1e-4)
+
+
+def test_budgets(spark):
+    names = accounting.MEASURED
+    rows = [(0.1, 20.0, 2.0, 3.0, 1.0, 10.0, 500.0), (0.1, 20.0, 2.0, 3.0, 1.0, 10.0, 5000.0), (0.1, 5000.0, 2.0, 3.0, 1.0, 10.0, 500.0), (float("nan"), 20.0, 2.0, 3.0, 1.0, 10.0, 500.0), (0.1, None, 2.0, 3.0, 1.0, 10.0, 500.0), (0.1, 0.0, 2.0, 3.0, 1.0, 10.0, 500.0)]
+    got = accounting.plan_budget(spark.createDataFrame(rows, ", ".join(f"{n} double" for n in names)), max_hours=5.0, reserve_hours=0.5, safety=1.5, least_steps=10).collect()
+    # 4.5 h / 1.5 = 10,800 s; six runs of 35 s leave 10,590 s for 60 epochs of 0.1 s a step
+    assert [(r.refusal, r.steps_per_epoch) for r in got] == [(None, 500), (None, 1765), ("too little time", None), ("incomplete", None), ("incomplete", None), ("incomplete", None)]
+    assert got[0].runs == 6 and got[0].training_hours == pytest.approx(3000 / 3600) and got[0].overhead_hours == pytest.approx(210 / 3600) and got[0].estimated_hours_with_margin == pytest.approx(1.5 * 3210 / 3600)
+    with pytest.raises(ValueError):
+        accounting.plan_budget(spark.createDataFrame(rows, ", ".join(f"{n} double" for n in names)), max_hours=1.0, reserve_hours=1.0)
+
+
+def test_stages_are_measured(spark):
+    t = accounting.Tracker()
+    with t.stage("fit", "a", "f1", 3):
+        pass
+    with pytest.raises(KeyError), t.stage("broken"):
+        raise KeyError
+    got = t.table(spark).collect()
+    assert [(r.stage, r.fold, r.seed) for r in got] == [("fit", "f1", 3), ("broken", "", 0)] and all(r.seconds >= 0 and r.peak_mb > 0 for r in got)
+    assert accounting.git_revision("none", "/") == "none"
+
+
+def test_views(spark):
+    layout = Layout([f"{c}{t}" for c in ("A", "B", "C", "D", "E") for t in ("Mean", "AlphaPower", "BetaPower")])
+    always = dict(noise_chance=0.0, scale_chance=0.0, channels_chance=0.0, bands_chance=0.0, span_chance=0.0)
+    rows = spark.range(400).select("id", F.array(*[F.lit(1.0)] * 30).alias("vec"))
+    run = lambda **k: np.array([r.vec for r in contrastive.augmented(rows, layout, contrastive.Views(**{**always, **k}), steps=2).orderBy("id", "view").collect()]).reshape(800, 2, 5, 3)
+    assert (run() == 1).all()
+    c = run(channels_chance=1.0, channels=3)
+    gone = (c == 0).all((1, 3)).sum(1)  # whole channels, the same in all steps
+    assert set(gone) == {1, 2, 3} and ((c == 0).sum((1, 2, 3)) == gone * 6).all()
+    b = run(bands_chance=0.5)
+    hit = (b == 0).all((1, 2)).sum(1)
+    assert set(hit) == {0, 1} and 0.4 < hit.mean() < 0.6 and (b[..., 0] == 1).all()
+    t = run(span_chance=1.0, span=0.5)
+    assert ((t == 0).all((2, 3)).sum(1) == 1).all()
+    s = run(scale_chance=0.5, scale=0.2)
+    assert 0.4 < (s[:, 0, 0, 0] != 1).mean() < 0.6 and 0.8 <= s.min() and s.max() <= 1.2 and (s.reshape(800, -1).std(1) < 1e-12).all()
+    n = run(noise_chance=1.0, noise=0.1) - 1
+    assert abs(n.mean()) < 0.005 and abs(n.std() - 0.1) < 0.005
+    again = np.array([r.vec for r in contrastive.augmented(rows.repartition(7), layout, contrastive.Views(), seed=5).orderBy("id", "view").collect()])
+    assert (again == np.array([r.vec for r in contrastive.augmented(rows, layout, contrastive.Views(), seed=5).orderBy("id", "view").collect()])).all()
+    m = contrastive.augment_matrix(np.ones((500, 15)), contrastive.Views(**{**always, "channels_chance": 1.0, "channels": 2}), layout, np.random.default_rng(0)).reshape(500, 5, 3)
+    assert set((m == 0).all(2).sum(1)) == {1, 2}
+    with pytest.raises(ValueError):
+        contrastive.Views(n=1)
+
+
+def test_balanced_batches(spark):
+    rows = spark.range(300).select("id", (F.col("id") == 7).cast("int").alias("label")).unionByName(spark.createDataFrame([(None, 1), (900, None)], "id long, label int"))
+    got = contrastive.balanced_batch(rows, 1000, 0.5, 3).collect()
+    assert sorted(r.draw for r in got) == list(range(1000)) and 0.45 < np.mean([r.label for r in got]) < 0.55
+    assert {r.id for r in got if r.label == 1} == {7} and len({r.id for r in got}) > 200
+    assert sorted(map(str, got)) == sorted(map(str, contrastive.balanced_batch(rows.repartition(5), 1000, 0.5, 3).collect()))
+    with pytest.raises(ValueError):
+        contrastive.balanced_batch(rows.where("label = 0"), 5, 0.5, 3)
+
+
+LAYOUT = Layout([f"{c}{t}" for t in ("Mean", "Std") for c in ("A", "B", "C")])  # types first, so that channels are gathered
+
+
+def test_encoders_by_hand():
+    from fernwake.operators import encoders as en
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(3, 4, 6))
+    s = en.Shape("cnn1d", embedding=8, channels=(5,), heads=2, blocks=1, projection=4, steps=4)
+    w = en.new_weights(s, LAYOUT, 2)
+    w["norm0.mean"], w["norm0.var"], w["norm0.gain"], w["norm0.shift"] = rng.normal(size=5), rng.uniform(0.5, 2, 5), rng.normal(size=5), rng.normal(size=5)
+
+    def cnn(row):
+        grid = np.array([[row[0], row[1], row[2]], [row[3], row[4], row[5]]])  # types x channels
+        h = np.zeros((5, 3))
+        for o in range(5):
+            for at in range(3):
+                z = w["conv0.b"][o] + sum(w["conv0.w"][o, t, k] * grid[t, at + k - 1] for t in range(2) for k in range(3) if 0 <= at + k - 1 < 3)
+                h[o, at] = max(0, (z - w["norm0.mean"][o]) / np.sqrt(w["norm0.var"][o] + 1e-5) * w["norm0.gain"][o] + w["norm0.shift"][o])
+        return h.mean(1) @ w["out.w"] + w["out.b"]
+
+    assert np.allclose(en.encode(x[:, 0], w, s, LAYOUT), [cnn(r) for r in x[:, 0]]) and np.allclose(en.encode(x, w, s, LAYOUT), [np.mean([cnn(r) for r in q], 0) for q in x])
+    odd = Layout(["AMean", "AStd", "BMean"])
+    assert not odd.regular and en.encode(x[:, 0, :3], en.new_weights(s, odd, 1), s, odd).shape == (3, 8)
+
+    s = en.Shape("tcn", embedding=3, channels=(4, 4), steps=4)
+    w = en.new_weights(s, LAYOUT, 3)
+
+    def causal(h, at, dilation):
+        k = w[f"{at}.w"]
+        return np.array([w[f"{at}.b"] + sum(k[:, :, j] @ h[t - (k.shape[2] - 1 - j) * dilation] for j in range(k.shape[2]) if t - (k.shape[2] - 1 - j) * dilation >= 0) for t in range(len(h))])
+
+    def tcn(h):
+        for i in range(2):
+            y = np.maximum(causal(np.maximum(causal(h, f"block{i}.first", 2**i), 0), f"block{i}.second", 2**i), 0)
+            h = np.maximum(y + (causal(h, f"block{i}.skip", 1) if i == 0 else h), 0)
+        return h.mean(0) @ w["out.w"] + w["out.b"]
+
+    assert np.allclose(en.encode(x, w, s, LAYOUT), [tcn(q) for q in x])
+
+    s = en.Shape("cnn1d_transformer", embedding=4, channels=(3,), heads=2, blocks=1, steps=2)
+    w = en.new_weights(s, LAYOUT, 5)
+    w["token"] = rng.normal(size=(1, 1, 4))
+    stem = en.encode(x[:, :2].reshape(-1, 6), w, en.Shape("cnn1d", embedding=4, channels=(3,)), LAYOUT).reshape(3, 2, 4)
+    ln = lambda v, at: (v - v.mean()) / np.sqrt(v.var() + 1e-5) * w[f"{at}.gain"] + w[f"{at}.shift"]
+    for row in range(3):
+        h = np.concatenate([w["token"][0], stem[row]])
+        q, k, v = (h @ w[f"layer0.{c}.w"] + w[f"layer0.{c}.b"] for c in "qkv")
+        parts = []
+        for a in (slice(0, 2), slice(2, 4)):
+            e = np.exp(q[0, a] @ k[:, a].T / np.sqrt(2))
+            parts.append(e / e.sum() @ v[:, a])
+        first = ln(h[0] + np.concatenate(parts) @ w["layer0.o.w"] + w["layer0.o.b"], "layer0.norm0")
+        up = np.maximum(first @ w["layer0.up.w"] + w["layer0.up.b"], 0)
+        assert np.allclose(en.encode(x[:, :2], w, s, LAYOUT)[row], ln(first + up @ w["layer0.down.w"] + w["layer0.down.b"], "layer0.norm1"))
+    p = en.project(x[:, :2], w, s, LAYOUT)
+    assert p.shape == (3, 64) and np.allclose(np.linalg.norm(p, axis=1), 1)
+    with pytest.raises(ValueError):
+        en.Shape("other")
+
+
+def test_sizes_and_costs():
+    from fernwake.operators import encoders as en
+
+    s = en.Shape("mlp", embedding=4, hidden=(5,), projection=2, projection_hidden=3)
+    w = en.new_weights(s, LAYOUT, 1)
+    assert en.count_parameters(w)[0] == 6 * 5 + 5 + 5 + 5 + 5 * 4 + 4 + 4 * 3 + 3 + 3 * 2 + 2
+    assert en.flops(w, s, LAYOUT) == 2 * (6 * 5 + 5 * 4)
+    s = en.Shape("cnn1d", embedding=4, channels=(5,), steps=2)
+    assert en.flops(en.new_weights(s, LAYOUT, 1), s, LAYOUT) == 2 * (2 * 5 * 3 * 3 * 2 + 5 * 4 * 2)
+
+
+def test_embeddings_of_unusable_rows(spark):
+    from fernwake.operators import encoders as en
+
+    s = en.Shape("mlp", embedding=4, hidden=(5,))
+    rows = spark.createDataFrame([(1, [1.0] * 6), (2, [float("nan")] * 6), (3, None), (4, [1.0])], "id long, vec array<float>").withColumn("embedding", F.lit(1))
+    got = {r.id: r.embedding for r in en.embed(rows, en.new_weights(s, LAYOUT, 1), s, LAYOUT).collect()}
+    assert sorted(got) == [1, 2] and all(np.linalg.norm(v) == pytest.approx(1, abs=1e-5) for v in got.values())
+    assert en.embed(rows.limit(0), en.new_weights(s, LAYOUT, 1), s, LAYOUT).count() == 0
+
+
+def test_gradients_of_training():
+    from fernwake.operators import encoders as en
+
+    rng = np.random.default_rng(6)
+    s = en.Shape("mlp", embedding=4, hidden=(7, 5), projection=3, projection_hidden=6)
+    w = en.new_weights(s, LAYOUT, 2)
+    x, y = rng.normal(size=(12, 6)), np.array([0, 1, 0, 1, 1, 0])
+    _, g, _ = training.forward_backward(x, y, 2, w, s, "supcon")
+    for k, d in g.items():
+        at = tuple(rng.integers(0, n) for n in d.shape)
+        values = []
+        for step in (1e-5, -1e-5):
+            moved = {**w, k: w[k].copy()}
+            moved[k][at] += step
+            values.append(training.forward_backward(x, y, 2, moved, s, "supcon")[0])
+        assert d[at] == pytest.approx((values[0] - values[1]) / 2e-5, abs=1e-5), k
+
+
+def test_training_learns_and_goes_on_where_it_stopped(spark, tmp_path):
+    from fernwake.operators import encoders as en
+
+    rng = np.random.default_rng(9)
+    y = (np.arange(240) % 4 == 0).astype(int)
+    x = rng.normal(size=(240, 6)) + 1.5 * y[:, None]
+    s = en.Shape("mlp", embedding=4, hidden=(16,), projection=4, projection_hidden=8)
+    for optimizer, schedule in (("adamw", "cosine"), ("sgd", "step"), ("adam", "none")):
+        t = training.Training(loss="supcon", epochs=6, batch=64, steps=6, rate=0.01, optimizer=optimizer, schedule=schedule)
+        w, losses = training.train(x, y, LAYOUT, s, t)
+        at = f"{tmp_path}/{optimizer}/c"
+        training.train(x, y, LAYOUT, s, t, checkpoint=at, stop_after=3)
+        again, same = training.train(x, y, LAYOUT, s, t, checkpoint=at)
+        assert losses[-1] < losses[0] and same == losses and all(np.array_equal(w[k], again[k]) for k in w)
+        with pytest.raises(ValueError):
+            training.train(x + 1, y, LAYOUT, s, t, checkpoint=at)
+    df = spark.createDataFrame([(i, int(b), a.tolist()) for i, (a, b) in enumerate(zip(x, y))] + [(900, 1, None), (901, None, [0.0] * 6), (902, 1, [float("nan")] * 6)], "id long, label int, vec array<double>")
+    assert len(training.train_on(df, LAYOUT, s, training.Training(epochs=2, batch=32))[1]) == 2
+    with pytest.raises(ValueError):
+        training.train(x, np.zeros(240), LAYOUT, s)
+    with pytest.raises(ValueError):
+        training.Training(optimizer="other")
+
+
+def test_signal_features(spark):
+    t = np.arange(0, 6, 1 / 128)
+    rows = [("s", float(a), float(3 * np.sin(2 * np.pi * 10 * a) + 5)) for a in t] + [("flat", float(a), 2.0) for a in t[:256]] + [("s", None, 1.0), ("s", 1.0, float("nan")), ("s", 1.0, None)]
+    got = sequences.signal_features(spark.createDataFrame(rows, "k string, t double, v double"), "k", "t", "v", 2.0, 1.0, 128.0).collect()
+    inside = next(r for r in got if r.k == "s" and r.window_start == 2.0)
+    assert inside.n == 256 and inside.mean == pytest.approx(5) and inside.variance == pytest.approx(4.5) and inside.alpha_power == pytest.approx(4.5, rel=0.01) and inside.theta_power < 0.1 and 4 < inside.entropy < 6
+    flat = next(r for r in got if r.k == "flat" and r.window_start == 0.0)
+    assert flat.entropy == 0 and flat.std == 0 and flat.alpha_power == 0
+    assert {r.window_start for r in got if r.k == "s"} == set(map(float, range(-1, 6)))
+
+
+def test_streams(spark, tmp_path):
+    from fernwake.streaming import scoring
+
+    bank = spark.createDataFrame([([1.0, 0.0], 1), ([0.0, 1.0], 0), (None, 1)], "vec array<float>, label int")
+    spark.createDataFrame([(1, [2.0, 0.1]), (2, [0.1, 1.0]), (3, None)], "id long, vec array<float>").write.parquet(f"{tmp_path}/in/a.parquet")
+    stream = spark.readStream.schema("id long, vec array<float>").parquet(f"{tmp_path}/in/a.parquet")
+    run = lambda df, name: df.writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/{name}-state").trigger(availableNow=True).start(f"{tmp_path}/{name}").awaitTermination()
+    run(scoring.score_stream(stream, bank, 1, 2), "scores")
+    assert {(r.id, round(r.score, 6)) for r in spark.read.parquet(f"{tmp_path}/scores").collect()} == {(1, 1.0), (2, 0.0)}
+    with pytest.raises(ValueError):
+        scoring.score_stream(stream, spark.range(10).select(F.array(*[F.lit(1.0)] * 2).alias("vec"), F.lit(1).alias("label")), 1, scoring.MOST_BANK)
+    rows = "id long, k string, ts timestamp, v double"
+    for i, (ts, v) in enumerate((("2024-01-01 00:00:00", 1.0), ("2024-01-01 00:10:00", 3.0), ("2024-01-01 00:00:01", 99.0))):  # the last one is late
+        spark.createDataFrame([(i, "a", __import__("datetime").datetime.fromisoformat(ts), v)], rows).coalesce(1).write.mode("append").parquet(f"{tmp_path}/events")
+        run(scoring.window_stream(spark.readStream.schema(rows).parquet(f"{tmp_path}/events"), "k", "ts", "v"), "windows")
+    got = {(str(r.window_start), r.n, r.mean) for r in spark.read.parquet(f"{tmp_path}/windows").collect()}
+    assert got == {("2023-12-31 23:59:59", 1, 1.0), ("2024-01-01 00:00:00", 1, 1.0)}
+
+
+def test_settings(tmp_path):
+    from fernwake import settings
+
+    e = settings.load(None, ["study.cap=100", "study.ks=[2,4]", "study.decision_k=4", "training.optimizer=sgd", "scan.folder=/data", "name=first", "name=second"])
+    assert e.study.cap == 100 and e.study.ks == (2, 4) and e.training.optimizer == "sgd" and e.scan.folder == "/data" and e.name == "second" and e.encoder == settings.Experiment().encoder
+    settings.dump(e, f"{tmp_path}/e.json")
+    assert settings.load(f"{tmp_path}/e.json") == e
+    (tmp_path / "e.yaml").write_text("training:\n  epochs: 3\n")
+    assert settings.load(f"{tmp_path}/e.yaml", ["seed=4"], e).training.epochs == 3
+    for bad in ("study.other=1", "study=1", "training.batch=1", "novalue", "name.x=1"):
+        with pytest.raises(ValueError):
+            settings.load(None, [bad])
+
+
+def test_rank_tests(spark):
+    rng = np.random.default_rng(3)
+    rows = [(b, m, float(k + 0.1 * rng.normal())) for b in range(12) for k, m in enumerate("abc")]
+    m = significance.matched(spark.createDataFrame(rows, "block int, model string, value double"), "block", "model", "value")
+    got = significance.protocol(m).collect()
+    assert [r.test for r in got] == ["friedman", "nemenyi", "nemenyi", "nemenyi"] and got[0].statistic == pytest.approx(24) and got[0].p == pytest.approx(math.exp(-12)) and got[0].effect == pytest.approx(1)
+    far = next(r for r in got if (r.a, r.b) == ("a", "c"))
+    assert far.effect == pytest.approx(2) and far.p < 0.001 and far.high == pytest.approx(3.314 / math.sqrt(2) * math.sqrt(12 / 72), abs=2e-3)
+    two = significance.protocol(m.where("model <> 'c'")).collect()
+    assert len(two) == 1 and two[0].test == "wilcoxon" and two[0].statistic == pytest.approx(-(78 / 2) / math.sqrt(12 * 13 * 25 / 24)) and two[0].low <= -0.9 and two[0].high >= -1.1
+    assert two[0].p == pytest.approx(2 * significance.normal_sf(abs(two[0].statistic)))
+    assert significance.protocol(m.where("model = 'a'")).first().note == "1 model" and significance.protocol(m.limit(0)).first().note == "0 model"
+    same = spark.createDataFrame([(b, x, 1.0) for b in range(5) for x in "ab"], "block int, model string, value double")
+    w = significance.wilcoxon(same, "a", "b").first()
+    assert (w.p, w.z, w.effect, w.n) == (1.0, 0.0, 0.0, 0)
+    assert significance.friedman(spark.createDataFrame([(b, x, 1.0) for b in range(5) for x in "abc"], "block int, model string, value double")).first().chi2 is None
+    p = significance.paired(m, "a", "b", "less", 200).first()
+    assert p.mean_a < p.mean_b and p.p < 0.01 and p.low <= p.mean_difference <= p.high
     with pytest.raises(ValueError):
-        models.update_budget({**r, "post_training_seconds_first_fold": 1e5})
+        significance.wilcoxon(m, "a", "b", "other")
+
+
+def test_panel_and_summary(spark):
+    rows = [("k", "a", 1, 0.9), ("k", "a", 0, 0.8), ("k", "a", 1, 0.3), ("k", "a", 0, 0.1), ("k", "b", 0, 0.7), ("k", "b", 0, 0.2)]
+    df = spark.createDataFrame(rows, "head string, fold string, y int, score double").withColumn("threshold", F.lit(0.5))
+    p = {r.fold: r for r in evaluation.metric_panel(df, ["head", "fold"], 1800.0).collect()}
+    a, b = p["a"], p["b"]
+    assert (a.n, a.n_pos, a.sensitivity, a.precision_seizure, a.f1_macro, a.specificity, a.fp_per_hour, a.accuracy) == (4, 2, 0.5, 0.5, 0.5, 0.5, 0.5, 0.5)
+    assert a.auc_pr == pytest.approx(0.5 + 0.5 * 2 / 3) and a.roc_auc == pytest.approx(0.75)
+    assert b.auc_pr is None and b.roc_auc is None and b.balanced_accuracy == 0.5 and b.sensitivity == 0
+    s = {r.key: r for r in evaluation.summarize(evaluation.metric_panel(df, ["head", "fold"]), ["head"]).withColumn("text", evaluation.as_text(F.col("mean"), F.col("std"), 2)).collect()}
+    assert s["specificity"].n == 2 and s["auc_pr"].n == 1 and s["auc_pr"].std == 0 and s["specificity"].text == "0.50 +/- 0.00"
+    none = evaluation.summarize(evaluation.metric_panel(df.where("fold = 'b'"), ["head", "fold"]), ["head"]).where("key = 'roc_auc'").select("n", evaluation.as_text(F.col("mean"), F.col("std")).alias("t")).first()
+    assert (none.n, none.t) == (0, "n/a")
+
+
+def test_curves_over_many_ranges(spark):
+    rng = np.random.default_rng(5)
+    y, s = rng.integers(0, 2, 700), np.round(rng.random(700), 2)
+    df = spark.createDataFrame([("a" if i % 3 else "b", int(a), float(b)) for i, (a, b) in enumerate(zip(y, s))], "g string, y int, score double")
+    got = {r.g: r for r in evaluation.curve_areas(df, ["g"]).collect()}
+    for g in "ab":
+        at = np.array([("a" if i % 3 else "b") == g for i in range(700)])
+        yy, ss = y[at], s[at]
+        auc = np.mean([(p > n) + (p == n) / 2 for p in ss[yy == 1] for n in ss[yy == 0]])
+        ap = sum(((yy == 1) & (ss == t)).sum() / yy.sum() * yy[ss >= t].mean() for t in np.unique(ss))
+        assert got[g].roc_auc == pytest.approx(auc) and got[g].average_precision == pytest.approx(ap)
+
+
+def test_overlap_counts_lacking_queries(spark):
+    schema = "query_id long, neighbour_id long"
+    a, b = spark.createDataFrame([(1, 5), (1, 6), (2, 7)], schema), spark.createDataFrame([(1, 6), (1, 8), (3, 7)], schema)
+    r = retrieval.neighbour_overlap(a, b).first()
+    assert r.n_queries == 3 and r.overlap == pytest.approx((1 / 3) / 3)
 
 
 def test_held_out_scores_every_group(spark):

@@ -3,14 +3,14 @@ import os
 import pytest
 from oracle import SMALL, same
 
-from fernwake.plans import reference, training_data
+from fernwake.plans import pipelines, reference, training_data
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SMALL), reason="no test tables")
 
 
-@pytest.mark.parametrize("name", [*reference.ORACLES, *training_data.ORACLES])
+@pytest.mark.parametrize("name", [*reference.ORACLES, *pipelines.ORACLES, *training_data.ORACLES])
 def test_against_sql(spark, name):
-    module = reference if name in reference.ORACLES else training_data
+    module = next(m for m in (reference, pipelines, training_data) if name in m.ORACLES)
     same(spark, module.QUERIES[name], module.ORACLES[name])
 
 
