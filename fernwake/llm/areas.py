@@ -20,7 +20,7 @@ MOST_LABELLED = 20_000  # documents that the classifier is fitted on
 SHARDS = 12  # parts of the training sample; fixed, so that the fit doesn't depend on the cluster
 ROUNDS, RATE = 40, 0.1
 WARM = 0.4  # of the rounds, before sentences are told apart in a document
-CLEAR, SURE, LEAST_SENTENCES = 0.5, 0.4, 3  # probabilities in training and scoring; sentences a document
+CLEAR, SURE, LEAST_SENTENCES = 0.5, 0.3, 3  # probabilities in training and scoring; sentences a document
 MOST_KNOWN = 200_000  # words that a worker keeps
 MOST_AREAS = 4096
 SCORED = 8_000_000  # words x areas that are scored at a time
