@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from fernwake.functions.vectors import finite
 from fernwake.operators.ordering import range_parts, running_sums
-from fernwake.session import Scratch
+from fernwake.session import Scratch, broadcast_if
+
+MOST_GROUPS = 100_000  # groups whose spans may be broadcast
 
 # The metrics of a scored fold, in their order.
 METRIC_KEYS = ("auc_pr", "sensitivity", "precision_seizure", "f1_seizure", "f1_nonseizure", "f1_macro", "specificity", "fp_per_hour", "balanced_accuracy", "accuracy", "roc_auc", "n", "n_pos", "threshold")
@@ -119,7 +121,7 @@ def tune_threshold(scored: DataFrame, criterion: str, by: list[str], target: flo
     span = c.groupBy(*by).agg(F.min("score").alias("lo"), F.max("score").alias("hi"), F.sum("pos").alias("p"), F.sum("neg").alias("n"))
     point = lambda i: F.col("lo") + i * ((F.col("hi") - F.col("lo")) / (grid - 1))
     cell = F.when(F.col("hi") > F.col("lo"), F.floor((F.col("score") - F.col("lo")) / ((F.col("hi") - F.col("lo")) / (grid - 1)))).otherwise(F.lit(0)).cast("int")
-    j = c.join(span, by) if by else c.crossJoin(F.broadcast(span))
+    j = c.join(broadcast_if(span, MOST_GROUPS), by) if by else c.crossJoin(F.broadcast(span))
     j = j.withColumn("i", F.least(cell, F.lit(grid - 1)))
     # the last grid point not above the score, whatever the division's rounding
     j = j.withColumn("i", F.when(point(F.col("i") + 1) <= F.col("score"), F.least(F.col("i") + 1, F.lit(grid - 1))).when(point(F.col("i")) > F.col("score"), F.col("i") - 1).otherwise(F.col("i")))

@@ -19,7 +19,7 @@ from fernwake.functions.arrays import from_matrix, to_matrix
 from fernwake.operators.evaluation import average_precision
 
 AT_ONCE = 2  # folds fitted at a time
-GRIDS = {"logreg": {"c": [0.01, 0.1, 1.0, 10.0]}, "svm_rbf": {"c": [0.1, 1.0, 10.0, 100.0], "gamma": [0.001, 0.01, 0.1, 1.0]}, "random_forest": {}, "gbt": {}}
+GRIDS = {"logreg": {"c": [0.01, 0.1, 1.0, 10.0]}, "svm_rbf": {"c": [0.1, 1.0, 10.0, 100.0], "gamma": ["scale", 0.001, 0.01, 0.1], "balanced": [True, False]}, "random_forest": {}, "gbt": {}}
 
 
 def balanced(rows: DataFrame) -> tuple[DataFrame, int]:
@@ -49,6 +49,12 @@ def fourier(rows: DataFrame, dim: int, gamma: float, features: int = 256, seed:
     return rows.select(*rest, F.col("x").cast("array<float>")).mapInArrow(run, f"{fields}, x array<double>")
 
 
+def scale_gamma(rows: DataFrame, dim: int) -> float:
+    """1 / (dim * variance of all entries), 1 where they don't vary."""
+    v = rows.select(F.explode("x").alias("v")).agg(F.var_pop("v")).first()[0]
+    return 1 / (dim * v) if v else 1.0
+
+
 class Classifier:
     """fit on (x, y), then ``score``: the rows with ``score``, the chance of class 1 (a margin's logistic for the SVM)."""
 
@@ -59,11 +65,15 @@ class Classifier:
 
     def _features(self, rows: DataFrame) -> DataFrame:
         if self.name == "svm_rbf":
-            rows = fourier(rows, self.dim, self.params.get("gamma", 1 / self.dim))
+            if self.params.get("gamma", "scale") == "scale":
+                self.params["gamma"] = scale_gamma(rows, self.dim)  # of the rows that are fitted first
+            rows = fourier(rows, self.dim, self.params["gamma"])
         return rows.withColumn("features", array_to_vector(F.col("x").cast("array<double>")))
 
     def fit(self, rows: DataFrame) -> Classifier:
         data, n = balanced(self._features(rows))
+        if not self.params.get("balanced", True):
+            data = data.withColumn("weight", F.lit(1.0))
         c = self.params.get("c", 1.0)
         common = {"featuresCol": "features", "labelCol": "y", "weightCol": "weight"}
         weight = max(1.0, n)
@@ -152,26 +162,33 @@ def group_folds(rows: DataFrame, n: int) -> dict[str, int]:
 def search(name: str, rows: DataFrame, dim: int, folds: int = 3, grid: dict | None = None) -> tuple[Classifier, dict, float]:
     """The grid's first best setting by mean average precision over group-wise folds, fitted on all rows.
 
-    Folds with one class are skipped; a grid of one setting is not searched.
+    Folds whose training or test rows have one class are skipped; a grid of one setting is not
+    searched. Fits run ``AT_ONCE`` at a time; the driver holds a number a setting and fold.
     """
     settings = [dict(zip(g, v)) for g in [grid if grid is not None else GRIDS[name]] for v in product(*g.values())]
     best, best_ap = settings[0], float("nan")
     if len(settings) > 1:
-        fold = group_folds(rows, folds)
-        pairs = rows.sparkSession.createDataFrame(list(fold.items()), "group string, fold int")
-        marked = rows.join(F.broadcast(pairs), "group").cache()
-        for s in settings:
-            aps = []
-            for f in range(folds):
-                train, test = marked.where(F.col("fold") != f), marked.where(F.col("fold") == f)
-                if train.select("y").distinct().count() < 2:
-                    continue
-                scored = Classifier(name, dim, **s).fit(train).score(test)
-                ap = average_precision(scored, []).first()
-                if ap and ap[0] is not None:
-                    aps.append(ap[0])
-            mean = float(np.mean(aps)) if aps else float("nan")
+        spark, fold = rows.sparkSession, group_folds(rows, folds)
+        pairs = spark.createDataFrame(list(fold.items()), "group string, fold int")
+        marked = rows.join(F.broadcast(pairs), "group").cache()  # one row a group
+        have = {(r["fold"], r["y"]) for r in marked.where("y is not null").select("fold", "y").distinct().collect()}
+        usable = [f for f in range(folds) if len({y for g, y in have if g != f}) > 1 and len({y for g, y in have if g == f}) > 1]
+
+        def precision(job: tuple[int, int]) -> float | None:
+            i, f = job
+            scored = Classifier(name, dim, **settings[i]).fit(marked.where(F.col("fold") != f)).score(marked.where(F.col("fold") == f))
+            found = average_precision(scored.select("y", "score"), []).first()
+            return found[0] if found else None
+
+        jobs = [(i, f) for i in range(len(settings)) for f in usable]
+        try:
+            with ThreadPool(AT_ONCE) as pool:
+                got = pool.map(inheritable_thread_target(spark)(precision), jobs, 1)
+        finally:
+            marked.unpersist()
+        for i, s in enumerate(settings):
+            own = [v for (j, _), v in zip(jobs, got) if j == i and v is not None]
+            mean = float(np.mean(own)) if own else float("nan")
             if mean > best_ap or math.isnan(best_ap) and not math.isnan(mean):
                 best, best_ap = s, mean
-        marked.unpersist()
     return Classifier(name, dim, **best).fit(rows), best, best_ap

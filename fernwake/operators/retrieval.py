@@ -3,17 +3,21 @@
 from __future__ import annotations
 
 import itertools
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fernwake.functions.arrays import to_matrix
 from fernwake.functions.vectors import EPS, similarity
 from fernwake.operators.folds import fold_leakage, make_folds
+from fernwake.session import partitions
 
 QUERY_BLOCK, BANK_BLOCK = 4096, 16_384
+MOST_BANK = 4_000_000  # numbers of a bank that may stand on every worker (16 MB)
 LEAST_PAIRS = 250_000  # pairs of rows that are worth a task of their own
 METRICS = ("cosine", "euclidean", "fidelity", "entangled", "dot")
 PLACES = 9  # scores are ranked at this precision, so that the order of summation can't flip ties
@@ -102,7 +106,7 @@ def blocks_of(nq: int, nb: int, tasks: int) -> tuple[int, int]:
     return max(q, min(-(-worth // b), nq)), b
 
 
-def top_k(queries: DataFrame, bank: DataFrame, k: int, metric: str, dim: int, other_groups: bool = False, other_rows: bool = True, fold: str | None = None, reps: int = 2, entangled: bool = True) -> DataFrame:
+def top_k(queries: DataFrame, bank: DataFrame, k: int, metric: str, dim: int, other_groups: bool = False, other_rows: bool = True, fold: str | None = None, reps: int = 2, entangled: bool = True, strategy: str = "auto") -> DataFrame:
     """The ``k`` best bank rows of each query: query_id, rank, neighbour_id, raw, n_label, n_group, label, group.
 
     Both sides have id, vec, label, group. ``other_groups`` leaves out bank rows of the query's
@@ -111,23 +115,28 @@ def top_k(queries: DataFrame, bank: DataFrame, k: int, metric: str, dim: int, ot
     ``raw`` is the cosine, dot product or fidelity (largest first) or the Euclidean distance
     (smallest first), ranked at nine places, ties by the smaller id.
 
-    All pairs of blocks of queries and blocks of the bank are ranked each in one task, and the
-    blocks' k best are merged; a pair of rows is never a row of a table. Rows without id, or whose
+    ``strategy`` blocked ranks all pairs of blocks of queries and blocks of the bank each in one
+    task, and merges the blocks' k best; broadcast sends the bank to the workers, over which
+    the queries are spread once, and refuses one of more than ``MOST_BANK`` numbers; auto broadcasts a bank up to
+    that size. The results are the same, and a pair of rows is never a row of a table. Rows without id, or whose
     vector is null, of another length or not finite, are left out. Fewer than k candidates give
     fewer rows.
     """
     if metric not in METRICS:
         raise ValueError(f"unknown metric {metric}")
+    if strategy not in ("auto", "broadcast", "blocked"):
+        raise ValueError(f"unknown strategy {strategy}")
     spark = queries.sparkSession
     in_fold = F.col(fold).cast("string") if fold else F.lit("")
-    sizes = lambda df: df.groupBy(in_fold.alias("f")).agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.max("n"), F.lit(0)), F.count(F.lit(1))).first()
-    (nq, folds), (nb, _) = sizes(queries), sizes(bank)
-    q_blocks, b_blocks = blocks_of(nq, nb, -(-spark.sparkContext.defaultParallelism // max(folds, 1)))
     cols = [in_fold.alias("fold"), F.col("id").cast("long").alias("id"), F.col("vec").cast("array<float>").alias("vec"), F.col("label").cast("int").alias("label"), F.col("group").cast("string").alias("group")]
-    block = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    q = queries.select(*cols).withColumn("qb", block(q_blocks)).withColumn("bb", every(b_blocks))
-    b = bank.select(*cols).withColumn("bb", block(b_blocks)).withColumn("qb", every(q_blocks))
+    q, b = queries.select(*cols), bank.select(*cols)
+    whole = None
+    if strategy != "blocked":
+        whole = b.limit(MOST_BANK // dim + 1).toArrow()  # a bounded number of rows
+        if whole.num_rows * dim > MOST_BANK:
+            if strategy == "broadcast":
+                raise ValueError(f"the bank has more than {MOST_BANK} numbers")
+            whole = None
 
     def rank(left: pa.Table, right: pa.Table) -> pa.Table:
         sides = []
@@ -160,13 +169,44 @@ def top_k(queries: DataFrame, bank: DataFrame, k: int, metric: str, dim: int, ot
         return pa.table([pick(lt, "fold", a), pick(lt, "id", a), pick(lt, "label", a), pick(lt, "group", a), pick(rt, "id", c), pick(rt, "label", c), pick(rt, "group", c), pa.array(np.concatenate(out_s))], ["fold", "query_id", "label", "group", "neighbour_id", "n_label", "n_group", "raw"])
 
     schema = "fold string, query_id long, label int, group string, neighbour_id long, n_label int, n_group string, raw double"
-    pairs = q.groupBy("fold", "qb", "bb").cogroup(b.groupBy("fold", "qb", "bb")).applyInArrow(rank, schema)
-    order = F.asc("raw") if metric == "euclidean" else F.desc("raw")
-    best = Window.partitionBy("fold", "query_id").orderBy(order, "neighbour_id")
-    out = pairs.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    if whole is not None:
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, whole.schema) as w:
+            w.write_table(whole)
+        shared = spark.sparkContext.broadcast(sink.getvalue().to_pybytes())
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            bank = pa.ipc.open_stream(shared.value).read_all()
+            parts = {f: bank.filter(pc.equal(bank["fold"], f)) if f is not None else bank.slice(0, 0) for f in pc.unique(bank["fold"]).to_pylist()}
+            for batch in batches:
+                table = pa.Table.from_batches([batch])
+                for f in pc.unique(table["fold"]).to_pylist():
+                    if f in parts:
+                        got = rank(table.filter(pc.equal(table["fold"], f)), parts[f])
+                        yield from got.append_column("rank", pa.array(_places(got["query_id"].to_numpy()), pa.int32())).combine_chunks().to_batches()
+
+        out = q.repartition(partitions(spark)).mapInArrow(run, f"{schema}, rank int")
+    else:
+        sizes = lambda df: df.groupBy("fold").agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.max("n"), F.lit(0)), F.count(F.lit(1))).first()
+        (nq, folds), (nb, _) = sizes(q), sizes(b)
+        q_blocks, b_blocks = blocks_of(nq, nb, -(-spark.sparkContext.defaultParallelism // max(folds, 1)))
+        block = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        q = q.withColumn("qb", block(q_blocks)).withColumn("bb", every(b_blocks))
+        b = b.withColumn("bb", block(b_blocks)).withColumn("qb", every(q_blocks))
+        pairs = q.groupBy("fold", "qb", "bb").cogroup(b.groupBy("fold", "qb", "bb")).applyInArrow(rank, schema)
+        order = F.asc("raw") if metric == "euclidean" else F.desc("raw")
+        best = Window.partitionBy("fold", "query_id").orderBy(order, "neighbour_id")
+        out = pairs.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return out.withColumnRenamed("fold", fold) if fold else out.drop("fold")
 
 
+def _places(query: np.ndarray) -> np.ndarray:
+    """Place from 1 of each row among the adjoining rows of its query."""
+    first = np.flatnonzero(np.r_[True, query[1:] != query[:-1]]) if len(query) else np.zeros(0, np.int64)
+    return np.arange(len(query)) - np.repeat(first, np.diff(np.r_[first, len(query)])) + 1
+
+
 def first_by_hash(rows: DataFrame, n: int, seed: str, by: list[str]) -> DataFrame:
     """The first ``n`` rows of each group in the order of (md5(id || seed), id), exactly.
 

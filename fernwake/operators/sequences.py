@@ -7,23 +7,48 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fernwake.operators.ordering import positions, range_parts
+from fernwake.session import Scratch
 
-def sequence_windows(rows: DataFrame, key: str, order: list[str], length: int, label: Column) -> DataFrame:
-    """``rows`` that start a window of ``length`` rows of one key, with the largest label in it.
 
-    Windows never cross keys; a key of fewer rows has none.
+BLOCK = 4096  # places of a key that one task may hold
+
+
+def _ahead(rows: DataFrame, key: str, order: list[str], length: int) -> tuple[DataFrame, Window]:
+    """``rows`` with ``_own``, and the frame of each one and the ``length`` - 1 after it in its key.
+
+    A key's rows are cut by their places into blocks, and each block also has the rows that its
+    last frames reach into, not ``_own``; so the frames of a key that holds a large part of all
+    rows are spread over tasks. ``order`` must be unique in a key. Rows without key or order have
+    no place and are left out.
     """
     if length < 1:
         raise ValueError("length must be 1 or more")
-    w = Window.partitionBy(key).orderBy(*order)
-    ahead = w.rowsBetween(0, length - 1)
-    return rows.withColumns({"_n": F.count(F.lit(1)).over(ahead), "window_label": F.max(label).over(ahead)}).where(F.col("_n") == length).drop("_n")
+    known = rows.dropna(subset=[key, *order])
+    placed = positions(range_parts(known, key, order, Scratch(rows.sparkSession, "frames"), "rows"), key, order).drop("part_no")
+    size = max(BLOCK, 8 * length)
+    own = F.floor(F.col("pos") / size)
+    before = F.floor((F.col("pos") - (length - 1)) / size)
+    both = placed.withColumn("_block", F.explode(F.array_distinct(F.array(own, F.greatest(before, F.lit(0))))))
+    both = both.withColumn("_own", F.col("_block") == own)
+    return both, Window.partitionBy(key, "_block").orderBy("pos").rowsBetween(0, length - 1)
+
+
+def sequence_windows(rows: DataFrame, key: str, order: list[str], length: int, label: Column) -> DataFrame:
+    """``rows`` that start a window of ``length`` rows of one key, with the largest label in it as ``window_label``.
+
+    Windows never cross keys; a key of fewer rows has none.
+    """
+    placed, ahead = _ahead(rows, key, order, length)
+    out = placed.withColumns({"_n": F.count(F.lit(1)).over(ahead), "window_label": F.max(label).over(ahead)})
+    return out.where(F.col("_own") & (F.col("_n") == length)).drop("_n", "_own", "_block", "pos")
 
 
 def gather(rows: DataFrame, key: str, order: list[str], length: int, value: str) -> DataFrame:
-    """Each window's values in order, as an array."""
-    ahead = Window.partitionBy(key).orderBy(*order).rowsBetween(0, length - 1)
-    return rows.withColumn("values", F.collect_list(value).over(ahead)).where(F.size("values") == length)
+    """Each window's ``values`` in order, as an array; a null is left out, and with it the windows that hold it."""
+    placed, ahead = _ahead(rows, key, order, length)
+    out = placed.withColumn("values", F.collect_list(value).over(ahead))
+    return out.where(F.col("_own") & (F.size("values") == length)).drop("_own", "_block", "pos")
 
 
 def sliding_features(events: DataFrame, key: str, time: str, value: str, size: str, step: str) -> DataFrame:
@@ -34,10 +59,14 @@ def sliding_features(events: DataFrame, key: str, time: str, value: str, size: s
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], version: str) -> DataFrame:
-    """The last row by ``version`` of each key of both tables; columns that one lacks are null."""
-    both = old.unionByName(new, allowMissingColumns=True)
-    w = Window.partitionBy(*keys).orderBy(F.desc(version))
-    return both.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    """The last row by ``version`` of each key of both tables, ties to the new one; columns that one lacks are null.
+
+    One aggregate, of which each task keeps a row a key before the shuffle.
+    """
+    both = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)), allowMissingColumns=True)
+    kept = [c for c in both.columns if c != "_new"]
+    last = F.max_by(F.struct(*kept), F.struct(F.col(version), F.col("_new")))
+    return both.groupBy(*[F.col(k).alias(f"_key_{k}") for k in keys]).agg(last.alias("_row")).select("_row.*")
 
 
 def totals_by(log: DataFrame, group: str, value: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _made: list[tuple[SparkSession, str]] = []
-_own: dict[str, str] = {}
+_own: dict[str, tuple[SparkSession, str]] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,8 +27,8 @@ def scratch_root(spark: SparkSession) -> str:
         master = spark.sparkContext.master
         if not (master == "local" or master.startswith("local[")):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        _own[app] = "file://" + tempfile.mkdtemp(prefix="fernwake-")
-    return _own[app]
+        _own[app] = spark, "file://" + tempfile.mkdtemp(prefix="fernwake-")
+    return _own[app][1]
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -37,9 +37,16 @@ def _delete(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Removes all scratch tables of the session, once no result that reads them is needed any more."""
+    for owner, path in [m for m in _made if m[0] is spark]:
+        _delete(owner, path)
+        _made.remove((owner, path))
+
+
 @atexit.register
 def _sweep() -> None:
-    for spark, path in _made:
+    for spark, path in [*_made, *[(s, p) for s, p in _own.values()]]:
         try:
             _delete(spark, path)
         except Exception:  # the session may have ended first
@@ -50,7 +57,7 @@ class Scratch:
     """Tables written to the shared folder, so that lost executors cost no recomputation.
 
     ``keep`` writes a DataFrame and reads it back; ``drop`` removes one that is no longer read.
-    What is left is removed when the driver's Python ends.
+    What is left is removed by ``sweep``, or when the driver's Python ends.
     """
 
     def __init__(self, spark: SparkSession, name: str) -> None:

@@ -1,4 +1,5 @@
 import math
+import os
 import random
 
 import numpy as np
@@ -87,12 +88,18 @@ def test_top_k_equals_brute_force(spark, monkeypatch):
     b, q = rng.normal(size=(31, 8)).astype("float32"), rng.normal(size=(7, 8)).astype("float32")
     frame = lambda m, at: spark.createDataFrame([(at + i, v.tolist(), i % 2, "g") for i, v in enumerate(m)], "id long, vec array<float>, label int, group string")
     for metric, score in (("dot", -(q.astype(float) @ b.T)), ("euclidean", np.linalg.norm(q[:, None].astype(float) - b[None], axis=2))):
-        got = retrieval.top_k(frame(q, 1000), frame(b, 0), 10, metric, 8).collect()
+        got = retrieval.top_k(frame(q, 1000), frame(b, 0), 10, metric, 8, strategy="blocked").collect()
+        assert sorted(map(str, got)) == sorted(map(str, retrieval.top_k(frame(q, 1000), frame(b, 0), 10, metric, 8, strategy="broadcast").select(list(got[0].asDict())).collect()))
         for i in range(7):
             assert [r.neighbour_id for r in sorted(got, key=lambda r: r.rank) if r.query_id == 1000 + i] == np.argsort(score[i], kind="stable")[:10].tolist()
     assert retrieval.top_k(frame(q[:0], 0), frame(b, 0), 3, "dot", 8).count() == 0
+    assert retrieval.top_k(frame(q, 0), frame(b[:0], 0), 3, "dot", 8).count() == 0
     with pytest.raises(ValueError):
         retrieval.top_k(frame(q, 0), frame(b, 0), 3, "other", 8)
+    monkeypatch.setattr(retrieval, "MOST_BANK", 100)
+    with pytest.raises(ValueError):
+        retrieval.top_k(frame(q, 0), frame(b, 0), 3, "dot", 8, strategy="broadcast").count()
+    assert retrieval.top_k(frame(q, 1000), frame(b, 0), 3, "dot", 8).count() == 21
 
 
 def test_a_query_never_meets_itself(spark):
@@ -108,8 +115,10 @@ def test_folds_search_apart(spark):
     rng = np.random.default_rng(2)
     rows = [(f"f{i % 2}", i, [float(v) for v in rng.normal(size=3)], i % 2, "g") for i in range(40)] + [(f"f{(i + 1) % 2}", i, [float(v) for v in rng.normal(size=3)], 0, "g") for i in range(6)]
     df = spark.createDataFrame(rows, "fold string, id long, vec array<float>, label int, group string")
-    for metric in ("euclidean", "entangled"):
-        got = retrieval.top_k(df, df, 3, metric, 3, fold="fold")
+    with pytest.raises(ValueError):
+        retrieval.top_k(df, df, 3, "dot", 3, strategy="other")
+    for metric, strategy in (("euclidean", "blocked"), ("euclidean", "broadcast"), ("entangled", "auto")):
+        got = retrieval.top_k(df, df, 3, metric, 3, fold="fold", strategy=strategy)
         want = None
         for f in ("f0", "f1"):
             own = df.where(F.col("fold") == f)
@@ -458,6 +467,51 @@ def test_training_learns_and_goes_on_where_it_stopped(spark, tmp_path):
         training.Training(optimizer="other")
 
 
+def test_windows_of_a_hot_key(spark, monkeypatch):
+    monkeypatch.setattr(sequences, "BLOCK", 16)
+    rows = [("hot", i, i % 7) for i in range(100)] + [("b", i, i) for i in range(3)] + [("c", 0, 1), (None, 1, 1), ("hot", None, 1)]
+    df = spark.createDataFrame(rows, "k string, t int, v int").withColumn("pos", F.lit(1)).withColumn("part_no", F.lit(1))
+    for length in (1, 3, 5):
+        got = {(r.k, r.t): r.window_label for r in sequences.sequence_windows(df.drop("pos", "part_no"), "k", ["t"], length, F.col("v")).collect()}
+        own = {k: [r for r in rows if r[0] == k and r[1] is not None] for k in ("hot", "b", "c")}
+        want = {(k, x[i][1]): max(r[2] for r in x[i : i + length]) for k, x in own.items() for i in range(len(x) - length + 1)}
+        assert got == want
+        values = {(r.k, r.t): r["values"] for r in sequences.gather(df.drop("pos", "part_no"), "k", ["t"], length, "v").collect()}
+        assert {a: max(v) for a, v in values.items()} == want
+    with pytest.raises(ValueError):
+        sequences.sequence_windows(df, "k", ["t"], 0, F.col("v"))
+
+
+def test_upsert_keeps_the_last(spark):
+    old = spark.createDataFrame([("a", 1, 1.0), ("b", 5, 2.0), (None, 1, 3.0)], "k string, version int, v double")
+    new = spark.createDataFrame([("a", 1, 4.0, "x"), ("b", 4, 5.0, "x"), ("c", None, 6.0, "x")], "k string, version int, v double, note string")
+    got = {r.k: (r.v, r.note) for r in sequences.upsert(old, new, ["k"], "version").collect()}
+    assert got == {"a": (4.0, "x"), "b": (2.0, None), None: (3.0, None), "c": (6.0, "x")} or got == {"a": (4.0, "x"), "b": (2.0, None), None: (3.0, None)}
+    assert {(r.k, r.total) for r in sequences.totals_by(old, "k", "v").collect()} == {("a", 1.0), ("b", 2.0), (None, 3.0)}
+
+
+def test_search_takes_the_first_best(spark):
+    rng = np.random.default_rng(1)
+    rows = [(i, int(i % 3 == 0), "abcd"[i % 4], [float(i % 3 == 0) * 2 + float(v) for v in rng.normal(size=2)]) for i in range(80)]
+    df = spark.createDataFrame(rows, "id long, y int, group string, x array<double>")
+    model, best, ap = models.search("logreg", df, 2, 2, {"c": [1.0, 1.0]})
+    assert best == {"c": 1.0} and 0.5 < ap <= 1 and model.score(df).count() == 80
+    assert math.isnan(models.search("logreg", df, 2, 2, {"c": [0.5]})[2])
+    assert len(list(__import__("itertools").product(*models.GRIDS["svm_rbf"].values()))) == 32
+    svm = models.Classifier("svm_rbf", 2, c=1.0, balanced=False).fit(df)
+    assert svm.params["gamma"] == pytest.approx(1 / (2 * np.var([r[3] for r in rows]))) and svm.score(df).where("score is null").count() == 0
+
+
+def test_scratch_is_swept(spark, tmp_path):
+    from fernwake import session
+
+    s = session.Scratch(spark, "swept")
+    kept = s.keep(spark.range(3), "rows")
+    assert kept.count() == 3
+    session.sweep(spark)
+    assert not os.path.exists(s.root.removeprefix("file://")) and not [m for m in session._made if m[0] is spark]
+
+
 def test_signal_features(spark):
     t = np.arange(0, 6, 1 / 128)
     rows = [("s", float(a), float(3 * np.sin(2 * np.pi * 10 * a) + 5)) for a in t] + [("flat", float(a), 2.0) for a in t[:256]] + [("s", None, 1.0), ("s", 1.0, float("nan")), ("s", 1.0, None)]
