@@ -239,3 +239,9 @@ def flops(w: Weights, s: Shape, layout: Layout) -> int:
     if s.arch == "cnn1d_transformer":
         total += s.blocks * 4 * (t + 1) ** 2 * s.embedding
     return total
+
+
+def model_stats(w: Weights, s: Shape, layout: Layout) -> dict[str, int]:
+    """Parameters, trained ones and operations a sample."""
+    n, trained = count_parameters(w)
+    return {"n_params": n, "n_trainable": trained, "flops": flops(w, s, layout)}

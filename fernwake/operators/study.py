@@ -7,8 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fernwake.functions.vectors import similarity
+from fernwake.functions.vectors import scaled_angles, similarity
 from fernwake.operators import evaluation, retrieval
+from fernwake.operators.preparation import Settings, prepare_folds
 from fernwake.session import Scratch
 
 RANKINGS = {"cosine": "cosine", "euclidean": "euclidean", "rbf": "euclidean"}  # what each metric is ranked by
@@ -131,3 +132,50 @@ def rollup(stats: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
     v = lambda c: F.col(c)
     aggs = [x for c in columns for x in (F.avg(v(c)).alias(f"{c}_mean"), F.stddev_samp(v(c)).alias(f"{c}_std"))]
     return stats.groupBy(*by).agg(*aggs, F.count(F.lit(1)).alias("n"))
+
+
+@dataclass(frozen=True)
+class KernelPlan:
+    """Settings of the kernel study: a kernel of ``retrieval.kernel_of``, on so many components, with capped banks and queries."""
+
+    kernel: str = "fidelity"
+    qubits: int = 6
+    reps: int = 2
+    pairs: bool = True
+    cap: int = 256
+    queries: int = 512
+    k: int = 10
+    gamma: float = 1.0
+    seed: str = "0"
+
+    def __post_init__(self) -> None:
+        if self.kernel not in ("fidelity", "entangled", "rbf") or not 2 <= self.qubits <= 16:
+            raise ValueError("kernel must be fidelity, entangled or rbf, and qubits 2 to 16")
+
+
+def kernel_study(rows: DataFrame, dim: int, plan: KernelPlan = KernelPlan()) -> tuple[DataFrame, DataFrame]:
+    """(neighbour statistics, overlaps) of the kernel's search in every fold, against cosine and RBF on the same rows.
+
+    Vectors are projected on components of the fold's training rows. The kernel compares angles
+    pi tanh(x) of the projections; the RBF kernel that stands in for it compares these angles too,
+    the one it is held against the projections. Statistics are supported by votes of 0.5 or more.
+    """
+    scratch = Scratch(rows.sparkSession, "kernel")
+    known = rows.where("id is not null and label is not null and group is not null").select("id", "group", "label", F.col("vec").alias("x"))
+    projected = scratch.keep(prepare_folds(known, dim, Settings("none", components=plan.qubits)), "projected").withColumnsRenamed({"test_group": "fold", "x": "vec"})
+    columns = ["fold", "id", "vec", "label", "group"]
+    bank = scratch.keep(retrieval.majority_cap(projected.where("role = 'train'"), plan.cap, plan.seed, by=["fold"]).select(columns), "bank")
+    retrieval.guard(bank, known)
+    held = scratch.keep(retrieval.first_by_hash(projected.where("role = 'test'"), plan.queries, plan.seed, ["fold"]).select(columns), "queries")
+    angles = lambda df: df.withColumn("vec", scaled_angles(F.col("vec"), plan.qubits))
+    metric = "euclidean" if plan.kernel == "rbf" else plan.kernel
+    by_kernel = scratch.keep(retrieval.top_k(angles(held), angles(bank), plan.k, metric, plan.qubits, fold="fold", reps=plan.reps, entangled=plan.pairs), "by_kernel")
+    cosine = retrieval.top_k(held, bank, plan.k, "cosine", plan.qubits, fold="fold")
+    rbf = scratch.keep(retrieval.top_k(held, bank, plan.k, "euclidean", plan.qubits, fold="fold"), "by_rbf")
+    votes = retrieval.vote(by_kernel, "rbf" if plan.kernel == "rbf" else plan.kernel, 1.0, by=("fold",))
+    stats = retrieval.neighbour_stats(by_kernel, plan.k, votes.select("fold", "query_id", (F.col("score") >= 0.5).cast("int").alias("pred")), ("fold",)).withColumn("kernel", F.lit(plan.kernel))
+    overlaps = None
+    for name, a, b in (("kernel_vs_cosine", by_kernel, cosine), ("kernel_vs_rbf", by_kernel, rbf), ("cosine_vs_rbf", cosine, rbf)):
+        part = retrieval.neighbour_overlap(a, b, ("fold",)).withColumn("pair", F.lit(name))
+        overlaps = part if overlaps is None else overlaps.unionByName(part)
+    return stats, overlaps

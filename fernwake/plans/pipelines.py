@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fernwake.functions.layout import Layout
-from fernwake.operators import accounting, contrastive, encoders, folds, retrieval, sequences, training
+from fernwake.operators import accounting, contrastive, encoders, folds, retrieval, sequences, study, training
 from fernwake.plans import reference as R
 from fernwake.session import Scratch, scratch_root, table
 from fernwake.sources import recordings
@@ -247,14 +247,26 @@ def trained_embed(spark, sf):
     return encoders.embed(e, w, s, LAYOUT).withColumn("losses", F.array(*map(F.lit, losses)))
 
 
-@query("""SELECT * FROM (VALUES ('mlp', 64 * 64 + 64 + 128 + 64 * 32 + 32), ('cnn1d', 16 * 4 * 3 + 16 + 32 + 16 * 32 + 32), ('tcn', 2 * (64 * 64 * 3 + 64) + 64 * 32 + 32)) t(arch, encoder_parameters)""")
+@query("""SELECT * FROM (VALUES ('mlp', 64 * 64 + 64 + 128 + 64 * 32 + 32, 2 * (64 * 64 + 64 * 32)), ('cnn1d', 16 * 4 * 3 + 16 + 32 + 16 * 32 + 32, 2 * (16 * 4 * 3 * 16 + 16 * 32)), ('tcn', 2 * (64 * 64 * 3 + 64) + 64 * 32 + 32, 2 * (2 * 64 * 64 * 3 + 64 * 32))) t(arch, encoder_parameters, flops)""")
 def encoder_sizes(spark, sf):
-    """Parameters of the encoders without their heads, from the layers' sizes."""
+    """Parameters of the encoders without their heads and operations a sample, from the layers' sizes."""
     rows = []
     for arch, sizes in (("mlp", {"hidden": (64,)}), ("cnn1d", {"channels": (16,)}), ("tcn", {"channels": (64,)})):
-        w = encoders.new_weights(encoders.Shape(arch, embedding=32, **sizes), LAYOUT, 1)
-        rows.append((arch, encoders.count_parameters({k: v for k, v in w.items() if not k.startswith("head")})[0]))
-    return spark.createDataFrame(rows, "arch string, encoder_parameters int")
+        s = encoders.Shape(arch, embedding=32, **sizes)
+        found = encoders.model_stats({k: v for k, v in encoders.new_weights(s, LAYOUT, 1).items() if not k.startswith("head")}, s, LAYOUT)
+        rows.append((arch, found["n_params"], found["flops"]))
+    return spark.createDataFrame(rows, "arch string, encoder_parameters int, flops int")
+
+
+@query()
+def kernel_study(spark, sf):
+    """Neighbour statistics of the fidelity kernel on six components in every fold."""
+    return study.kernel_study(R.emb(spark, sf), R.DIM)[0]
+
+
+@query()
+def kernel_overlaps(spark, sf):
+    return study.kernel_study(R.emb(spark, sf), R.DIM)[1]
 
 
 REPORTS = "SELECT CAST(l_suppkey % 16 AS VARCHAR) AS report, avg(l_discount) AS step, avg(l_quantity) AS post, 23.0 AS folds, CASE WHEN l_suppkey % 16 = 3 THEN NULL ELSE 1.0 END AS seeds, 3.0 AS losses, CASE WHEN l_suppkey % 16 = 5 THEN 1500 ELSE 15 END AS epochs, 256.0 AS most, max(l_tax) * 100 AS prep FROM lineitem GROUP BY l_suppkey % 16"

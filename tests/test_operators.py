@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fernwake.functions.layout import Layout, split_name
-from fernwake.operators import accounting, contrastive, evaluation, folds, models, ordering, preparation, retrieval, schema_drift, sequences, significance, spikes, training
+from fernwake.operators import accounting, contrastive, evaluation, folds, models, ordering, preparation, retrieval, schema_drift, sequences, significance, spikes, study, training
 from fernwake.operators.schema_match import Column, canonical, changes, exact_pairs, flood, group_of, same_column
 from fernwake.sources import recordings
 from fernwake.sources.recordings import ScanConfig, discover, read_recordings, recording_of, subject_of
@@ -404,6 +404,19 @@ def test_encoders_by_hand():
         en.Shape("other")
 
 
+def test_kernel_study(spark):
+    rng = np.random.default_rng(12)
+    rows = [(i, [float(v) for v in rng.normal(size=5) * [4, 3, 2, 1, 0.1]], int(i % 4 == 0), "abc"[i % 3]) for i in range(90)]
+    df = spark.createDataFrame(rows, "id long, vec array<float>, label int, group string")
+    plan = study.KernelPlan(qubits=3, cap=20, queries=15, k=4)
+    stats, overlaps = study.kernel_study(df, 5, plan)
+    got = {r.fold: r for r in stats.collect()}
+    assert set(got) == set("abc") and all(r.n_queries == 15 and r.same_group == 0 and 0 <= r.positive_ratio <= 1 for r in got.values())
+    assert {(r.fold, r.pair) for r in overlaps.collect()} == {(f, p) for f in "abc" for p in ("kernel_vs_cosine", "kernel_vs_rbf", "cosine_vs_rbf")}
+    with pytest.raises(ValueError):
+        study.KernelPlan(qubits=40)
+
+
 def test_sizes_and_costs():
     from fernwake.operators import encoders as en
 
