@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fernwake.llm import areas, leaks, mixing, neighbours, runs, splits
-from fernwake.session import table
+from fernwake.session import Scratch, table
 
 TOKENIZERS = os.environ.get("FERNWAKE_TOKENIZERS", "/opt/tokenizers")
 SHARES = {"train": 0.7, "validation": 0.15, "test": 0.15}
@@ -48,6 +48,18 @@ def p4_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.assign_splits(groups, SHARES, weight="n_windows").select("recording", "group_no", "n_windows", "split")
 
 
+def p4_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each split, whether its share is kept within two points (or the heaviest group's share), and how many groups it shares with another."""
+    s = Scratch(spark, "kept").keep(p4_splits(spark, sf_dir).withColumn("unit", F.coalesce(F.col("group_no").cast("string"), "recording")), "splits")
+    total = s.agg(F.sum("n_windows")).first()[0] or 1
+    heaviest = s.groupBy("unit").agg(F.sum("n_windows").alias("n")).agg(F.max("n")).first()[0] or 0
+    want = spark.createDataFrame(list(SHARES.items()), "split string, wanted double")
+    torn = s.groupBy("unit").agg(F.collect_set("split").alias("in")).where(F.size("in") > 1).select(F.explode("in").alias("split")).groupBy("split").count()
+    got = want.join(s.groupBy("split").agg(F.sum("n_windows").alias("n")), "split", "left").join(torn, "split", "left")
+    off = F.abs(F.coalesce("n", F.lit(0)) / F.lit(total) - F.col("wanted"))
+    return got.select("split", (off <= max(0.02, heaviest / total)).alias("kept"), F.coalesce("count", F.lit(0)).alias("torn"))
+
+
 def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.leaked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), "doc_id", "item_id", "text")
 
@@ -73,6 +85,15 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(_mixture(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
 
 
+def p7_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each source, whether its share is met within half a point (or that of the two longest documents, which the landing may be off by) and its documents are repeated no oftener than allowed."""
+    m = Scratch(spark, "kept").keep(_mixture(spark, sf_dir), "mixture")
+    total, longest = m.agg(F.sum(F.col("tokens") * F.col("copies")), F.max("tokens")).first()
+    s = mixing.shares(m, table(spark, sf_dir, "mix_targets"))
+    near = max(0.005, 2 * (longest or 0) / (total or 1))
+    return s.select("source", (F.abs(F.col("actual_share") - F.col("target_share")) <= near).alias("kept"), (F.col("most_copies") <= F.col("max_repeats")).alias("capped"))
+
+
 def _areas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return areas.document_areas(table(spark, sf_dir, "documents"), table(spark, sf_dir, "area_labels"), table(spark, sf_dir, "areas"), "doc_id", "text")
 
@@ -85,7 +106,7 @@ def p8_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return areas.composition(_areas(spark, sf_dir), table(spark, sf_dir, "documents"), "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p3_found, p3_runs, p4_found, p4_splits, p6_found, p6_near, p7_mixture, p7_shares, p8_found, p8_composition)}
+QUERIES = {f.__name__: f for f in (p2_found, p3_found, p3_runs, p4_found, p4_splits, p4_kept, p6_found, p6_near, p7_mixture, p7_shares, p7_kept, p8_found, p8_composition)}
 
 # words as in functions.text: without markup, case, accents and typographic variants
 _PLAIN = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ß": "ss", "æ": "ae", "œ": "oe", "ø": "o", "ł": "l", "đ": "d", "ħ": "h", "ı": "i", "\u00ad": "", "\u200b": " ", "\u200c": "", "\u200d": "", "\ufeff": ""}
@@ -98,7 +119,27 @@ def _words_sql(column: str) -> str:
     return f"list_filter(string_split_regex(strip_accents({t}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')"
 
 
+_FINITE = "len(list_filter({v}, lambda x: isfinite(x))) = 40"
+
 ORACLES = {
+    "p2_found": f"""
+        WITH f AS (SELECT row_idx AS id, CAST(any_value(features) AS DOUBLE[40]) AS v FROM windows WHERE len(features) = 40 AND {_FINITE.format(v='features')} GROUP BY row_idx),
+        x AS (SELECT train_id AS id, CAST(any_value(x_train) AS DOUBLE[]) AS v FROM fold_train WHERE len(x_train) = 40 AND {_FINITE.format(v='x_train')} AND list_dot_product(x_train, x_train) > 0 GROUP BY train_id),
+        u AS (SELECT id, CAST(list_transform(v, lambda c: c / sqrt(list_dot_product(v, v))) AS DOUBLE[40]) AS v FROM x),
+        p AS (SELECT 'features' AS field, a.id AS q, b.id AS n, array_distance(a.v, b.v) AS d FROM f a JOIN f b ON b.v[1] BETWEEN a.v[1] - 0.5 AND a.v[1] + 0.5 WHERE a.id <> b.id AND array_distance(a.v, b.v) <= 0.5
+              UNION ALL SELECT 'x_train', a.id, b.id, round(array_distance(a.v, b.v), 6) FROM u a JOIN u b ON a.id <> b.id WHERE array_inner_product(a.v, b.v) >= 0.95)
+        SELECT DISTINCT field, least(q, n) AS id_a, greatest(q, n) AS id_b FROM (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY field, q ORDER BY d, n) <= 5)""",
+    "p4_kept": "SELECT * FROM (VALUES ('train', true, 0::BIGINT), ('validation', true, 0), ('test', true, 0)) t(split, kept, torn)",
+    "p7_kept": "SELECT source, true AS kept, true AS capped FROM mix_targets",
+    "p6_near": f"""
+        WITH d AS (SELECT doc_id, unnest(w) AS w, unnest(range(len(w))) AS place FROM (SELECT doc_id, {_words_sql('text')} AS w FROM documents WHERE text IS NOT NULL)),
+        i AS (SELECT item_id, unnest(w) AS w, unnest(range(len(w))) AS place FROM (SELECT item_id, {_words_sql('text')} AS w FROM eval_items)),
+        m AS (SELECT doc_id, item_id, d.place - i.place + s.k AS shift, i.place AS place, bool_or(s.k = 0) AS exact FROM d JOIN i USING (w), range(-2, 3) s(k) GROUP BY ALL),
+        k AS (SELECT doc_id, item_id, shift FROM m GROUP BY ALL HAVING count(*) >= 12), r AS (SELECT m.* FROM m JOIN k USING (doc_id, item_id, shift)),
+        a AS (SELECT *, place - row_number() OVER (PARTITION BY doc_id, item_id, shift ORDER BY place) AS run, place - row_number() OVER (PARTITION BY doc_id, item_id, shift, exact ORDER BY place) AS same FROM r),
+        n AS (SELECT doc_id, item_id, shift, max(c) AS near FROM (SELECT doc_id, item_id, shift, run, count(*) AS c FROM a GROUP BY ALL) GROUP BY ALL HAVING max(c) >= 12),
+        e AS (SELECT doc_id, item_id, shift, max(c) AS phrase FROM (SELECT doc_id, item_id, shift, same, count(*) AS c FROM a WHERE exact GROUP BY ALL) GROUP BY ALL)
+        SELECT doc_id, item_id, max(coalesce(phrase, 0))::INT AS phrase, max(near)::INT AS near FROM n LEFT JOIN e USING (doc_id, item_id, shift) GROUP BY doc_id, item_id HAVING max(coalesce(phrase, 0)) < 12""",
     "p6_found": f"""
         WITH d AS (SELECT doc_id, {_words_sql('text')} AS w FROM documents WHERE text IS NOT NULL), i AS (SELECT item_id, {_words_sql('text')} AS w FROM eval_items),
         dw AS (SELECT doc_id, array_to_string(w[k : k + 11], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS k FROM d)),
