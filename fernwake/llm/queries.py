@@ -90,8 +90,10 @@ def p7_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = Scratch(spark, "kept").keep(_mixture(spark, sf_dir), "mixture")
     total, longest = m.agg(F.sum(F.col("tokens") * F.col("copies")), F.max("tokens")).first()
     s = mixing.shares(m, table(spark, sf_dir, "mix_targets"))
+    there = F.when(F.col("n_docs") > 0, F.col("target_share"))  # a source without documents gets nothing, and the others keep their proportions
+    whole = s.agg(F.sum(there)).first()[0] or 1.0
     near = max(0.005, 2 * (longest or 0) / (total or 1))
-    return s.select("source", (F.abs(F.col("actual_share") - F.col("target_share")) <= near).alias("kept"), (F.col("most_copies") <= F.col("max_repeats")).alias("capped"))
+    return s.select("source", (F.abs(F.col("actual_share") - F.coalesce(there / F.lit(whole), F.lit(0.0))) <= near).alias("kept"), (F.col("most_copies") <= F.col("max_repeats")).alias("capped"))
 
 
 def _areas(spark: SparkSession, sf_dir: str) -> DataFrame:
