@@ -3,16 +3,15 @@
 from __future__ import annotations
 
 import functools
-import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fernwake.functions.layout import Layout
 from fernwake.operators import accounting, contrastive, encoders, folds, retrieval, sequences, study, training
 from fernwake.plans import reference as R
-from fernwake.session import Scratch, scratch_root, table
+from fernwake.session import Scratch, table
 from fernwake.sources import recordings
 from fernwake.streaming import scoring
 
@@ -120,7 +119,7 @@ def embedding_archive(spark, sf):
 
 def _drained(df: DataFrame, spark: SparkSession, name: str) -> DataFrame:
     """What a stream writes until its source is at its end."""
-    folder = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    folder = _folder(spark, name)
     df.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start(f"{folder}/rows").awaitTermination()
     return spark.read.schema(df.schema).parquet(f"{folder}/rows")
 
@@ -163,7 +162,7 @@ def signal_features(spark, sf):
 @query()
 def band_powers(spark, sf):
     e = table(spark, sf, "events").select("event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "value")
-    placed = e.withColumn("t", (F.row_number().over(R.Window.partitionBy("event_type").orderBy("us")) - 1) / 64.0)
+    placed = e.withColumn("t", (F.row_number().over(Window.partitionBy("event_type").orderBy("us")) - 1) / 64.0)
     return sequences.signal_features(placed, "event_type", "t", "value", 2.0, 1.0, rate=64.0).drop("entropy")
 
 

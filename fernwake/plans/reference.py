@@ -5,7 +5,7 @@ from __future__ import annotations
 import functools
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fernwake.functions import vectors as V
@@ -326,6 +326,15 @@ def three_heads_panel(spark, sf):
     return _study(spark, sf, linear=True).metrics()
 
 
+@query(f"WITH {TUNED}, p AS (SELECT id, 1 / (1 + exp(-5 * v[1])) AS p FROM e) SELECT CAST(f AS VARCHAR) AS fold, id, y, round(0.5 * p + 0.5 * s, 6) AS score FROM test JOIN p USING (id)")
+def hybrid_given(spark, sf):
+    """The hybrid head over probabilities given for every row, where SQL can follow it; ``hybrid_scores`` has fitted ones."""
+    e = emb(spark, sf)
+    folds_of = F.broadcast(e.select(F.col("group").alias("fold")).distinct())  # one row a fold
+    given = e.select("id", (1 / (1 + F.exp(-5 * F.col("vec")[0].cast("double")))).alias("p")).crossJoin(folds_of)
+    return rounded(study.run_study(e, DIM, PLAN, given).test.where("head = 'hybrid'").select("fold", "id", "y", "score"), "score")
+
+
 @query()
 def hybrid_scores(spark, sf):
     return _study(spark, sf, linear=True).test.where("head = 'hybrid'").select("fold", "id", "y", "score")
