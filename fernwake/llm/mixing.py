@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import base64
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +14,9 @@ from pyspark.sql import functions as F
 from fernwake.operators.ordering import join_unique
 from fernwake.session import Scratch
 
-TOKENIZER = "byte_bpe_50k.json"
+TOKENIZER = "byte_bpe_50k.tiktoken"
+# Fixed value: the pieces that this public vocabulary's pairs are merged in.
+PIECES = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 GROUP = 20_000  # documents of one flight
 MOST_EDITS = 2
 MOST_ROUNDS = 20  # of the cube; each leaves two units of 20,000
@@ -22,6 +25,37 @@ EPS = 1e-9
 UNITS = "source string, doc long, tokens long, p double"
 
 
+def counter(file: str, content: str) -> Callable[[list[str]], list[int]]:
+    """Numbers of tokens of texts, by the content of a tokenizer file: ranks (.tiktoken) or a whole tokenizer (.json).
+
+    Words that stand for special tokens are ordinary text.
+    """
+    if file.endswith(".json"):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        t = Tokenizer.from_str(content)
+        t.encode_special_tokens = True
+        encode = getattr(t, "encode_batch_fast", t.encode_batch)  # without offsets, where there is one
+        return lambda texts: [len(e.ids) for s in range(0, len(texts), 256) for e in encode(texts[s : s + 256], add_special_tokens=False)]
+    import regex
+    import tiktoken
+
+    ranks = {base64.b64decode(token): int(rank) for token, rank in map(str.split, content.splitlines())}
+    t = tiktoken.Encoding(os.path.basename(file), pat_str=PIECES, mergeable_ranks=ranks, special_tokens={})
+    pieces = regex.compile(PIECES)
+
+    def count(text: str) -> int:
+        try:
+            return len(t.encode_ordinary(text))
+        except BaseException as e:  # its matcher gives up on millions of blanks in a row
+            if type(e).__name__ != "PanicException":
+                raise
+            return sum(len(t._encode_single_piece(p.encode())) for p in pieces.findall(text))
+
+    return lambda texts: [count(x) for x in texts]
+
+
 def with_tokens(docs: DataFrame, doc_id: str, text: str, source: str, tokenizer: str) -> DataFrame:
     """doc, raw source and number of tokens of the whole text; null texts have none.
 
@@ -32,19 +66,10 @@ def with_tokens(docs: DataFrame, doc_id: str, text: str, source: str, tokenizer:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        t = Tokenizer.from_str(shared.value)
-        t.encode_special_tokens = True
-        encode = getattr(t, "encode_batch_fast", t.encode_batch)  # without offsets, where there is one
+        tokens = counter(tokenizer, shared.value)
         for batch in batches:
             coded = batch.column(2).dictionary_encode()
-            texts = coded.dictionary.to_pylist()
-            n = []
-            for s in range(0, len(texts), 256):
-                n += [len(e.ids) for e in encode(texts[s : s + 256], add_special_tokens=False)]
-            sizes = pa.array(n, pa.int64()).take(coded.indices).fill_null(0)
+            sizes = pa.array(tokens(coded.dictionary.to_pylist()), pa.int64()).take(coded.indices).fill_null(0)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), sizes], ["doc", "filed", "tokens"])
 
     return docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(source).alias("filed"), F.col(text).alias("text")).mapInArrow(count, "doc long, filed string, tokens long")

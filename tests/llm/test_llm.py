@@ -276,6 +276,13 @@ def test_walk_stops_at_the_radius():
     assert len(visited) < 500 * index.sizes[0] * index.sizes[1] / 2
 
 
+@pytest.mark.skipif(not os.path.exists(TOKENS), reason="no tokenizer")
+def test_both_kinds_of_tokenizer_count_alike():
+    texts = ["", "Hello there, it's 12:30!", "Grüße  an\t\tdie\n\nWelt <|endoftext|> ", "x" * 5000, " " * 3_000_000, "a" + " " * 2_500_000 + "b", "été 東京 \U0001f600 'll"]
+    counts = [mixing.counter(f, open(f, encoding="utf-8").read())(texts) for f in (TOKENS, TOKENS.replace(".tiktoken", ".json"))]
+    assert counts[0] == counts[1] and counts[0][0] == 0
+
+
 @pytest.mark.skipif(not os.path.exists(TOKENS), reason="no tokenizer")
 def test_mixture(spark):
     docs = [(i, "some words here " * (i % 7 + 1), "Source-A" if i % 3 else "source_b") for i in range(400)] + [(900, None, "source_a"), (901, "", "source_a"), (None, "x", "source_a"), (902, "text", None), (903, "text", "other")]
