@@ -242,8 +242,8 @@ def fit_folds(rows: DataFrame, dim: int, settings: Settings = Settings()) -> Fit
     with its largest loading positive.
 
     No statistic is computed once a fold. Counts, moments and products are taken by group and
-    added up over the other groups; medians and quantiles are selected from counts. Three passes
-    over the rows suffice, five with robust scaling and a projection. The driver holds numbers a
+    added up over the other groups; medians and quantiles are selected from counts. Four passes
+    over the rows suffice (one of the groups alone), six with robust scaling and a projection. The driver holds numbers a
     group, class and column, and with ``components`` three matrices a group. Rows without group, or whose ``x`` is null or of
     another length, are in no fold. Without imputation the statistics are of the finite values.
     """
