@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fernwake.functions.arrays import from_matrix, to_matrix
+from fernwake.llm import halves
 from fernwake.session import partitions
 
 SAMPLE_ROWS = 20_000  # most rows that the centroids are fitted on
@@ -21,6 +22,8 @@ SALTS = 32  # parts of the copies of one vector
 BLOCK = 65_536  # most entries, and most queries, of one piece of work
 TASK_BYTES = 16 << 20  # wanted size of a task's share of the travelling vectors
 PAIRS = 1 << 22  # distances held at a time
+MOST_VISITS = 3  # groups that a query visits on average, for vectors to travel to groups
+TRIED = 1000  # sampled queries that this is measured on
 
 FOUND = "query_id long, neighbour_id long, distance double"
 
@@ -168,6 +171,10 @@ def nearest_vectors(df: DataFrame, row_id: str, vector: str, dim: int, k: int, m
     into blocks of about ``block`` entries and queries. In a group of several blocks only the
     k + 1 smallest ids of each group of exact copies are indexed, which are all that can be
     anyone's neighbours; the other copies get theirs by a join on the vector.
+
+    Where the radius is so wide for the vectors that sampled queries visit more than 3 groups each,
+    copies would grow with the square of the collection. Then nothing travels to groups: pairs come
+    from ``halves.close_pairs``, whose files hold each vector twice; there ``slack`` is 1.
     """
     spark, cosine = df.sparkSession, metric == "cosine"
     if metric not in ("euclidean", "cosine"):
@@ -209,8 +216,14 @@ def nearest_vectors(df: DataFrame, row_id: str, vector: str, dim: int, k: int, m
     counts = tally(False, None, None, 0)
     group_of = index.grouping(counts)
     n_groups = int(group_of.max()) + 1
+    wide = False
+    if radius is not None and n_groups > MOST_VISITS and len(sample):
+        tried = index.halves(sample[:TRIED])
+        q, cells = index.within(tried, spread)
+        each = len(np.unique(q * n_groups + group_of[cells])) / len(tried[0])
+        wide = each * (1 if queries is None else base.where("asked").count() / n) > MOST_VISITS
     eb = np.maximum(1, -(-np.bincount(group_of, counts, n_groups).astype(np.int64) // block))
-    visited = tally(True, counts, group_of, n_groups)
+    visited = np.zeros(n_groups, np.int64) if wide else tally(True, counts, group_of, n_groups)
     qb = np.maximum(1, -(-visited // block))
     tables = spark.sparkContext.broadcast((counts, eb, qb, group_of))
     crowded = bool((eb > 1).any())
@@ -273,18 +286,20 @@ def nearest_vectors(df: DataFrame, row_id: str, vector: str, dim: int, k: int, m
         copies = rest.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(leaders, ["vec", "salt"]).select("id", F.explode(F.slice("ids", 1, k)).alias("neighbour_id"))
         copies = copies.select(F.col("id").alias("query_id"), "neighbour_id", F.lit(0.0).alias("distance"))
 
-    # as many tasks as the counted rows fill, however large the collection
-    travelling = int((np.bincount(group_of, counts, n_groups) * qb + visited * eb).sum())
-    tasks = max(partitions(spark), -(-travelling * (4 * dim + 64) // TASK_BYTES))
-    placed_rows = indexed.mapInArrow(place, "at int, q_block int, e_block int, id long, cell int, asked array<int>, vec array<float>")
-    groups = placed_rows.repartition(tasks, "at", "q_block", "e_block").groupBy("at", "q_block", "e_block")
-
     def rerank(t: pa.Table) -> pa.Table:
         asked = t["asked"].combine_chunks()
         n_asked = np.diff(asked.offsets.to_numpy())
         return _rerank(t["id"].to_numpy(), t["cell"].to_numpy(), n_asked, asked.flatten().to_numpy(), to_matrix(t["vec"], dim)[0], k, radius)
 
-    found = groups.applyInArrow(rerank, FOUND)
+    if wide:
+        found = halves.close_pairs(indexed, sample, n, k, radius, lambda batch: usable(batch, dim, cosine and not crowded))
+    else:
+        # as many tasks as the counted rows fill, however large the collection
+        travelling = int((np.bincount(group_of, counts, n_groups) * qb + visited * eb).sum())
+        tasks = max(partitions(spark), -(-travelling * (4 * dim + 64) // TASK_BYTES))
+        placed_rows = indexed.mapInArrow(place, "at int, q_block int, e_block int, id long, cell int, asked array<int>, vec array<float>")
+        groups = placed_rows.repartition(tasks, "at", "q_block", "e_block").groupBy("at", "q_block", "e_block")
+        found = groups.applyInArrow(rerank, FOUND)
     if copies is not None:
         found = found.unionByName(copies)
     best = Window.partitionBy("query_id").orderBy("distance", "neighbour_id")

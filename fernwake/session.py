@@ -71,6 +71,12 @@ class Scratch:
         self.made[id(back)] = (path, back)
         return back
 
+    def put(self, df: DataFrame, name: str, *by: str) -> str:
+        """Writes ``df`` with a folder for each value of ``by``; the path, for tasks that read single folders."""
+        path = f"{self.root}/{name}"
+        df.write.partitionBy(*by).parquet(path)
+        return path
+
     def drop(self, *dfs: DataFrame) -> None:
         for df in dfs:
             path, _ = self.made[id(df)]

@@ -7,7 +7,7 @@ from oracle import SMALL, same
 from pyspark.sql import functions as F
 
 from fernwake.functions.text import words
-from fernwake.llm import areas, leaks, mixing, neighbours, queries, runs, splits
+from fernwake.llm import areas, halves, leaks, mixing, neighbours, queries, runs, splits
 
 TOKENS = f"{queries.TOKENIZERS}/{mixing.TOKENIZER}"
 
@@ -88,6 +88,42 @@ def test_pairs_that_differ_in_one_reading(spark, tmp_path):
     assert got == {(int(a), int(b)) for a, b in np.argwhere(np.triu(u @ u.T >= 0.95, 1))} and {(5000 + i, 5060 + i) for i in range(60)} <= got
 
 
+def _written(spark):
+    """Rows written to shuffles and files by all stages so far."""
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteRecords() + stages.apply(i).outputRecords() for i in range(stages.size()))
+
+
+@pytest.mark.parametrize("block,metric", [(65_536, "cosine"), (100, "cosine"), (65_536, "euclidean")])
+def test_a_wide_radius_takes_rows_in_proportion(spark, monkeypatch, block, metric):
+    monkeypatch.setattr(neighbours, "PER_GROUP", 64)
+    monkeypatch.setattr(halves, "PER_LEAF", 100)
+    monkeypatch.setattr(halves, "LEAST_UNIT", 150)  # leaves of near copies fill several
+    rng = np.random.default_rng(21)
+    x = rng.normal(size=(4000, 12)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x[1000:1200] = x[0]  # exact copies, near ones, and pairs that differ in one half alone
+    x[2000:2300] = x[1] + rng.normal(size=(300, 12)).astype(np.float32) * 1e-3
+    x[3000:3200] = np.where(np.arange(12) < 6, x[2000:2200], x[2000:2200] + 0.08)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(i, x[i].tolist()) for i in range(30)] + [(None, x[0].tolist()), (9000, None), (9001, [0.0] * 12)], "id long, v array<float>")
+    before = _written(spark)
+    got = neighbours.nearest_vectors(df.where("id <> 9001 or id is null"), "id", "v", 12, 3, metric, radius=0.7, per_cell=16, block=block)
+    got = {(r.query_id, r.neighbour_id) for r in got.collect()}
+    u = (x / np.linalg.norm(x.astype(np.float64), axis=1)[:, None]).astype(np.float32) if metric == "cosine" else x
+    assert got == _nearest_by_matrix(u, 3, 0.7)
+    if block > 100:  # copies that fill a group are told apart by joins first
+        assert _written(spark) - before <= 20 * len(x)
+
+
+def _nearest_by_matrix(x, k, radius):
+    x, out = x.astype(np.float64), set()
+    for i in range(len(x)):
+        d = np.sqrt(((x - x[i]) ** 2).sum(1))
+        d[i] = np.inf
+        out |= {(i, int(j)) for j in np.lexsort((np.arange(len(x)), d))[:k] if d[j] <= radius}
+    return out
+
+
 def _runs(rows, gap, least):
     once = {}
     for k, t, i, v in rows:
